@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pingworks.llm import quality
+from pingworks.llm import quality, tokencounts
 
 QUERIES = {
+    "op9_token_counts": tokencounts.query,
     "op10_quality_rules": quality.query,
 }
 
