@@ -19,9 +19,9 @@ import pyarrow as pa
 from pingworks.llm.bytescan import prefix_sums, ranges, span_hashes
 from pingworks.llm.shared import slices, text_buffer
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: Beyond so many chunks a task's cache starts afresh.
-CACHE_CHUNKS = 1_500_000
+CACHE_CHUNKS = 600_000
 
 
 def file_digest(path: str) -> str:
