@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pingworks.llm import licenses, quality, tokencounts
+from pingworks.llm import licenses, quality, tokencounts, toxicity
 
 QUERIES = {
+    "op3_toxicity": toxicity.query,
     "op4_license_scan": licenses.query,
     "op9_token_counts": tokencounts.query,
     "op10_quality_rules": quality.query,
