@@ -156,7 +156,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
             docs = docs.drop(name)
             schema = docs.schema
     names = schema.names
-    schema = schema.add("score", "double").add("predicted", "int")
+    schema = schema.add("score", "double").add("predicted", "integer")
     at, weights, bias, trained = names.index(text), model.weights, model.bias, model.trained
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
