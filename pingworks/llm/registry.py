@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pingworks.llm import licenses, quality, tokencounts, toxicity
+from pingworks.llm import jaccard, licenses, quality, tokencounts, toxicity
 
 QUERIES = {
     "op3_toxicity": toxicity.query,
     "op4_license_scan": licenses.query,
+    "op6_jaccard_join": jaccard.query,
     "op9_token_counts": tokencounts.query,
     "op10_quality_rules": quality.query,
 }
