@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pingworks.llm.bytescan import LOWER, _power, mix, prefix_sums
 from pingworks.llm.shared import slices, text_buffer
@@ -150,13 +151,9 @@ def train(docs: DataFrame, labels: DataFrame, bounds: Bounds = Bounds()) -> Mode
 
 def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with score (0 to 1) and predicted (1 if score >= ``threshold``)."""
-    schema = docs.schema
-    for name, kind in (("score", "double"), ("predicted", "int")):
-        if name in schema.names:
-            docs = docs.drop(name)
-            schema = docs.schema
-    names = schema.names
-    schema = schema.add("score", "double").add("predicted", "integer")
+    docs = docs.drop("score", "predicted")
+    names = docs.columns
+    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     at, weights, bias, trained = names.index(text), model.weights, model.bias, model.trained
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
