@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pingworks.llm import jaccard, licenses, quality, tokencounts, toxicity
+from pingworks.llm import jaccard, licenses, mixing, quality, tokencounts, toxicity
 
 QUERIES = {
+    "op1_mixing": mixing.query,
     "op3_toxicity": toxicity.query,
     "op4_license_scan": licenses.query,
     "op6_jaccard_join": jaccard.query,
@@ -13,5 +14,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_mixing": mixing.ORACLE_SQL,
     "op10_quality_rules": quality.ORACLE_SQL,
 }
