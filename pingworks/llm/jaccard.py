@@ -394,3 +394,15 @@ RESULT = ["doc_id", "n_shingles", "component_id"]
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select(*RESULT)
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: of each component its document with the smallest doc_id, of
+    repeated rows of that id the smallest text; documents without words and those
+    without doc_id stay as they are."""
+    # a component's smallest doc_id, by the join; rows are matched to it by doc_id
+    found = join(docs).filter("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("__component"), F.max("n_shingles").alias("__n"))
+    found = cut(found.filter((F.col("__n") > 0) & (F.col("__component") < F.col("doc_id"))).select(F.col("doc_id").alias("__gone")), "gone")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(F.struct(*own).alias("__row"), F.col("doc_id").cast("long").alias("__id"))
+    return rows.join(found, F.col("__id") == F.col("__gone"), "left_anti").select("__row.*")

@@ -179,7 +179,10 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that every rule keeps, with their columns."""
     own = [F.col(f"`{c}`") for c in docs.columns]
     work = docs.select(F.struct(*own).alias("__row"), F.col("text").alias("__body"))
-    return judge(work, "__body").filter("kept").select("__row.*")
+    # the fence keeps the filter above the projection: pushed below, it would spell
+    # out every figure again in place of its name
+    fenced = judge(work, "__body").select("__row", "kept", F.monotonically_increasing_id().alias("__fence"))
+    return fenced.filter(F.col("kept") & (F.col("__fence") >= 0)).select("__row.*")
 
 
 _STOP_SQL = ", ".join(f"'{w}'" for w in sorted({w for x in STOP_WORDS.values() for w in x.split()}))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pingworks.llm import jaccard, licenses, mixing, quality, tokencounts, toxicity
+from pingworks.llm import jaccard, licenses, mixing, packing, quality, tokencounts, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.query,
+    "op2_packing": packing.query,
     "op3_toxicity": toxicity.query,
     "op4_license_scan": licenses.query,
     "op6_jaccard_join": jaccard.query,
