@@ -12,8 +12,9 @@ set has costs nothing, so a set takes its cheapest H + 1 segments, and only thos
 them that others share are looked up.  A set with more than H segments of its own
 (which any partner must differ in) is looked up not at all.
 
-Small bands use segments of one shingle; there the rule sharpens for a pair: what
-either side has to itself already differs.
+Small bands use segments of one shingle.  Among members that stay unconnected, the
+shingles that each has to itself are counted, which bounds what a pair can share,
+and parity sketches bound from below how much two sets differ.
 
 A set whose non-empty segments are too few for the pigeonhole is irregular; were there
 any, the join runs again with segments of one shingle for all sets, which has none.
@@ -48,6 +49,8 @@ FIRST_CUT_BAND = 7
 SEGMENTS_PER_SIZE = 0.4
 SPARE = 1.4
 VERIFY_GROUP = 256
+#: 64-bit words of a parity sketch.
+SKETCH = 8
 
 #: A member's index at one band, as it travels with its signatures.
 HEAD = [("member", "<u8"), ("size", "<u4"), ("band", "<u4"), ("all", "<u4")]
@@ -257,31 +260,74 @@ def allocate(live: DataFrame) -> DataFrame:
     return df.withColumn("probe", rank <= h + 1 - F.col("own"))
 
 
-def _fits(a_size: Column, b_size: Column, a_own: Column, b_own: Column, band: Column, single: bool) -> Column:
-    """Sizes within the similarity, and what each side has to itself within H."""
-    h = F.floor((a_size + b_size) / 9)
-    alone = (a_own + b_own <= h) if not single else (F.greatest(a_own, b_own) <= h)
-    return (5 * a_size >= 4 * b_size) & (5 * b_size >= 4 * a_size) & F.when((band < FIRST_CUT_BAND), alone).otherwise(F.lit(True))
-
-
 def star_pairs(probes: DataFrame) -> DataFrame:
-    """(a, b): members and representatives of the signatures that some member looks up."""
+    """(a, b): members and representatives of the signatures that some member looks up.
+    One representative is the member with the fewest segments of its own: among near
+    copies that is the one they were all made from."""
+    central = F.min_by("member", F.struct(F.col("own") / F.col("n_all"), F.col("member")))
     reps = probes.groupBy("sig").agg(
         F.max("probe").alias("asked"),
-        F.array_distinct(F.array(F.min("member"), F.max("member"), F.min_by("member", F.xxhash64("member")))).alias("reps"),
-    )
+        F.array_distinct(F.array(F.min("member"), central, F.min_by("member", F.xxhash64("member")))).alias("reps"),
+    )
     hubs = reps.filter("asked").select("sig", F.explode("reps").alias("hub"))
     pairs = probes.select("sig", "member").join(hubs, "sig").filter("member <> hub")
     return pairs.select(F.least("hub", "member").alias("a"), F.greatest("hub", "member").alias("b")).distinct()
 
 
-def rest_pairs(probes: DataFrame, component: DataFrame, done: DataFrame, single: bool) -> DataFrame:
-    """Candidates between members that are not connected yet."""
+def _common(a: Column, b: Column) -> Column:
+    """Fewest shingles that linked sets of these sizes share."""
+    return F.ceil(4 * (a + b) / 9)
+
+
+def own_shingles(texts: DataFrame) -> DataFrame:
+    """(member, alone): how many shingles of a member no other member of ``texts`` has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, h, bounds in _sets(b.column(1)):
+                of = np.asarray(b.column(0))[i:j].repeat(np.diff(bounds))
+                for k in range(0, len(h), 50_000):
+                    yield _arrow(["h", "member"], _signed(h[k : k + 50_000]), of[k : k + 50_000])
+
+    rows = texts.select("member", "body").mapInArrow(run, "h long, member long")
+    once = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("member").alias("member")).filter("n = 1")
+    return once.groupBy("member").agg(F.count(F.lit(1)).alias("alone"))
+
+
+def sketches(texts: DataFrame) -> DataFrame:
+    """(member, k0, ...): parity of the number of shingles in each of 64 * SKETCH hash
+    cells, as bits.  Two sets differ in at least as many shingles as bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, h, bounds in _sets(b.column(1)):
+                row = np.repeat(np.arange(j - i), np.diff(bounds))
+                cell = (h >> np.uint64(20)).astype(np.int64) % (64 * SKETCH)
+                bits = np.bincount(row * 64 * SKETCH + cell, minlength=(j - i) * 64 * SKETCH) & 1
+                words = np.packbits(bits.astype(np.uint8).reshape(j - i, -1), axis=1).view(np.int64)
+                yield _arrow(["member", *[f"k{k}" for k in range(SKETCH)]], np.asarray(b.column(0))[i:j], *[np.ascontiguousarray(words[:, k]) for k in range(SKETCH)])
+
+    schema = "member long, " + ", ".join(f"k{k} long" for k in range(SKETCH))
+    return texts.select("member", "body").mapInArrow(run, schema)
+
+
+def rest_pairs(probes: DataFrame, component: DataFrame, done: DataFrame, texts: DataFrame) -> DataFrame:
+    """Candidates between members that are not connected yet.
+
+    What a member has to itself cannot be shared: a pair whose sizes less their own
+    shingles fall short of the common part that a link needs is no candidate."""
     rows = probes.join(component, "member", "left").withColumn("comp", F.coalesce("comp", "member"))
     mixed = rows.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("probe").alias("asked")).filter("lo <> hi and asked").select("sig")
-    rows = rows.join(mixed, "sig", "left_semi")
+    rows = cut(rows.join(mixed, "sig", "left_semi"), "mixed")
+    texts = texts.join(rows.select("member").distinct(), "member", "left_semi")
+    rows = rows.join(own_shingles(texts), "member", "left").join(sketches(texts), "member").withColumn("shared", F.col("size") - F.coalesce("alone", F.lit(0)))
+    rows = cut(rows.filter(F.col("shared") >= _common(F.col("size"), F.ceil(F.col("size") * 4 / 5))), "unconnected")
     p, q = rows.filter("probe").alias("p"), rows.alias("q")
-    on = (F.col("p.sig") == F.col("q.sig")) & (F.col("p.comp") != F.col("q.comp")) & _fits(F.col("p.size"), F.col("q.size"), F.col("p.own"), F.col("q.own"), F.col("p.band"), single)
+    need = _common(F.col("p.size"), F.col("q.size"))
+    on = (F.col("p.sig") == F.col("q.sig")) & (F.col("p.comp") != F.col("q.comp")) & (F.col("p.shared") >= need) & (F.col("q.shared") >= need)
+    on = on & (5 * F.col("p.size") >= 4 * F.col("q.size")) & (5 * F.col("q.size") >= 4 * F.col("p.size"))
+    differ = sum(F.bit_count(F.col(f"p.k{k}").bitwiseXOR(F.col(f"q.k{k}"))) for k in range(SKETCH))
+    on = on & (differ <= F.col("p.size") + F.col("q.size") - 2 * need)
     pairs = p.join(q, on).select(F.least("p.member", "q.member").alias("a"), F.greatest("p.member", "q.member").alias("b")).distinct()
     return pairs.join(done, ["a", "b"], "left_anti")
 
@@ -380,7 +426,7 @@ def join(docs: DataFrame, text: str = "text") -> DataFrame:
     star = cut(star_pairs(probes), "stars")
     links = cut(verify(star, bodies), "linked")
     label = components(links)
-    rest = cut(rest_pairs(probes, label, star, single), "rest")
+    rest = cut(rest_pairs(probes, label, star, bodies), "rest")
     more = verify(rest, bodies)
     label = components(links.unionByName(more))
     grouped = about.join(label, "member", "left").withColumn("comp", F.coalesce("comp", "member"))
