@@ -1,0 +1,42 @@
+"""Raw pings derived from the ``events`` table by integer arithmetic, so that any
+engine computes the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def raw_pings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type", "value")
+    i, u, kind = F.col("event_id"), F.col("user_id"), F.col("event_type")
+    # each event, and a replay of every tenth one right behind it
+    e = e.withColumn("again", F.explode(F.when(i % 10 == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    zero, m = i % 97 == 0, u % 10
+    grid = lambda base, a, b, n: (F.lit(base) + (i * a + u * b) % n * 5).cast("double") / F.lit(10000.0)
+    route = F.when(kind == "signup", "U").when(u % 150 == 149, "99").when(m < 4, "12").when(m < 6, "47").when(m < 8, "91").when(m == 8, "39").otherwise("9")
+    late = (kind == "error") & ((m < 4) | ((m < 6) & (i % 2 == 0)) | ((m >= 6) & (i % 4 == 0)))
+    return e.select(
+        "event_id", (2 * i + F.col("again")).alias("arrival_seq"), u.cast("string").alias("vid"),
+        F.when(i % 17 == 5, F.col("ts") - F.expr("INTERVAL 2 DAYS")).otherwise(F.col("ts")).alias("timestamp"),
+        F.when(zero, 0.0).otherwise(grid(299050, 37, 11, 160)).alias("lat"), F.when(zero, 0.0).otherwise(grid(-901450, 53, 29, 180)).alias("lon"),
+        (i * 13 % 360).cast("int").alias("heading"), route.alias("route"),
+        F.when(i % 11 == 0, "N/A").when(i % 13 == 0, F.lit(None)).otherwise(F.concat(F.lit("T"), u.cast("string"))).alias("trip_id"),
+        kind.alias("destination"), (F.floor("value").cast("int") % 45).alias("speed"), late.alias("is_delayed"), (kind == "purchase").alias("is_off_route"),
+        F.when(i % 7 == 0, F.lit(None)).otherwise((i % 5000).cast("int")).alias("pdist"), (u % 12).cast("int").alias("pid"), route.alias("rid"),
+        F.concat(F.lit("B"), (u % 20).cast("string")).alias("tablockid"), F.lit(None).cast("string").alias("srvtmstmp"),
+    )
+
+
+def messages(spark: SparkSession, sf_dir: str, per_message: int = 50) -> DataFrame:
+    """The same pings as feed texts: (message_no, received_at, value)."""
+    r = raw_pings(spark, sf_dir)
+    text = lambda c: F.col(c).cast("string")
+    coord = lambda c: F.when(F.col(c) == 0.0, "0").otherwise(text(c))
+    v = F.struct(
+        "arrival_seq", F.col("vid"), text("timestamp").alias("tmstmp"), coord("lat").alias("lat"), coord("lon").alias("lon"), text("heading").alias("hdg"),
+        F.col("route").alias("rt"), F.col("trip_id").alias("tatripid"), F.col("destination").alias("des"), text("speed").alias("spd"),
+        F.col("is_delayed").alias("dly"), F.col("is_off_route").alias("or"), text("pdist").alias("pdist"), text("pid").alias("pid"), "rid", "tablockid", "srvtmstmp",
+    )
+    no = F.floor(F.col("arrival_seq") / per_message).cast("long")
+    return r.groupBy(no.alias("message_no")).agg(F.max("timestamp").alias("received_at"), F.to_json(F.sort_array(F.collect_list(v))).alias("value"))
