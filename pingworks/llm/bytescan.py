@@ -24,7 +24,7 @@ def _power(which: str, n: int) -> np.ndarray:
     have = _powers[which]
     if len(have) < n:
         step = _BASE if which == "up" else pow(_BASE, -1, 1 << 64)
-        size = max(n, 2 * len(have))
+        size = max(n, 1 << 16)
         grown = np.full(size, step & _MASK, np.uint64)
         grown[0] = 1
         _powers[which] = have = np.cumprod(grown, dtype=np.uint64)

@@ -43,7 +43,7 @@ from pingworks.llm.bytescan import LOWER, mix, prefix_sums, ranges, span_hashes,
 from pingworks.llm.shared import cut, slices, text_buffer
 
 SHINGLE = 5
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Bands are powers of two; below this one a segment is one shingle.
 FIRST_CUT_BAND = 7
 SEGMENTS_PER_SIZE = 0.4
