@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pingworks.llm import jaccard, licenses, mixing, packing, quality, tokencounts, toxicity
+from pingworks.llm import jaccard, licenses, mixing, packing, quality, tokencounts, toxicity, warc
 
 QUERIES = {
     "op1_mixing": mixing.query,
     "op2_packing": packing.query,
     "op3_toxicity": toxicity.query,
     "op4_license_scan": licenses.query,
+    "op5_warc": warc.query,
     "op6_jaccard_join": jaccard.query,
     "op9_token_counts": tokencounts.query,
     "op10_quality_rules": quality.query,
@@ -16,5 +17,6 @@ QUERIES = {
 
 ORACLES = {
     "op1_mixing": mixing.ORACLE_SQL,
+    "op5_warc": warc.ORACLE_SQL,
     "op10_quality_rules": quality.ORACLE_SQL,
 }
