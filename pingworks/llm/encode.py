@@ -19,7 +19,7 @@ import pyarrow as pa
 from pingworks.llm.bytescan import prefix_sums, ranges, span_hashes
 from pingworks.llm.shared import slices, text_buffer
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Beyond so many chunks a task's cache starts afresh.
 CACHE_CHUNKS = 600_000
 
