@@ -36,8 +36,8 @@ SIZES = (3, 4, 5, 6, 7)
 class Bounds:
     """Most rows and bytes of text of one class that the fit may use."""
 
-    rows: int = 3000
-    bytes: int = 10 << 20
+    rows: int = 2500
+    bytes: int = 6 << 20
 
 
 @dataclass(frozen=True)
@@ -104,23 +104,27 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float, rounds: int = 300) ->
     chosen = np.abs(rate[1] / n[1] - rate[0] / n[0]) > 4 * error
     if not chosen.any():
         return empty
-    index = np.cumsum(chosen) - 1
+    index = (np.cumsum(chosen) - 1).astype(np.int32)
     cols, vals, lens = [], [], []
     for text in texts:
         buckets, counts, total = _features(text)
         keep = chosen[buckets]
         cols.append(index[buckets[keep]])
-        vals.append(counts[keep] * ratio[buckets[keep]] / np.sqrt(total))
+        vals.append((counts[keep] * ratio[buckets[keep]] / np.sqrt(total)).astype(np.float32))
         lens.append(int(keep.sum()))
-    rows, cols, vals = np.repeat(np.arange(len(texts)), lens), np.concatenate(cols), np.concatenate(vals)
+    cols, vals = np.concatenate(cols), np.concatenate(vals)
+    parts = _row_parts(np.array(lens), 1 << 20)
     y, k = yes.astype(float), int(chosen.sum())
     weight = np.where(yes, 0.5 / n[1], 0.5 / n[0])
     w, b = np.zeros(k), 0.0
     m, v, mb, vb = np.zeros(k), np.zeros(k), 0.0, 0.0
     for t in range(1, rounds + 1):  # Adam on the ridge-penalised log loss
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(rows, vals * w[cols], len(texts)) + b, -30, 30)))
-        d = (p - y) * weight
-        g, gb = np.bincount(cols, vals * d[rows], k) + 1e-5 * w, d.sum()
+        g, gb = 1e-5 * w, 0.0
+        for first, last, at, rows in parts:  # in parts, so that temporaries stay small
+            c, x = cols[at], vals[at]
+            p = 1 / (1 + np.exp(-np.clip(np.bincount(rows, x * w[c], last - first) + b, -30, 30)))
+            d = (p - y[first:last]) * weight[first:last]
+            g, gb = g + np.bincount(c, x * d[rows], k), gb + d.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         step = 0.1 * np.sqrt(1 - 0.99**t) / (1 - 0.9**t)
         w, b = w - step * m / (np.sqrt(v) + 1e-10), b - step * mb / (np.sqrt(vb) + 1e-10)
@@ -129,6 +133,14 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float, rounds: int = 300) ->
     return Model(out, float(b + np.log(prior / (1 - prior))), True)
 
 
+def _row_parts(lens: np.ndarray, most: int) -> list[tuple]:
+    """Ranges of texts of about ``most`` features: first, last + 1, features, their rows."""
+    offs, out = np.append(0, np.cumsum(lens)), []
+    for i, j in slices(offs, most):
+        out.append((i, j, slice(int(offs[i]), int(offs[j])), np.repeat(np.arange(j - i, dtype=np.int32), lens[i:j])))
+    return out
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
