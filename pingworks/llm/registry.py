@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pingworks.llm import jaccard, licenses, mixing, packing, quality, tokencounts, tokenids, toxicity, warc
+from pingworks.llm import jaccard, licenses, media, mixing, packing, quality, tokencounts, tokenids, toxicity, warc
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_warc": warc.query,
     "op6_jaccard_join": jaccard.query,
     "op7_token_ids": tokenids.query,
+    "op8_media": media.query,
     "op9_token_counts": tokencounts.query,
     "op10_quality_rules": quality.query,
 }
