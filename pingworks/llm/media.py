@@ -1,6 +1,6 @@
 """Media columns: payloads kept as progressive JPEG, read back into RGB tensors.
 
-A payload's bytes are the quantised coefficients of an image (less 128, in zig-zag
+A payload's bytes are the quantised coefficients of an image (less OFFSET, in zig-zag
 order, quantisers of one), so the file holds it without loss; the file's comment holds
 its length.  Reading accumulates the scans into coefficients, from which both the
 payload and, by inverse transform and chroma upsampling, the tensor come.
@@ -27,6 +27,8 @@ from pingworks.llm.shared import new_path, slices, text_buffer
 UNIT = 192
 BATCH_BYTES = 512 << 10
 MCU_BYTES = 384
+#: Taken from each byte; near the middle of the letters, so that most numbers are small.
+OFFSET = 110
 
 
 def to_jpeg(payloads: list[bytes]) -> list[bytes]:
@@ -36,7 +38,7 @@ def to_jpeg(payloads: list[bytes]) -> list[bytes]:
         n = -(-len(p) // MCU_BYTES)
         width, height = J.grid(n)
         c = np.zeros(width * height * MCU_BYTES, np.int16)
-        c[: len(p)] = np.frombuffer(p, np.uint8).astype(np.int16) - 128
+        c[: len(p)] = np.frombuffer(p, np.uint8).astype(np.int16) - OFFSET
         frames.append((c.reshape(-1, 6, 64), width, height))
     return J.write(frames, [b"payload=%d" % len(p) for p in payloads])
 
@@ -46,7 +48,7 @@ def _payload(img: J.Image, coef: np.ndarray) -> bytes:
     y = coef[img.base[0] : img.base[0] + 4 * rows * width].reshape(rows, 2, width, 2, 64).transpose(0, 2, 1, 3, 4).reshape(-1, 4, 64)
     chroma = [coef[img.base[c] : img.base[c] + rows * width][:, None] for c in (1, 2)]
     size = int(img.comment.removeprefix(b"payload="))
-    return (np.concatenate([y, *chroma], 1).ravel()[:size] + 128).astype(np.uint8).tobytes()
+    return (np.concatenate([y, *chroma], 1).ravel()[:size] + OFFSET).astype(np.uint8).tobytes()
 
 
 def from_jpeg(files: list[bytes]) -> list[tuple[bytes, np.ndarray]]:
@@ -71,7 +73,7 @@ def store(docs: DataFrame, path: str, text: str = "text") -> None:
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "media"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text)
-    rows.mapInArrow(run, "doc_id long, n_bytes long, media binary").write.option("compression", "uncompressed").parquet(path)
+    rows.mapInArrow(run, "doc_id long, n_bytes long, media binary").write.option("compression", "zstd").parquet(path)
 
 
 DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"

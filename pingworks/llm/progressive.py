@@ -19,7 +19,7 @@ from pingworks.llm.bytescan import ranges
 # Zig-zag order of an 8 x 8 block.
 ZIGZAG = np.array(sorted(range(64), key=lambda i: (i // 8 + i % 8, (i // 8 if (i // 8 + i % 8) % 2 else i % 8))))
 #: Restart interval in MCUs; a component alone has as many blocks as these MCUs hold.
-RESTART = 4
+RESTART = 8
 _LAYOUT = ((2, 2), (1, 1), (1, 1))
 # Scans: (components, first, last coefficient, previous bit, bit).
 SCRIPT = [
@@ -63,7 +63,10 @@ def _table(groups: list[tuple[int, list[int]]]) -> Table:
 
 _EOBS = [r << 4 for r in range(15)]
 DC_TABLE = _table([(4, list(range(12)))])
-AC_TABLE = _table([(4, list(range(1, 11))), (9, [r << 4 | s for r in range(1, 16) for s in range(1, 11)] + [0xF0] + _EOBS)])
+_SHORT = [(2, [0x03, 0x04, 0x07]), (4, [0x01, 0x06]), (5, [0x13, 0x02, 0x17]), (6, [0x14]), (7, [0x05]), (9, [0x11]), (10, [0x12, 0x24]), (11, [0x23]), (12, [0x00, 0x08])]
+_LONG = [x for x in [r << 4 | s for r in range(16) for s in range(1, 11)] + [0xF0] + _EOBS if not any(x in g for _, g in _SHORT)]
+#: Short codes for what text bytes less media.OFFSET give: few zeros, small numbers and blanks.
+AC_TABLE = _table([*_SHORT, (16, _LONG)])
 REFINE_TABLE = _table([(6, [r << 4 | 1 for r in range(16)] + [0xF0] + _EOBS)])
 
 
