@@ -295,7 +295,7 @@ def own_shingles(texts: DataFrame) -> DataFrame:
 
 
 def sketches(texts: DataFrame) -> DataFrame:
-    """(member, k0, ...): parity of the number of shingles in each of 64 * SKETCH hash
+    """(member, size, k0, ...): parity of the number of shingles in each of 64 * SKETCH hash
     cells, as bits.  Two sets differ in at least as many shingles as bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,13 +305,26 @@ def sketches(texts: DataFrame) -> DataFrame:
                 cell = (h >> np.uint64(20)).astype(np.int64) % (64 * SKETCH)
                 bits = np.bincount(row * 64 * SKETCH + cell, minlength=(j - i) * 64 * SKETCH) & 1
                 words = np.packbits(bits.astype(np.uint8).reshape(j - i, -1), axis=1).view(np.int64)
-                yield _arrow(["member", *[f"k{k}" for k in range(SKETCH)]], np.asarray(b.column(0))[i:j], *[np.ascontiguousarray(words[:, k]) for k in range(SKETCH)])
+                yield _arrow(["member", "size", *[f"k{k}" for k in range(SKETCH)]], np.asarray(b.column(0))[i:j], np.diff(bounds), *[np.ascontiguousarray(words[:, k]) for k in range(SKETCH)])
 
-    schema = "member long, " + ", ".join(f"k{k} long" for k in range(SKETCH))
+    schema = "member long, size long, " + ", ".join(f"k{k} long" for k in range(SKETCH))
     return texts.select("member", "body").mapInArrow(run, schema)
 
 
-def rest_pairs(probes: DataFrame, component: DataFrame, done: DataFrame, texts: DataFrame) -> DataFrame:
+def _differ(a: str, b: str) -> Column:
+    """Bits in which two sketches differ."""
+    return sum(F.bit_count(F.col(f"{a}.k{k}").bitwiseXOR(F.col(f"{b}.k{k}"))) for k in range(SKETCH))
+
+
+def plausible(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
+    """The pairs that sizes and sketches do not rule out."""
+    out = pairs.join(sketch.alias("x"), F.col("a") == F.col("x.member")).join(sketch.alias("y"), F.col("b") == F.col("y.member"))
+    need = _common(F.col("x.size"), F.col("y.size"))
+    fits = (need <= F.col("x.size")) & (need <= F.col("y.size")) & (_differ("x", "y") <= F.col("x.size") + F.col("y.size") - 2 * need)
+    return out.filter(fits).select("a", "b")
+
+
+def rest_pairs(probes: DataFrame, component: DataFrame, done: DataFrame, texts: DataFrame, sketch: DataFrame) -> DataFrame:
     """Candidates between members that are not connected yet.
 
     What a member has to itself cannot be shared: a pair whose sizes less their own
@@ -320,14 +333,13 @@ def rest_pairs(probes: DataFrame, component: DataFrame, done: DataFrame, texts:
     mixed = rows.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("probe").alias("asked")).filter("lo <> hi and asked").select("sig")
     rows = cut(rows.join(mixed, "sig", "left_semi"), "mixed")
     texts = texts.join(rows.select("member").distinct(), "member", "left_semi")
-    rows = rows.join(own_shingles(texts), "member", "left").join(sketches(texts), "member").withColumn("shared", F.col("size") - F.coalesce("alone", F.lit(0)))
+    rows = rows.join(own_shingles(texts), "member", "left").join(sketch.drop("size"), "member").withColumn("shared", F.col("size") - F.coalesce("alone", F.lit(0)))
     rows = cut(rows.filter(F.col("shared") >= _common(F.col("size"), F.ceil(F.col("size") * 4 / 5))), "unconnected")
     p, q = rows.filter("probe").alias("p"), rows.alias("q")
     need = _common(F.col("p.size"), F.col("q.size"))
     on = (F.col("p.sig") == F.col("q.sig")) & (F.col("p.comp") != F.col("q.comp")) & (F.col("p.shared") >= need) & (F.col("q.shared") >= need)
     on = on & (5 * F.col("p.size") >= 4 * F.col("q.size")) & (5 * F.col("q.size") >= 4 * F.col("p.size"))
-    differ = sum(F.bit_count(F.col(f"p.k{k}").bitwiseXOR(F.col(f"q.k{k}"))) for k in range(SKETCH))
-    on = on & (differ <= F.col("p.size") + F.col("q.size") - 2 * need)
+    on = on & (_differ("p", "q") <= F.col("p.size") + F.col("q.size") - 2 * need)
     pairs = p.join(q, on).select(F.least("p.member", "q.member").alias("a"), F.greatest("p.member", "q.member").alias("b")).distinct()
     return pairs.join(done, ["a", "b"], "left_anti")
 
@@ -424,9 +436,10 @@ def join(docs: DataFrame, text: str = "text") -> DataFrame:
 
     bodies = cut(bodies.mapInArrow(matching, "member long, body string").dropDuplicates(["member"]), "bodies")
     star = cut(star_pairs(probes), "stars")
-    links = cut(verify(star, bodies), "linked")
+    sketch = cut(sketches(bodies), "sketches")
+    links = cut(verify(cut(plausible(star, sketch), "plausible"), bodies), "linked")
     label = components(links)
-    rest = cut(rest_pairs(probes, label, star, bodies), "rest")
+    rest = cut(rest_pairs(probes, label, star, bodies, sketch), "rest")
     more = verify(rest, bodies)
     label = components(links.unionByName(more))
     grouped = about.join(label, "member", "left").withColumn("comp", F.coalesce("comp", "member"))
