@@ -410,17 +410,16 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
-def join(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id), one row a document."""
+def join(docs: DataFrame, text: str = "text", single: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id), one row a document.  ``single``: segments of
+    one shingle for all sets, which is also the way for irregular ones."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     about = cut(describe(docs), "sets")
-    single = False
     live = cut(shared_signatures(docs, parts, single), "signatures")
-    if not live.filter("df = 0").isEmpty():
-        single = True
-        live = cut(shared_signatures(docs, parts, single), "signatures")
+    if not single and not live.filter("df = 0").isEmpty():
+        return join(docs, "text", True)
     probes = cut(allocate(live), "probes")
     asked = probes.filter("probe").select("sig").distinct()
     probes = cut(probes.join(asked, "sig", "left_semi"), "asked")

@@ -25,7 +25,7 @@ from pingworks.llm import progressive as J
 from pingworks.llm.shared import new_path, slices, text_buffer
 
 UNIT = 192
-BATCH_BYTES = 512 << 10
+BATCH_BYTES = 1 << 20
 MCU_BYTES = 384
 #: Taken from each byte; near the middle of the letters, so that most numbers are small.
 OFFSET = 110

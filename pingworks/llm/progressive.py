@@ -87,11 +87,19 @@ def _pack(lane: np.ndarray, value: np.ndarray, length: np.ndarray, lanes: int) -
     before = np.cumsum(length) - length
     of_lane = np.cumsum(per) - per
     at = 8 * start[lane] + before - of_lane[lane]
-    bits = np.ones(8 * int(size.sum()), np.uint8)
-    item = np.repeat(np.arange(len(value)), length)
-    k = np.arange(len(item)) - np.repeat(before, length)
-    bits[np.repeat(at, length) + k] = value[item] >> (length[item] - 1 - k) & 1
-    raw = np.packbits(bits).tobytes()
+    words = np.zeros(int(size.sum()) // 4 + 3, np.uint32)
+    # items lie in ascending places: each as 64 bits from the start of its 32-bit word,
+    # those of one word joined by one reduction
+    word, x = at >> 5, value.astype(np.uint64) << (64 - (at & 31) - length).astype(np.uint64)
+    if len(x):
+        firsts = np.flatnonzero(np.diff(word, prepend=-1))
+        x = np.bitwise_or.reduceat(x, firsts)
+        word = word[firsts]
+        words[word] |= (x >> np.uint64(32)).astype(np.uint32)
+        words[word + 1] |= x.astype(np.uint32)
+    raw = np.frombuffer(words.astype(">u4").tobytes(), np.uint8).copy()
+    raw[start + size - 1] |= ((1 << (8 * size - per)) - 1).astype(np.uint8)
+    raw = raw.tobytes()
     ends = (start + size).tolist()
     return [raw[a:b].replace(b"\xff", b"\xff\x00") for a, b in zip(start.tolist(), ends)]
 
@@ -275,7 +283,7 @@ class Image:
 _CUT = re.compile(rb"\xff[^\x00]")
 
 
-def parse(raw: bytes, tables: dict[Table, int]) -> Image:
+def parse(raw: bytes, tables: dict[bytes, int]) -> Image:
     """Frame, tables and scans of a file; entropy-coded parts are cut at restarts."""
     img, at, huff, interval = Image(), 2, {}, 0
     if raw[:2] != b"\xff\xd8":
@@ -302,7 +310,7 @@ def parse(raw: bytes, tables: dict[Table, int]) -> Image:
         elif marker == 0xC4:
             while body:
                 n = sum(body[1:17])
-                huff[body[0]], body = tables.setdefault(Table(tuple(body[1:17]), tuple(body[17 : 17 + n])), len(tables)), body[17 + n :]
+                huff[body[0]], body = tables.setdefault(body[1 : 17 + n], len(tables)), body[17 + n :]
         elif marker == 0xDD:
             interval = int.from_bytes(body, "big")
         elif marker == 0xDA:
@@ -351,19 +359,21 @@ class _Lanes:
 
     def __init__(self, lookups: np.ndarray):
         self.lookups, self.parts, self.rows = lookups, [], []
-        self.seq, self.n_seq = [], 0
+        self.seq, self.n_seq, self.comps, self.tables = [], 0, [], []
 
     def add(self, img: Image, scan: tuple) -> None:
         comps, lo, hi, high, low, dc, ac, interval, parts = scan
         seq, comp, unit = _order(img.width, img.height, tuple(img.comps), tuple(comps))
-        seq, table = seq + img.base[0], np.array(dc)[comp]
         step = (interval or len(seq)) * unit
         for i, p in enumerate(parts):
             n = min(step, len(seq) - i * step)
             if n > 0:
                 self.rows.append((self.n_seq + i * step, n, lo, hi, low, ac))
                 self.parts.append(p)
-        self.seq.append(np.stack([seq, table, comp]))
+        self.seq.append(seq + img.base[0])
+        if lo == 0:  # only DC scans mix components
+            self.comps.append(comp)
+            self.tables.append(np.array(dc)[comp])
         self.n_seq += len(seq)
 
     def ready(self) -> None:
@@ -377,7 +387,9 @@ class _Lanes:
         self.end = self.bit + 8 * (sizes - 5)
         self.at, self.n, self.lo, self.hi, self.low, self.ac = (np.array(x, np.int64) for x in zip(*self.rows))
         self.stop = self.at + self.n
-        self.block, self.table, self.comp = np.concatenate(self.seq, axis=1)
+        self.block = np.concatenate(self.seq)
+        if self.comps:
+            self.table, self.comp = np.concatenate(self.tables), np.concatenate(self.comps)
 
     def symbols(self, w: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Next symbol of lanes ``w``, and their window and the bit behind the symbol."""
@@ -497,7 +509,7 @@ def _ac_refine(L: _Lanes, coef: np.ndarray) -> None:
 
 def read(files: list[bytes]) -> tuple[list[Image], np.ndarray]:
     """Frames of the files, and all their blocks as (n, 64) zig-zag coefficients."""
-    tables: dict[Table, int] = {}
+    tables: dict[bytes, int] = {}
     images = [parse(f, tables) for f in files]
     total = 0
     for img in images:
@@ -506,7 +518,7 @@ def read(files: list[bytes]) -> tuple[list[Image], np.ndarray]:
             rows, cols, _, _ = img.shape(c)
             total += rows * cols
     coef = np.zeros((total, 64), np.int32)
-    lookups = np.concatenate([t.lookup() for t in tables] or [np.zeros(65536, np.int32)])
+    lookups = np.concatenate([Table(tuple(t[:16]), tuple(t[16:])).lookup() for t in tables] or [np.zeros(65536, np.int32)])
     # runs of first AC scans touch different coefficients, so they may advance together
     depth, step = max([len(i.scans) for i in images], default=0), 0
     while step < depth:
