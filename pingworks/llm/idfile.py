@@ -26,6 +26,7 @@ HEADER = 24
 VOCABULARY = 1 << 16
 _SLOTS = 1 << 12
 _SHARE = 16  # bits of the shares' total
+_ADAPT = 4  # shares follow every fourth id
 _REFRESH = 256  # then at twice as many ids each time
 # The coder: 48-bit range, 16 bits shifted out when it falls below 2^32.
 _LOW = 1 << 32
@@ -67,9 +68,14 @@ class _Models:
         self.run_of[starts // k * _SLOTS + (self.ids[starts] & (_SLOTS - 1))] = np.arange(len(starts))
 
     def guesses(self) -> tuple[np.ndarray, np.ndarray]:
-        """Order-2 and order-1 guess; sets the bounds of the shares."""
+        """Order-2 and order-1 guess."""
         self.slot2 = self.base + (((self.a * 40503) ^ (self.b * 2654435761 >> 5)) & (_SLOTS - 1))
         self.slot1 = self.base + (self.b & (_SLOTS - 1))
+        if len(self.seen) % _ADAPT == 0:
+            self._reshare()
+        return self.second[self.slot2], self.first[self.slot1]
+
+    def _reshare(self) -> None:
         h = np.clip(self.hits, 1 << 9, 60_000)
         bounds, left = self.bounds, (1 << _SHARE) - h[0]
         s1 = left * h[1] >> _SHARE
@@ -78,7 +84,6 @@ class _Models:
         bounds[3] = bounds[2]
         if self.k:
             bounds[3] += (left - s1) * h[2] >> _SHARE
-        return self.second[self.slot2], self.first[self.slot1]
 
     def share(self, how: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and size of each lane's share."""
@@ -97,8 +102,9 @@ class _Models:
 
     def update(self, ids: np.ndarray, how: np.ndarray) -> None:
         """``how``: 0 to 3 for order 2, 1, 0 and unseen."""
-        right = np.where(how == self.orders, 65535, 0)
-        self.hits += np.where(how >= self.orders, (right - self.hits) >> 5, 0)
+        if len(self.seen) % _ADAPT == 0:
+            right = np.where(how == self.orders, 65535, 0)
+            self.hits += np.where(how >= self.orders, (right - self.hits) >> 4, 0)
         self.second[self.slot2] = ids
         self.first[self.slot1] = ids
         self.a, self.b = self.b, ids.astype(np.int64)
@@ -113,8 +119,9 @@ def encode_blocks(blocks: np.ndarray, counts: np.ndarray, vocabulary: int = VOCA
     lanes, longest = blocks.shape
     m = _Models(lanes, vocabulary, longest)
     low, rng = np.zeros(lanes, np.int64), np.full(lanes, _FULL, np.int64)
-    out = np.zeros((lanes, 2 * longest + 8), np.int32)  # 16-bit words with carries still in them
-    at = np.zeros(lanes, np.int64)
+    width = 2 * longest + 8
+    out = np.zeros((lanes, width), np.int32)  # 16-bit words with carries still in them
+    flat, at = out.reshape(-1), np.arange(lanes) * width
 
     def narrow(w, start: np.ndarray, size: np.ndarray, step: np.ndarray) -> None:
         """Lanes ``w`` (a slice or indices) keep [start, start + size) of their range."""
@@ -122,12 +129,12 @@ def encode_blocks(blocks: np.ndarray, counts: np.ndarray, vocabulary: int = VOCA
         over = np.flatnonzero(x > _FULL)
         lane = m.row[w]
         if len(over):
-            out[lane[over], at[lane[over]] - 1] += 1
+            flat[at[lane[over]] - 1] += 1
             x[over] &= _FULL
         small = np.flatnonzero(r < _LOW)
         if len(small):
             s = lane[small]
-            out[s, at[s]] = x[small] >> 32
+            flat[at[s]] = x[small] >> 32
             at[s] += 1
             x[small] = x[small] << 16 & _FULL
             r[small] <<= 16
@@ -153,7 +160,7 @@ def encode_blocks(blocks: np.ndarray, counts: np.ndarray, vocabulary: int = VOCA
         m.update(ids, how)
     result = []
     for i in range(lanes):
-        words = np.append(out[i, : at[i]].astype(np.int64), [low[i] >> s & 0xFFFF for s in (32, 16, 0)])
+        words = np.append(out[i, : at[i] - i * width].astype(np.int64), [low[i] >> s & 0xFFFF for s in (32, 16, 0)])
         while (over := np.flatnonzero(words > 0xFFFF)).size:  # carries run to the left
             words[over] -= 1 << 16
             words[over - 1] += 1
