@@ -101,7 +101,7 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float, rounds: int = 300) ->
     ratio = np.log((rate[1] + 1) / (n[1] + 2)) - np.log((rate[0] + 1) / (n[0] + 2))
     pooled = (rate[0] + rate[1]) / (n[0] + n[1])
     error = np.sqrt(np.maximum(pooled * (1 - pooled), 1e-9) * (1 / n[0] + 1 / n[1]))
-    chosen = np.abs(rate[1] / n[1] - rate[0] / n[0]) > 4 * error
+    chosen = np.abs(rate[1] / n[1] - rate[0] / n[0]) > 3 * error
     if not chosen.any():
         return empty
     index = (np.cumsum(chosen) - 1).astype(np.int32)
