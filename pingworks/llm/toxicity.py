@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pingworks.llm.bytescan import LOWER, _power, mix, prefix_sums
-from pingworks.llm.shared import slices, text_buffer
+from pingworks.llm.shared import bound_batches, slices, text_buffer
 
 THRESHOLD = 0.3
 BUCKET_BITS = 20
@@ -163,6 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, bounds: Bounds = Bounds()) -> Mode
 
 def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with score (0 to 1) and predicted (1 if score >= ``threshold``)."""
+    bound_batches(docs.sparkSession)
     docs = docs.drop("score", "predicted")
     names = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
