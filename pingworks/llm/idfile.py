@@ -140,9 +140,11 @@ def encode_blocks(blocks: np.ndarray, counts: np.ndarray, vocabulary: int = VOCA
             r[small] <<= 16
         low[w], rng[w] = x, r
 
+    fewer, columns = -counts, np.ascontiguousarray(blocks.T)
     for t in range(longest):
-        n = int(np.searchsorted(-counts, -t, "left"))  # lanes that still have ids
-        ids = np.where(m.row < n, blocks[:, t], 0).astype(np.int64)
+        n = int(np.searchsorted(fewer, -t, "left"))  # lanes that still have ids
+        ids = columns[t].astype(np.int64)
+        ids[n:] = 0
         g2, g1 = m.guesses()
         rest = np.flatnonzero((ids != g2) & (ids != g1) & (m.row < n))
         seen, place, number = m.places(ids[rest], rest)
@@ -177,7 +179,7 @@ def decode_blocks(codes: list[bytes], counts: np.ndarray, vocabulary: int = VOCA
         raw[i, : len(c) // 2] = np.frombuffer(c, ">u2")
     code = raw[:, 0] << 32 | raw[:, 1] << 16 | raw[:, 2]
     at, rng = np.full(lanes, 3, np.int64), np.full(lanes, _FULL, np.int64)
-    out = np.zeros((lanes, longest), np.uint16)
+    out = np.zeros((longest, lanes), np.uint16)
 
     def narrow(w, start: np.ndarray, size: np.ndarray, step: np.ndarray) -> None:
         x, r = code[w] - step * start, step * size
@@ -189,14 +191,16 @@ def decode_blocks(codes: list[bytes], counts: np.ndarray, vocabulary: int = VOCA
             r[small] <<= 16
         code[w], rng[w] = x, r
 
+    fewer = -counts
     for t in range(longest):
-        n = int(np.searchsorted(-counts, -t, "left"))
+        n = int(np.searchsorted(fewer, -t, "left"))
         w = slice(0, n)
         g2, g1 = m.guesses()
         step = rng[w] >> _SHARE
         target = np.minimum(code[w] // step, (1 << _SHARE) - 1)
         how = np.zeros(lanes, np.int64)
-        how[w] = (target >= m.bounds[1:4, w]).sum(0)
+        c2, c1, c0 = m.bounds[1:4, w]
+        how[w] = (target >= c2).astype(np.int64) + (target >= c1) + (target >= c0)
         start, size = m.share(how)
         narrow(w, start[w], size[w], step)
         ids = np.where(how == 0, g2, g1).astype(np.int64)
@@ -216,8 +220,8 @@ def decode_blocks(codes: list[bytes], counts: np.ndarray, vocabulary: int = VOCA
         # the writer names the first guess that is right
         how = np.where(m.row < n, how, np.where(g2 == 0, 0, np.where(g1 == 0, 1, 3)))
         m.update(ids, how)
-        out[:, t] = ids
-    return out
+        out[t] = ids
+    return out.T
 
 
 def pack_block(ids: np.ndarray, code: bytes) -> bytes:
