@@ -163,7 +163,10 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES,
         "base_failed": (n < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * n),
         "failed_rules": F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in compile_rules(rules).items()])),
     })
-    df = df.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
+    # the row number, always true here, keeps later filters above this projection: pushed
+    # below, they would spell out every figure again in place of its name
+    fence = F.monotonically_increasing_id() >= 0
+    df = df.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0) & fence)
     return df.drop(*[c for c in df.columns if c.startswith("__q_")])
 
 
@@ -179,10 +182,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that every rule keeps, with their columns."""
     own = [F.col(f"`{c}`") for c in docs.columns]
     work = docs.select(F.struct(*own).alias("__row"), F.col("text").alias("__body"))
-    # the fence keeps the filter above the projection: pushed below, it would spell
-    # out every figure again in place of its name
-    fenced = judge(work, "__body").select("__row", "kept", F.monotonically_increasing_id().alias("__fence"))
-    return fenced.filter(F.col("kept") & (F.col("__fence") >= 0)).select("__row.*")
+    return judge(work, "__body").filter("kept").select("__row.*")
 
 
 _STOP_SQL = ", ".join(f"'{w}'" for w in sorted({w for x in STOP_WORDS.values() for w in x.split()}))
