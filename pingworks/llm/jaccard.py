@@ -164,17 +164,17 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def describe(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, member): a member is a distinct set, 0 the empty one."""
+    """(doc_id, row_hash, n_shingles, member): a member is a distinct set, 0 the empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, h, bounds in _sets(b.column(1)):
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i), pa.array(np.diff(bounds).astype(np.int64)), pa.array(_signed(_prints(h, bounds)))],
-                    names=["doc_id", "n_shingles", "member"],
+                    [b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(np.diff(bounds).astype(np.int64)), pa.array(_signed(_prints(h, bounds)))],
+                    names=["doc_id", "row_hash", "n_shingles", "member"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col(text)).mapInArrow(run, "doc_id long, n_shingles long, member long")
+    return docs.select(F.col("doc_id").cast("long"), F.col(text), "row_hash").mapInArrow(run, "doc_id long, row_hash long, n_shingles long, member long")
 
 
 def shared_signatures(docs: DataFrame, parts: int, single: bool, text: str = "text") -> DataFrame:
@@ -410,16 +410,15 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
-def join(docs: DataFrame, text: str = "text", single: bool = False) -> DataFrame:
-    """(doc_id, n_shingles, component_id), one row a document.  ``single``: segments of
-    one shingle for all sets, which is also the way for irregular ones."""
+def grouped_rows(docs: DataFrame, single: bool = False) -> DataFrame:
+    """(doc_id, row_hash, n_shingles, member, comp), one row a row of ``docs``, which has
+    doc_id, text and a row_hash."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     about = cut(describe(docs), "sets")
     live = cut(shared_signatures(docs, parts, single), "signatures")
     if not single and not live.filter("df = 0").isEmpty():
-        return join(docs, "text", True)
+        return grouped_rows(docs, True)
     probes = cut(allocate(live), "probes")
     asked = probes.filter("probe").select("sig").distinct()
     probes = cut(probes.join(asked, "sig", "left_semi"), "asked")
@@ -442,7 +441,14 @@ def join(docs: DataFrame, text: str = "text", single: bool = False) -> DataFrame
     more = verify(rest, bodies)
     label = components(links.unionByName(more))
     grouped = about.join(label, "member", "left").withColumn("comp", F.coalesce("comp", "member"))
-    grouped = cut(grouped, "grouped")
+    return cut(grouped, "grouped")
+
+
+def join(docs: DataFrame, text: str = "text", single: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id), one row a document.  ``single``: segments of
+    one shingle for all sets, which is also the way for irregular ones."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("row_hash"))
+    grouped = grouped_rows(docs, single)
     smallest = grouped.filter("member <> 0").groupBy("comp").agg(F.min("doc_id").alias("least"))
     return grouped.join(smallest, "comp", "left").select("doc_id", "n_shingles", F.when(F.col("member") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
@@ -455,12 +461,21 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component its document with the smallest doc_id, of
-    repeated rows of that id the smallest text; documents without words and those
-    without doc_id stay as they are."""
-    # a component's smallest doc_id, by the join; rows are matched to it by doc_id
-    found = join(docs).filter("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("__component"), F.max("n_shingles").alias("__n"))
-    found = cut(found.filter((F.col("__n") > 0) & (F.col("__component") < F.col("doc_id"))).select(F.col("doc_id").alias("__gone")), "gone")
+    """Pipeline stage: of each component one row, that with the smallest doc_id (rows
+    without one come last), among rows of that id the one with the smallest hash of the
+    row; documents without words stay as they are."""
     own = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.select(F.struct(*own).alias("__row"), F.col("doc_id").cast("long").alias("__id"))
-    return rows.join(found, F.col("__id") == F.col("__gone"), "left_anti").select("__row.*")
+    rest = F.to_json(F.struct(F.col("doc_id"), *[c for c, n in zip(own, docs.columns) if n not in ("doc_id", "text")]))
+    docs = docs.select(F.struct(*own).alias("__row"), F.col("doc_id").cast("long").alias("__id"), F.col("text").alias("__text"), F.xxhash64("text", rest).alias("__hash"))
+    found = grouped_rows(docs.select(F.col("__id").alias("doc_id"), F.col("__text").alias("text"), F.col("__hash").alias("row_hash"))).filter("member <> 0")
+    # rows are told apart by doc_id and hash; those equal in both are the same row repeated
+    keys = found.groupBy("comp", "doc_id", "row_hash").agg(F.count(F.lit(1)).alias("n"))
+    best = found.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash")).alias("best"))
+    first = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("row_hash") == F.col("best.row_hash"))
+    # a key is gone, or it stays but its rows repeat; all others stay as they are
+    told = keys.join(best, "comp").withColumn("first", first).filter("not first or n > 1")
+    told = cut(told.select(F.col("doc_id").alias("__told"), F.col("row_hash").alias("__told_hash"), "first"), "told")
+    on = F.col("__id").eqNullSafe(F.col("__told")) & (F.col("__hash") == F.col("__told_hash"))
+    rows = docs.drop("__text")
+    again = rows.join(told.filter("first"), on, "left_semi").dropDuplicates(["__id", "__hash"])
+    return rows.join(told, on, "left_anti").unionByName(again).select("__row.*")

@@ -109,6 +109,21 @@ def test_stage_leaves_one_of_each_group(spark):
     assert kept == {c for _, c in _brute(texts).values()}
 
 
+def test_stage_leaves_one_row_of_each_group(spark):
+    w = lambda c: " ".join(f"{c}{k}" for k in range(12))
+    rows = [
+        (5, w("a"), "x"), (5, w("a"), "x"), (5, w("a"), "y"),  # repeated rows, one with another column
+        (1, w("b"), "x"), (7, w("b"), "x"), (7, w("c"), "x"), (8, w("c"), "x"),  # one id with two texts
+        (None, w("b"), "x"), (None, w("d"), "x"), (None, w("d"), "x"), (None, w("e"), "x"), (None, w("e").upper(), "x"),
+        (9, "", "x"), (9, "", "x"), (None, None, "x"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [(r.doc_id, (r.text or "").lower()) for r in jaccard.stage(spark, df, "").collect()]
+    want = [(5, w("a")), (1, w("b")), (7, w("c")), (None, w("d")), (None, w("e")), (9, ""), (9, ""), (None, "")]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert sorted(map(str, jaccard.stage(spark, df.repartition(5), "").collect())) == sorted(map(str, jaccard.stage(spark, df, "").collect()))
+
+
 def test_shingles_do_not_cross_rows():
     buf, offs = text_buffer(pa.array(["a b c d e", None, "f", "A B c d E"]))
     h, at = jaccard.shingles(buf, offs)
