@@ -10,8 +10,10 @@ size that goes to every task; scoring is one pass over whole texts, without a sh
 
 Defined cases: null and empty texts have no n-grams and get the score of the intercept;
 labels other than 0 and 1 and rows without doc_id teach nothing; a label repeated for a
-doc_id counts once; without rows of both classes every score is 0; repeated rows are
-scored one by one; other columns pass through; an empty table gives an empty table."""
+doc_id counts once, and so do its rows (the text with the smallest hash teaches); without
+labelled documents of both classes every score is 0, but where a class has some and none
+fits the bound, that is an error; repeated rows are scored one by one; other columns pass
+through; an empty table gives an empty table."""
 
 from __future__ import annotations
 
@@ -20,12 +22,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pingworks.llm.bytescan import LOWER, _power, mix, prefix_sums
-from pingworks.llm.shared import bound_batches, slices, text_buffer
+from pingworks.llm.shared import bound_batches, cut, slices, text_buffer
 
 THRESHOLD = 0.3
 BUCKET_BITS = 20
@@ -40,6 +42,10 @@ class Bounds:
     bytes: int = 6 << 20
 
 
+#: Texts over this part of the bound on bytes come after all shorter ones of their class.
+LONG = 100
+
+
 @dataclass(frozen=True)
 class Model:
     weights: np.ndarray  # float32, one a bucket
@@ -152,15 +158,37 @@ def train(docs: DataFrame, labels: DataFrame, bounds: Bounds = Bounds()) -> Mode
     total = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(total) < 2:
         return fit([], np.zeros(0, int), 0.5)
-    parts = [known.filter(F.col("toxic") == y).orderBy("__h", "doc_id").limit(bounds.rows) for y in (0, 1)]
-    sample = parts[0].unionByName(parts[1])  # at most 2 * bounds.rows rows of three numbers
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("__t")).join(F.broadcast(sample), "doc_id")
-    order = Window.partitionBy("toxic").orderBy("__h", "doc_id", "__t").rowsBetween(Window.unboundedPreceding, 0)
-    texts = texts.withColumn("__b", F.sum(F.octet_length("__t")).over(order)).filter(F.col("__b") <= bounds.bytes)
-    rows = texts.select("__t", "toxic").toArrow()
+    body = F.coalesce("text", F.lit(""))
+    texts = docs.select("doc_id", F.xxhash64(body).alias("__t_hash"), F.octet_length(body).cast("long").alias("__bytes"))
+    one = texts.join(known, "doc_id").groupBy("doc_id", "toxic", "__h").agg(F.min(F.struct("__t_hash", "__bytes")).alias("__t"))
+    one = cut(one.select("doc_id", "toxic", "__h", "__t.*"), "labelled")
+    late = F.when(F.col("__bytes") <= bounds.bytes / LONG, 0).when(F.col("__bytes") <= bounds.bytes, 1).otherwise(2)
+    chosen = []
+    for y in (0, 1):
+        found = one.filter(F.col("toxic") == y).orderBy(late, "__h", "doc_id").limit(bounds.rows).collect()  # rows of five numbers
+        fits = _within(found, bounds.bytes)
+        if found and not fits:
+            raise ValueError(f"every labelled text with toxic = {y} is over the bound of {bounds.bytes} bytes")
+        chosen += fits
+    if not chosen:
+        return fit([], np.zeros(0, int), 0.5)
+    sample = docs.sparkSession.createDataFrame(chosen, one.schema)
+    rows = docs.select("doc_id", body.alias("__t")).join(F.broadcast(sample), "doc_id").filter(F.xxhash64("__t") == F.col("__t_hash"))
+    rows = rows.dropDuplicates(["doc_id"]).select("__t", "toxic", "__h", "doc_id").toArrow()
+    rows = rows.sort_by([("toxic", "ascending"), ("__h", "ascending"), ("doc_id", "ascending")])
     return fit(rows.column(0).to_pylist(), np.asarray(rows.column(1)), total[1] / (total[0] + total[1]))
 
 
+def _within(rows: list, most: int) -> list:
+    """The rows, in order, whose texts fit together; one that does not fit is passed over."""
+    out, used = [], 0
+    for r in rows:
+        if used + r["__bytes"] <= most:
+            out.append(r)
+            used += r["__bytes"]
+    return out
+
+
 def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with score (0 to 1) and predicted (1 if score >= ``threshold``)."""
     bound_batches(docs.sparkSession)

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from pingworks.llm import toxicity
 
@@ -67,3 +68,23 @@ def test_edges(spark):
     out = toxicity.score(docs, none)
     assert [r.score for r in out.collect()] == [0.0, 0.0, 0.0] and out.columns == ["doc_id", "text", "score", "predicted"]
     assert toxicity.score(docs.limit(0), none).count() == 0
+
+
+def test_long_texts_do_not_empty_a_class(spark):
+    rows, labels = _corpus(300, 9)
+    bounds = toxicity.Bounds(rows=200, bytes=100_000)
+    labs = spark.createDataFrame(labels, "doc_id long, toxic int")
+    plain = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), labs, bounds)
+    # giants and repeated rows, more of them than the bound has room for
+    ids = range(1000, 1300)
+    more = [(i, "ab " * (60_000 if i % 3 else 2_000)) for i in ids] + [r for r in rows[:100] for _ in range(20)]
+    both = spark.createDataFrame(rows + more, "doc_id long, text string")
+    known = spark.createDataFrame(labels + [(i, 1) for i in ids], "doc_id long, toxic int")
+    model = toxicity.train(both, known, bounds)
+    assert plain.trained and model.trained
+    held = [r for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model).withColumn("h", toxicity.held_out()).collect() if r.h]
+    truth = dict(labels)
+    pos, neg = [r.score for r in held if truth[r.doc_id]], [r.score for r in held if not truth[r.doc_id]]
+    assert np.mean([p > n for p in pos for n in neg]) > 0.9
+    with pytest.raises(ValueError, match="toxic = 1"):
+        toxicity.train(both, spark.createDataFrame([(i, 0) for i, _ in rows] + [(i, 1) for i in ids if i % 3], "doc_id long, toxic int"), bounds)
