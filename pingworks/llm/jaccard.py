@@ -423,12 +423,13 @@ def grouped_rows(docs: DataFrame, single: bool = False) -> DataFrame:
     asked = probes.filter("probe").select("sig").distinct()
     probes = cut(probes.join(asked, "sig", "left_semi"), "asked")
     # one text for each member that may link
-    firsts = about.filter("doc_id is not null").groupBy("member").agg(F.min("doc_id").alias("doc_id"))
-    wanted = probes.select("member").distinct().join(firsts, "member")
-    bodies = docs.join(wanted, "doc_id").select("member", F.col("text").alias("body"))
+    firsts = about.groupBy("member").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash")).alias("first"))
+    wanted = probes.select("member").distinct().join(firsts, "member").select("member", F.col("first.doc_id").alias("first_id"), F.col("first.row_hash").alias("first_hash"))
+    on = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("row_hash") == F.col("first_hash"))
+    bodies = docs.join(wanted, on).select("member", F.col("text").alias("body"))
 
     def matching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:  # where a doc_id repeats with another text, only the right one
+        for b in batches:  # where doc_id and hash repeat with another text, only the right one
             ok = np.concatenate([_signed(_prints(h, at)) for _, _, h, at in _sets(b.column(1))] or [np.zeros(0, np.int64)]) == np.asarray(b.column(0))
             yield b.filter(pa.array(ok))
 

@@ -109,6 +109,21 @@ def test_stage_leaves_one_of_each_group(spark):
     assert kept == {c for _, c in _brute(texts).values()}
 
 
+def test_rows_without_id_link(spark):
+    """A chain 1 - null - 2 whose ends do not link, and a near copy without an id."""
+    w = [f"w{k}" for k in range(200)]
+    a, n, c = w, [*w[:186], *(f"u{k}" for k in range(14))], [*(f"v{k}" for k in range(14)), *w[14:186], *(f"u{k}" for k in range(14))]
+    texts = [(1, a), (None, n), (2, c), (None, [*(f"s{k}" for k in range(100))]), (3, [*(f"s{k}" for k in range(99))])]
+    sets = [_set(" ".join(t)) for _, t in texts]
+    link = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    assert link(0, 1) and link(1, 2) and not link(0, 2)
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.component_id) for r in jaccard.join(df).collect()), key=str)
+    assert got == sorted([(1, 1), (None, 1), (2, 1), (None, 3), (3, 3)], key=str)
+    kept = [r.doc_id for r in jaccard.stage(spark, df, "").collect()]
+    assert sorted(kept) == [1, 3]
+
+
 def test_stage_leaves_one_row_of_each_group(spark):
     w = lambda c: " ".join(f"{c}{k}" for k in range(12))
     rows = [
