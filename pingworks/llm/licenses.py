@@ -151,7 +151,7 @@ def re_escape(x: str) -> str:
 
 
 #: Any keyword of any rule stands next to one of these; texts without are not scanned.
-GATE = r"(?i)licen[cs]|spdx|copyright|\(c\)|©|cc0|(?<![a-z])cc[-\s]|creative\s?commons|rights\s+reserved|public\s+domain|hereby|redistribut|permission|proprietary|openrail|cecill|wtfpl|without|bsd"
+GATE = r"(?i)licen[cs]|spdx|copyright|\(c\)|©|cc0|(?<![a-z])cc[-\s]|creative\s*commons|rights\s+reserved|public\s+domain|hereby|redistribut|permission|proprietary|openrail|cecill|wtfpl|without|bsd"
 PRIORITIES = 4
 
 

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import re
+from re import _constants as C
+from re import _parser
 
 from conftest import SMALL
 
@@ -59,6 +61,43 @@ def test_there_are_hundreds_of_valid_rules_behind_the_gate():
     assert len(rules) > 300 and all(r.priority in range(1, licenses.PRIORITIES + 1) for r in rules)
 
 
+def _samples(tree) -> list[str]:
+    """The shortest texts of a pattern, one at least for each branch, blanks as \\r\\n and two blanks."""
+    out = [""]
+    for op, arg in tree:
+        if op is C.LITERAL:
+            more = [chr(arg)]
+        elif op is C.IN:
+            kind, x = next((i for i in arg if i[0] is C.CATEGORY), arg[0])
+            more = ["\r\n" if x is C.CATEGORY_SPACE else "1" if x is C.CATEGORY_DIGIT else "w" if kind is C.CATEGORY or kind is C.NEGATE else chr(x if kind is C.LITERAL else x[0])]
+        elif op in (C.MAX_REPEAT, C.MIN_REPEAT):
+            inner = _samples(arg[2])
+            more = ["  " if x == "\r\n" and arg[1] is C.MAXREPEAT and k else x * arg[0] for x in inner for k in range(2 if arg[0] else 1)]
+        elif op is C.SUBPATTERN:
+            more = _samples(arg[3])
+        elif op is C.BRANCH:
+            more = [x for b in arg[1] for x in _samples(b)]
+        else:
+            assert op in (C.ASSERT_NOT, C.AT, C.ANY, C.NOT_LITERAL), op
+            more = ["" if op in (C.ASSERT_NOT, C.AT) else "w"]
+        out = [a + b for a in out for b in dict.fromkeys(more)][:256]
+    return out
+
+
+def test_what_every_rule_matches_passes_the_gate():
+    for r in licenses.rules():
+        hits = [x for x in _samples(_parser.parse(r.pattern)) if re.search("(?i)" + r.pattern, x)]
+        assert hits, r
+        for x in hits:
+            assert re.search(licenses.GATE, x) and any(k in x.lower() for k in r.keywords), (r.label, x)
+
+
+def test_wrapped_commons_names_are_scanned(spark):
+    texts = ["Creative\r\nCommons Attribution-ShareAlike 4.0", "Creative  Commons Attribution 4.0"]
+    got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: "cc-by-sa-4.0", 1: "cc-by-4.0"}
+
+
 def test_empty_table_and_other_columns(spark):
     df = spark.createDataFrame([(1, "MIT License", "mine")], "doc_id long, text string, other string")
     assert licenses.scan(df).first().other == "mine"
