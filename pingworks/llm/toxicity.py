@@ -111,15 +111,15 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float, rounds: int = 300) ->
     if not chosen.any():
         return empty
     index = (np.cumsum(chosen) - 1).astype(np.int32)
-    cols, vals, lens = [], [], []
-    for text in texts:
+    lens = np.array([int(chosen[_features(text)[0]].sum()) for text in texts])
+    offs = np.append(0, np.cumsum(lens))
+    cols, vals = np.zeros(offs[-1], np.int32), np.zeros(offs[-1], np.float32)  # filled in place: no second copy
+    for i, text in enumerate(texts):
         buckets, counts, total = _features(text)
         keep = chosen[buckets]
-        cols.append(index[buckets[keep]])
-        vals.append((counts[keep] * ratio[buckets[keep]] / np.sqrt(total)).astype(np.float32))
-        lens.append(int(keep.sum()))
-    cols, vals = np.concatenate(cols), np.concatenate(vals)
-    parts = _row_parts(np.array(lens), 1 << 20)
+        cols[offs[i] : offs[i + 1]] = index[buckets[keep]]
+        vals[offs[i] : offs[i + 1]] = counts[keep] * ratio[buckets[keep]] / np.sqrt(total)
+    parts = _row_parts(lens, 1 << 20)
     y, k = yes.astype(float), int(chosen.sum())
     weight = np.where(yes, 0.5 / n[1], 0.5 / n[0])
     w, b = np.zeros(k), 0.0
@@ -174,9 +174,29 @@ def train(docs: DataFrame, labels: DataFrame, bounds: Bounds = Bounds()) -> Mode
         return fit([], np.zeros(0, int), 0.5)
     sample = docs.sparkSession.createDataFrame(chosen, one.schema)
     rows = docs.select("doc_id", body.alias("__t")).join(F.broadcast(sample), "doc_id").filter(F.xxhash64("__t") == F.col("__t_hash"))
-    rows = rows.dropDuplicates(["doc_id"]).select("__t", "toxic", "__h", "doc_id").toArrow()
-    rows = rows.sort_by([("toxic", "ascending"), ("__h", "ascending"), ("doc_id", "ascending")])
-    return fit(rows.column(0).to_pylist(), np.asarray(rows.column(1)), total[1] / (total[0] + total[1]))
+    rows = rows.dropDuplicates(["doc_id"]).select("__t", "toxic", "__h", "doc_id").repartition(1).sortWithinPartitions("toxic", "__h", "doc_id")
+    return _fit_in_task(rows.select("__t", "toxic"), total[1] / (total[0] + total[1]))
+
+
+def _fit_in_task(sample: DataFrame, prior: float) -> Model:
+    """`fit` of the rows of a one-partition table, by the task that holds them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, toxic = [], []
+        for b in batches:
+            texts += b.column(0).to_pylist()
+            toxic += b.column(1).to_pylist()
+        m = fit(texts, np.array(toxic, np.int64), prior)
+        at = np.flatnonzero(m.weights)
+        one = [[at.astype("<i4").tobytes()], [m.weights[at].astype("<f4").tobytes()], [m.bias], [m.trained]]
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(one, (pa.binary(), pa.binary(), pa.float64(), pa.bool_()))], names=["at", "weights", "bias", "trained"])
+
+    row = sample.mapInArrow(run, "at binary, weights binary, bias double, trained boolean").first()  # at most one number a bucket
+    weights = np.zeros(1 << BUCKET_BITS, np.float32)
+    if row is None:
+        return Model(weights, -np.inf, False)
+    weights[np.frombuffer(row["at"], "<i4")] = np.frombuffer(row["weights"], "<f4")
+    return Model(weights, row["bias"], row["trained"])
 
 
 def _within(rows: list, most: int) -> list:
