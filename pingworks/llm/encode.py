@@ -5,7 +5,9 @@ two words, so a text's ids are those of its space-delimited chunks in order.  A
 therefore gives the library each distinct chunk once and lays the ids out by array
 indexing.  A space only splits where both neighbours are plain visible characters;
 every other place (runs of blanks, other scripts, combining marks) stays inside one
-chunk and is left to the library whole."""
+chunk and is left to the library whole.  Chunks are looked up by a 64-bit hash, and every
+chunk's bytes are compared with those of the entry found, so no two texts share ids by
+accident or by design."""
 
 from __future__ import annotations
 
@@ -20,8 +22,9 @@ from pingworks.llm.bytescan import prefix_sums, ranges, span_hashes
 from pingworks.llm.shared import slices, text_buffer
 
 SLICE_BYTES = 2 << 20
-#: Beyond so many chunks a task's cache starts afresh.
+#: Beyond so many chunks, or bytes of chunks, a task's cache starts afresh.
 CACHE_CHUNKS = 600_000
+CACHE_BYTES = 16 << 20
 
 
 def file_digest(path: str) -> str:
@@ -107,13 +110,28 @@ class Encoder:
         self.starts = np.zeros(1024, np.int64)
         self.flat = np.zeros(4096, np.uint16)
         self.used = 0
-
-    def _learn(self, hashes: np.ndarray, strings: list[str]) -> None:
-        while len(self.hashes) < self.n + len(hashes):
-            self.hashes, self.lengths, self.starts = (np.append(x, x) for x in (self.hashes, self.lengths, self.starts))
-        self.hashes[self.n : self.n + len(hashes)] = hashes
+        # the entries' own bytes
+        self.sizes = np.zeros(1024, np.int64)
+        self.places = np.zeros(1024, np.int64)
+        self.bytes = np.zeros(4096, np.uint8)
+        self.n_bytes = 0
+        self.odd: dict[bytes, int] = {}  # entries of chunks whose hash another one has
+
+    def _learn(self, hashes: np.ndarray, strings: list[bytes]) -> None:
+        first, last = self.n, self.n + len(hashes)
+        while len(self.hashes) < last:
+            self.hashes, self.lengths, self.starts, self.sizes, self.places = (np.append(x, x) for x in (self.hashes, self.lengths, self.starts, self.sizes, self.places))
+        self.hashes[first:last] = hashes
+        sizes = np.array([len(x) for x in strings], np.int64)
+        raw = np.frombuffer(b"".join(strings), np.uint8)
+        self.sizes[first:last] = sizes
+        self.places[first:last] = self.n_bytes + np.cumsum(sizes) - sizes
+        while len(self.bytes) < self.n_bytes + len(raw):
+            self.bytes = np.append(self.bytes, self.bytes)
+        self.bytes[self.n_bytes : self.n_bytes + len(raw)] = raw
+        self.n_bytes += len(raw)
         for i in range(0, len(strings), 512):
-            ids, lengths = self.library.encode(strings[i : i + 512])
+            ids, lengths = self.library.encode([x.decode() for x in strings[i : i + 512]])
             n, at = self.n, self.used
             self.n, self.used = n + len(lengths), at + len(ids)
             while len(self.flat) < self.used:
@@ -131,12 +149,13 @@ class Encoder:
             begins = np.sort(np.concatenate([rows, cuts]), kind="stable")
         ends = np.append(begins[1:], len(buf))
         bounds = np.searchsorted(begins, offs)
+        tiled = True  # the chunks are the whole buffer
         if self.library.splits and not self.library.keeps_space:  # the library puts the word mark there itself
             inner = np.ones(len(begins), bool)
             inner[bounds[:-1][offs[:-1] < offs[1:]]] = False
-            begins = begins + inner
+            begins, tiled = begins + inner, False
         hashes = span_hashes(prefix_sums(buf), begins, ends)
-        if self.n > CACHE_CHUNKS:
+        if self.n > CACHE_CHUNKS or self.n_bytes > CACHE_BYTES:
             self._clear()
         # known hashes come first, so a chunk's code is its cache entry
         codes, uniques = pd.factorize(np.concatenate([self.hashes[: self.n], hashes]))
@@ -146,8 +165,28 @@ class Encoder:
             firsts[codes[::-1]] = np.arange(len(codes))[::-1]
             firsts, raw = firsts[known:], buf.tobytes()
             spans = zip(begins[firsts].tolist(), ends[firsts].tolist())
-            self._learn(uniques[known:], [raw[a:b].decode() for a, b in spans])
-        return codes, bounds
+            self._learn(uniques[known:], [raw[a:b] for a, b in spans])
+        return self._checked(codes, buf, begins, ends, tiled), bounds
+
+    def _checked(self, codes: np.ndarray, buf: np.ndarray, begins: np.ndarray, ends: np.ndarray, tiled: bool) -> np.ndarray:
+        """``codes``, with entries of their own for chunks that differ from what their
+        hash found."""
+        lengths = ends - begins
+        wrong = self.sizes[codes] != lengths
+        same = np.flatnonzero(~wrong)
+        theirs = self.bytes[ranges(self.places[codes[same]], lengths[same])]
+        mine = buf if tiled and len(same) == len(codes) else buf[ranges(begins[same], lengths[same])]
+        if len(same) == len(codes) and np.array_equal(theirs, mine):
+            return codes
+        at = np.repeat(same, lengths[same])
+        wrong[at[theirs != mine]] = True
+        for i in np.flatnonzero(wrong):
+            raw = buf[begins[i] : ends[i]].tobytes()
+            if raw not in self.odd:
+                self.odd[raw] = self.n
+                self._learn(np.array([len(self.odd)], np.uint64), [raw])
+            codes[i] = self.odd[raw]
+        return codes
 
     def counts(self, column: pa.Array) -> np.ndarray:
         """Number of ids of each row."""

@@ -38,6 +38,29 @@ def test_chunks_give_the_librarys_ids(name, texts):
     assert got == [[*encode(t), 1] for t in texts]
 
 
+def _complements(a: str, b: str, rounds: int = 10) -> list[str]:
+    """A long word of two blocks and the word with the blocks exchanged: equal sums of
+    any polynomial modulo 2^64."""
+    x, y = a, b
+    for _ in range(rounds):
+        x, y = x + y, y + x
+    return [x, y]
+
+
+TWINS = [*_complements("a", "b"), *_complements("ing", "zqx"), *_complements("a", "b", 11)]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"])
+def test_chunks_of_one_hash_keep_their_own_ids(name):
+    encode, encoder = _library(name), Encoder(P.path(name))
+    texts = [*TWINS, *reversed(TWINS), f"x {TWINS[3]} y {TWINS[2]} z"]
+    for _ in range(2):
+        got = [f[a:b].tolist() for _, _, f, at in encoder.ids(pa.array(texts), 1) for a, b in zip(at[:-1], at[1:])]
+        assert got == [[*encode(t), 1] for t in texts]
+    assert encoder.odd
+    assert encoder.counts(pa.array(texts)).tolist() == [len(encode(t)) for t in texts]
+
+
 def test_counts_and_cache(spark):
     encode = _library("piece_bpe_32k.model")
     texts = [None, "", "two words", "two words", "word " * 5000, *ODD]
