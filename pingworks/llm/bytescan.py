@@ -1,10 +1,17 @@
 """Vector helpers over the bytes of many texts at once: word bounds and hashes.
 
 A hash of a byte span is a polynomial in a fixed odd base over random byte codes,
-taken from prefix sums, so that every span of a batch costs a few array passes."""
+taken from prefix sums, so that every span of a batch costs a few array passes.
+
+Sums are modulo 2^64, where long spans of few different bytes can be built to collide
+(their differences factor into many even numbers).  So `span_hashes` is only a key to
+look up: who takes it for identity compares the bytes (`encode`), or uses `word_hashes`,
+which takes long words from a cryptographic digest."""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -53,6 +60,20 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * _power("down", len(sums))[starts])
 
 
+#: Longer words are hashed by digest.  Up to here no repetitive pair of words can lose
+#: more than about half of the 64 bits.
+_LONGEST = 64
+
+
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes that stand for the words of ``buf``: two words agree by chance only."""
+    out = span_hashes(prefix_sums(buf), starts, ends)
+    for i in np.flatnonzero(ends - starts > _LONGEST):
+        raw = buf[starts[i] : ends[i]].tobytes()
+        out[i] = int.from_bytes(hashlib.blake2b(raw, digest_size=8, key=b"words").digest(), "little")
+    return out
+
+
 def word_spans(buf: np.ndarray, offs: np.ndarray, is_word: np.ndarray = NOT_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of runs of word bytes, never across rows, and for each row
     the number of words before it (n + 1 values)."""

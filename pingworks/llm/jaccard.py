@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pingworks.llm.bytescan import LOWER, mix, prefix_sums, ranges, span_hashes, word_spans
+from pingworks.llm.bytescan import LOWER, mix, ranges, word_hashes, word_spans
 from pingworks.llm.shared import cut, slices, text_buffer
 
 SHINGLE = 5
@@ -62,7 +62,7 @@ def shingles(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     """Distinct shingle hashes of each row, sorted within the row, and row bounds."""
     low = LOWER[buf]
     starts, ends, bounds = word_spans(low, offs)
-    words = span_hashes(prefix_sums(low), starts, ends)
+    words = word_hashes(low, starts, ends)
     n_words = np.diff(bounds)
     n_all = np.where(n_words >= SHINGLE, n_words - SHINGLE + 1, (n_words > 0).astype(np.int64))
     first = ranges(bounds[:-1], n_all)  # first word of each shingle
