@@ -3,8 +3,12 @@
 None of the three vocabularies used has a token that spans a single space between
 two words, so a text's ids are those of its space-delimited chunks in order.  A task
 therefore gives the library each distinct chunk once and lays the ids out by array
-indexing.  A space only splits where both neighbours are plain visible characters;
-every other place (runs of blanks, other scripts, combining marks) stays inside one
+indexing.  A space only splits where both neighbours are plain visible characters.  The
+libraries that part words from marks and line ends anyway (byte_bpe, word_bpe) also
+split between an ASCII letter and a mark, and around a line end between visible
+characters, so that a word is one chunk whatever follows it; where the library lowers
+A-Z anyway, chunks are lowered first.
+Every other place (runs of blanks, other scripts, combining marks) stays inside one
 chunk and is left to the library whole.  Chunks are looked up by a 64-bit hash, and every
 chunk's bytes are compared with those of the entry found, so no two texts share ids by
 accident or by design."""
@@ -13,12 +17,14 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 
-from pingworks.llm.bytescan import prefix_sums, ranges, span_hashes
+from pingworks.llm.bytescan import LOWER, prefix_sums, ranges, span_hashes
 from pingworks.llm.shared import slices, text_buffer
 
 SLICE_BYTES = 2 << 20
@@ -33,6 +39,17 @@ def file_digest(path: str) -> str:
         return hashlib.sha256(f.read()).hexdigest()
 
 
+# Letters of ASCII and Latin-1 in UTF-8, behind a space or not.
+_LETTERS = rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"
+_LOWERED = rb" ?(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+"
+# Byte-level vocabularies spell bytes as characters: visible ones as they are, the others
+# in ascending order as those from 256 on.  0 parts words here.
+_BYTE_CHARS = np.arange(256, dtype="<u2")
+_OTHER_BYTES = [b for b in range(256) if b not in {*range(33, 127), *range(161, 173), *range(174, 256)}]
+_BYTE_CHARS[_OTHER_BYTES] = 256 + np.arange(len(_OTHER_BYTES))
+_BYTE_CHARS[0] = 0
+
+
 class _Library:
     """A tokenizer file behind one call: ids of many strings, one after another, and
     how many each has."""
@@ -49,24 +66,61 @@ class _Library:
             # a special token's string parts a text before anything else happens
             self.mark_id, self.mark = max((i, t.content) for i, t in self.tok.get_added_tokens_decoder().items())
             self.splits = True
+            self.lowers = self.tok.normalizer is not None and self.tok.normalizer.normalize_str("AZ") == "az"
+            self.model = self.tok.model
+            self.plain = self._plain()
         else:
             from sentencepiece import SentencePieceProcessor
 
-            self.sp = SentencePieceProcessor(model_file=path)
+            self.sp, self.lowers, self.plain = SentencePieceProcessor(model_file=path), False, None
             # a piece with a word mark after another character would span words
             pieces = [self.sp.id_to_piece(i).lstrip("▁") for i in range(self.sp.get_piece_size())]
             self.splits = not any("▁" in x for x in pieces) and self.sp.encode("a b") == self.sp.encode("a") + self.sp.encode("b")
 
+    def _plain(self) -> re.Pattern | None:
+        """Chunks that are one pre-token of Latin letters: these may go to the library's
+        model at once, past normaliser and pre-tokeniser, which would leave them alone."""
+        letters = re.compile(_LOWERED if self.lowers else _LETTERS)
+        tries = ["the", " the", " zqxjk", "zqxjkvbn", " a", "w" * 40, "élan", " être", "straße", " àèìòùÿ", "çã"]
+        same = self._words([x.encode() for x in tries]) == [self.tok.encode(x, add_special_tokens=False).ids for x in tries]
+        return letters if same else None
+
+    def _words(self, chunks: list[bytes]) -> list[list[int]]:
+        """Ids of chunks that are words."""
+        raw = b"\0".join(chunks)
+        if self.lowers:
+            raw = raw.replace(b" ", b"")
+        words = _BYTE_CHARS[np.frombuffer(raw, np.uint8)].tobytes().decode("utf-16-le").split("\0")
+        find = self.model.tokenize
+        return [[t.id for t in find(w)] for w in words]
+
     def encode_each(self, texts: list[str]) -> list[list[int]]:
         if self.keeps_space:
             return [x.ids for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
         return self.sp.encode(texts, num_threads=1)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if self.plain is None:
+            return self._encode([x.decode() for x in chunks])
+        match = self.plain.fullmatch
+        odd = [i for i, x in enumerate(chunks) if match(x) is None]
+        rest = [chunks[i] for i in odd]
+        if rest:
+            left = set(odd)
+            chunks = [x for i, x in enumerate(chunks) if i not in left]
+        found = self._words(chunks) if chunks else []
+        if rest:
+            ids, lengths = self._encode([x.decode() for x in rest])
+            ends, ids = np.cumsum(lengths).tolist(), ids.tolist()
+            for i, a, z in zip(odd, [0, *ends], ends):  # ascending, so each goes to its place
+                found.insert(i, ids[a:z])
+        return np.array(list(chain.from_iterable(found)), np.uint16), np.array([len(x) for x in found], np.int64)
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if not self.keeps_space or any("<|" in x for x in texts):
             found = self.encode_each(texts)
             lengths = np.array([len(x) for x in found], np.int64)
-            return np.fromiter((y for x in found for y in x), np.uint16, int(lengths.sum())), lengths
+            return np.array(list(chain.from_iterable(found)), np.uint16), lengths
         # one call for all: the special token between the strings parts their ids
         ids = np.array(self.tok.encode_batch_fast([self.mark.join(texts)], add_special_tokens=False)[0].ids, np.int64)
         marks = np.flatnonzero(ids == self.mark_id)
@@ -74,17 +128,35 @@ class _Library:
         return np.delete(ids, marks).astype(np.uint16), lengths
 
 
-def _starts(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Positions of the spaces that split chunks."""
-    visible = (buf > 0x20) & (buf < 0x7F)
-    lead = (buf >= 0xC3) & (buf <= 0xCB)  # two-byte letters: no blanks, no marks
-    before, after = visible.copy(), visible | lead
-    before[1:] |= lead[:-1] & (buf[1:] >= 0x80)
+# Kinds of bytes: visible ASCII, its letters, first bytes of two-byte letters (no blanks,
+# no marks), later bytes, space, line end, marks that end words.
+_VISIBLE, _LETTER, _LEAD, _LATER, _SPACE, _LINE, _MARK = (1 << k for k in range(7))
+_KIND = np.zeros(256, np.uint8)
+_KIND[0x21:0x7F] = _VISIBLE
+for _c in range(26):
+    _KIND[[65 + _c, 97 + _c]] |= _LETTER
+_KIND[0xC3:0xCC], _KIND[0x80:0xC0], _KIND[0x20], _KIND[0x0A] = _LEAD, _LATER, _SPACE, _LINE
+_KIND[list(b".,;:!?")] |= _MARK
+
+
+def _starts(buf: np.ndarray, offs: np.ndarray, fine: bool) -> np.ndarray:
+    """Positions where a chunk begins: spaces that split and, if ``fine``, marks behind
+    letters and what stands at and behind a line end."""
+    kind = _KIND[buf]
+    ends = (kind & _VISIBLE) != 0  # what may stand before a splitting blank
+    ends[1:] |= ((kind[:-1] & _LEAD) != 0) & ((kind[1:] & _LATER) != 0)
+    blank = (kind[1:-1] & (_SPACE | _LINE if fine else _SPACE)) != 0
+    blank &= ends[:-2] & ((kind[2:] & (_VISIBLE | _LEAD)) != 0)
     split = np.zeros(len(buf), bool)
-    split[1:-1] = (buf[1:-1] == 0x20) & before[:-2] & after[2:]
+    split[1:-1] = blank
     rows = offs[:-1][offs[:-1] < offs[1:]]
-    split[rows] = False
+    split[rows] = False  # a text's first and last byte are no blanks within it
     split[rows[1:] - 1] = False
+    if fine:
+        line = np.flatnonzero(split & (buf == 0x0A)) + 1
+        split[1:] |= ((kind[:-1] & _LETTER) != 0) & ((kind[1:] & _MARK) != 0)
+        split[line] = True
+        split[rows] = False
     return np.flatnonzero(split)
 
 
@@ -131,7 +203,7 @@ class Encoder:
         self.bytes[self.n_bytes : self.n_bytes + len(raw)] = raw
         self.n_bytes += len(raw)
         for i in range(0, len(strings), 512):
-            ids, lengths = self.library.encode([x.decode() for x in strings[i : i + 512]])
+            ids, lengths = self.library.encode(strings[i : i + 512])
             n, at = self.n, self.used
             self.n, self.used = n + len(lengths), at + len(ids)
             while len(self.flat) < self.used:
@@ -144,8 +216,10 @@ class Encoder:
         """Cache entry of each chunk, and for each row the chunks before it."""
         rows = offs[:-1][offs[:-1] < offs[1:]]
         begins = rows
+        if self.library.lowers and b"<|" not in buf.tobytes():  # special tokens keep their case
+            buf = LOWER[buf]
         if self.library.splits:
-            cuts = _starts(buf, offs)
+            cuts = _starts(buf, offs, self.library.keeps_space)
             begins = np.sort(np.concatenate([rows, cuts]), kind="stable")
         ends = np.append(begins[1:], len(buf))
         bounds = np.searchsorted(begins, offs)

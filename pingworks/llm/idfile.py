@@ -1,277 +1,307 @@
-"""Token-id files: blocks of ids in an adaptive context-mixing range code.
+"""Token-id files: documents in blocks of an adaptive context-mixing range code.
 
-A block is a byte string of its own:
+A file is a head and then blocks, one after another, each a byte string of its own:
 
-    magic "PWTC", version 1, 3 zero bytes
-    number of ids, crc32 of the ids as little-endian 32-bit numbers, crc32 of the code,
-    bytes of the code: 4 bytes each, little endian
-    range code
+    head    "PWDOCS2\\0", number of documents and of ids (8 bytes each), size and crc32 of
+            the table (4 bytes each), table: deflated doc_ids, null flags and lengths
+    block   "PWIDS2\\0\\0", number of ids, number of lanes, size of the alphabet, crc32 of
+            the ids as little-endian 32-bit numbers, crc32 of the rest, size of the rest
+            (4 bytes each); the rest: deflated alphabet, words of each lane (16 bits each),
+            range code
 
 Every block starts with fresh models, so any block can be read alone and damage stays
-inside it.  Each id is coded by a mix of predictions: the id that followed the last two
-ids (order 2), the id that followed the last one (order 1), the frequencies of the ids
-seen in the block (order 0), and for ids not seen yet a fixed law in which rank and
-frequency are inverse.  The shares of the four adapt to which has been right of late.
-All blocks of a batch are coded in step, each a lane of numpy arrays, in integers only,
-so that reader and writer compute the same intervals."""
+inside it.  Three models predict the next id: counts of what followed the last two ids
+(order 2, hashed contexts with a check), of what followed the last id (order 1), and of
+all ids so far (order 0).  Each id's probability is the weighted sum of the three, and
+the weights follow, for each pair of confidences, what each order has been worth.  The
+mixed distribution drives a 48-bit range coder.
+
+A block's ids are cut into lanes, stretches that advance in step: at each step every lane
+codes one id under the same models, which then learn from all lanes.  A step is a few
+dozen array operations, in integers only, that reader and writer do alike.  The number
+of lanes follows the block's length; models and their adaption are the same at any."""
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 
-MAGIC = b"PWTC\x01\0\0\0"
-HEADER = 24
-VOCABULARY = 1 << 16
-_SLOTS = 1 << 12
-_SHARE = 16  # bits of the shares' total
-_ADAPT = 4  # shares follow every fourth id
-_REFRESH = 256  # then at twice as many ids each time
-# The coder: 48-bit range, 16 bits shifted out when it falls below 2^32.
-_LOW = 1 << 32
-_FULL = (1 << 48) - 1
-
-
-class _Models:
-    """Predictions of a set of lanes; reader and writer drive it alike."""
-
-    def __init__(self, lanes: int, vocabulary: int, longest: int):
-        self.longest = longest
-        self.lanes, self.vocabulary, self.row = lanes, vocabulary, np.arange(lanes)
-        self.first = np.zeros(lanes * _SLOTS, np.uint16)  # what followed an id
-        self.second = np.zeros(lanes * _SLOTS, np.uint16)  # what followed a pair
-        self.base = self.row * _SLOTS
-        self.law = np.append(0, np.cumsum(40_000 // (np.arange(vocabulary, dtype=np.int64) + 40) + 1))
-        self.hits = np.full((3, lanes), 1 << 14, np.int64)  # how often a guess is right: order 2, 1, 0
-        self.orders = np.arange(3)[:, None]
-        self.bounds = np.zeros((5, lanes), np.int64)  # of the shares
-        self.bounds[4] = 1 << _SHARE
-        self.a, self.b = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.seen: list[np.ndarray] = []
-        self.k = 0
+DOCS_MAGIC, MAGIC = b"PWDOCS2\0", b"PWIDS2\0\0"
+BLOCK = 1 << 22  # most ids of a block
+LANES = 4096
+LANE_IDS = 384  # ids a lane, where the block is too short for all lanes
+_K2, _K1 = 1, 4  # ids that an order-2 and an order-1 context remembers
+_KEPT = _K2 + _K1
+_SLOTS = 1 << 17  # order-2 contexts
+_TOP = 250  # counts are halved beyond
+_MIX, _BASE = 12, 18  # bits of the mixed candidates' total and of the order-0 total
+_ALL = (1 << _MIX) - 64  # the rest of the total is always left to order 0
+_FULL, _LOW = (1 << 48) - 1, 1 << 32
+_LEVELS = np.digitize(np.arange(_K1 * (_TOP + 1)), [1, 2, 3, 5, 9, 20, 60]).astype(np.int16)  # confidence by count
+_PART = np.append(0, (1 << 12) // (4 * np.arange(1, _K1 * (_TOP + 1)) + 1)).astype(np.int32)
+_ID, _ONE, _SIXTEEN = np.uint32(0xFFFF), np.uint32(1 << 16), np.uint32(16)
+
+
+class _Mixer:
+    """The models of one block; reader and writer drive it alike.
+
+    A context's row holds entries of a count (high 16 bits) and an id (low); an order-2
+    row begins with its check.  ``e`` has the entries that the lanes are at as columns,
+    order 2 first."""
+
+    def __init__(self, alphabet: int, lanes: int):
+        self.n, self.lanes = max(alphabet, _K1), lanes  # a blank row's ids exist
+        self.blank = np.arange(_K1, dtype=np.uint32)  # count 0, ids that differ
+        self.one = np.tile(self.blank, (self.n, 1))
+        self.two = np.zeros((_SLOTS, _K2 + 1), np.uint32)
+        # whole rows as single numbers, which move faster
+        self.one_rows, self.two_rows = self.one.view(np.complex128)[:, 0], self.two.view(np.uint64)[:, 0]
+        self.a, self.b = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
+        self.weight = np.array([1200, 1800, 900], np.int32)[:, None].repeat(64, 1)  # order 2, 1, 0 by class
+        self.count = np.ones(self.n, np.int64)
+        self.recent: list[np.ndarray] = []
+        self.step = 0
+        self._refresh()
 
     def _refresh(self) -> None:
-        """Order 0 moves up to what has been seen: sorted ids, and of each place the
-        first place and the number of equal ones."""
-        self.k = k = len(self.seen)
-        ids = np.sort(np.stack(self.seen, axis=1), axis=1, kind="stable")
-        new = np.ones(ids.shape, bool)
-        new[:, 1:] = ids[:, 1:] != ids[:, :-1]
-        starts = np.flatnonzero(new)
-        runs = np.diff(np.append(starts, ids.size))
-        self.ids = ids.ravel()
-        self.run_key = (starts // k) * self.vocabulary + self.ids[starts]
-        self.run_at, self.run_n = starts % k, runs
-        self.of = np.repeat(np.arange(len(starts), dtype=np.int32), runs)
-        self.run_of = np.zeros(self.lanes * _SLOTS, np.int32)  # of an id's slot, the last run there
-        self.run_of[starts // k * _SLOTS + (self.ids[starts] & (_SLOTS - 1))] = np.arange(len(starts))
-
-    def guesses(self) -> tuple[np.ndarray, np.ndarray]:
-        """Order-2 and order-1 guess."""
-        self.slot2 = self.base + (((self.a * 40503) ^ (self.b * 2654435761 >> 5)) & (_SLOTS - 1))
-        self.slot1 = self.base + (self.b & (_SLOTS - 1))
-        if len(self.seen) % _ADAPT == 0:
-            self._reshare()
-        return self.second[self.slot2], self.first[self.slot1]
-
-    def _reshare(self) -> None:
-        h = np.clip(self.hits, 1 << 9, 60_000)
-        bounds, left = self.bounds, (1 << _SHARE) - h[0]
-        s1 = left * h[1] >> _SHARE
-        bounds[1] = h[0]
-        np.add(h[0], s1, out=bounds[2])
-        bounds[3] = bounds[2]
-        if self.k:
-            bounds[3] += (left - s1) * h[2] >> _SHARE
-
-    def share(self, how: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and size of each lane's share."""
-        at = how * self.lanes + self.row
-        flat = self.bounds.ravel()
-        start = flat[at]
-        return start, flat[at + self.lanes] - start
-
-    def places(self, ids: np.ndarray, lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Order 0 of ids in lanes: found or not, first place, number.  An id whose slot
-        another one took counts as unseen, which costs bits, not correctness."""
-        if not self.k:
-            return np.zeros(len(ids), bool), ids, ids
-        run = self.run_of[lanes * _SLOTS + (ids & (_SLOTS - 1))]
-        return self.run_key[run] == lanes * self.vocabulary + ids, self.run_at[run], self.run_n[run]
-
-    def update(self, ids: np.ndarray, how: np.ndarray) -> None:
-        """``how``: 0 to 3 for order 2, 1, 0 and unseen."""
-        if len(self.seen) % _ADAPT == 0:
-            right = np.where(how == self.orders, 65535, 0)
-            self.hits += np.where(how >= self.orders, (right - self.hits) >> 4, 0)
-        self.second[self.slot2] = ids
-        self.first[self.slot1] = ids
-        self.a, self.b = self.b, ids.astype(np.int64)
-        self.seen.append(ids.astype(np.uint16))
-        if len(self.seen) == max(_REFRESH, 2 * self.k) < self.longest:
+        """Order 0 moves up to all that has been seen."""
+        if self.recent:
+            self.count += 24 * np.bincount(np.concatenate(self.recent), minlength=self.n)
+            self.recent = []
+        f = 1 + self.count * ((1 << _BASE) - self.n) // self.count.sum()
+        f[np.argmax(f)] += (1 << _BASE) - f.sum()
+        self.base, self.below = f.astype(np.int32), np.cumsum(f) - f
+        self.inverse = None
+
+    def predict(self) -> None:
+        """Candidates, their shares of the mixed total and where these end."""
+        h = self.a * np.uint32(0x9E3779B1) + self.b * np.uint32(0x85EBCA6B)
+        h ^= h >> np.uint32(15)
+        h *= np.uint32(0x2C1B3C6D)
+        self.slot, check = h >> np.uint32(15), h | np.uint32(1)
+        self.check, row = check, self.two_rows.take(self.slot).view(np.uint32)
+        self.e = e = np.empty((_KEPT, self.lanes), np.uint32)
+        np.multiply(row[1::2], row[::2] == check, out=e[0])
+        e[_K2:] = self.one_rows.take(self.b).view(np.uint32).reshape(-1, _K1).T
+        self.cand = cand = (e & _ID).view(np.int32)
+        count = (e >> _SIXTEEN).view(np.int32)
+        n2, n1 = count[0], np.add.reduce(count[_K2:], 0)
+        self.kind = (_LEVELS.take(n2) << 3) + _LEVELS.take(n1)
+        w2, w1, self.w0 = self.weight.take(self.kind, 1)
+        self.g2, self.g1 = w2 * _PART.take(n2), w1 * _PART.take(n1)
+        f = np.empty_like(count)
+        np.multiply(count[:_K2], self.g2, out=f[:_K2])
+        np.multiply(count[_K2:], self.g1, out=f[_K2:])
+        f >>= 10
+        # what both orders name is one candidate
+        other = cand[_K2:] != cand[0]
+        f[0] += np.add.reduce(f[_K2:], 0)
+        f[_K2:] *= other
+        f[0] -= np.add.reduce(f[_K2:], 0)
+        zero = self.base.take(cand)
+        zero *= self.w0
+        zero >>= _BASE
+        zero[_K2:] *= other
+        f += zero
+        self.f, self.upto = f, f.copy()
+        for k in range(1, _KEPT):
+            self.upto[k] += self.upto[k - 1]
+
+    def learn(self, ids: np.ndarray) -> None:
+        """All models move on by the ids (uint32) that the lanes have coded."""
+        if self.step % 8 == 0:
+            self._reweigh(ids)
+        e, fresh = self.e, ids | _ONE
+        hit = (self.cand.view(np.uint32) == ids).view(np.uint8) * _ONE
+        # of the two contexts' entries, what came counts one more, or else takes the
+        # place of the rarest
+        e[0] = np.where(hit[0], e[0] + _ONE, fresh)
+        x, hit = e[_K2:], hit[_K2:]
+        least = np.minimum.reduce(x, 0)
+        change = (fresh - least) * (np.bitwise_or.reduce(hit, 0) == 0)
+        hit += (x == least) * change
+        x += hit
+        if e.max() >= np.uint32(_TOP << 16):
+            full = np.flatnonzero(np.maximum.reduce(e, 0) >= np.uint32(_TOP << 16))
+            old = e[:, full]
+            e[:, full] = (old >> np.uint32(17) << _SIXTEEN) | (old & _ID)
+        row = np.empty((self.lanes, 2), np.uint32)
+        row[:, 0], row[:, 1] = self.check, e[0]
+        self.two_rows[self.slot] = row.view(np.uint64)[:, 0]
+        self.one_rows[self.b] = np.ascontiguousarray(x.T).view(np.complex128)[:, 0]
+        self.a, self.b = self.b, ids
+        self.recent.append(ids)
+        self.step += 1
+        if self.step < 16 or self.step % 16 == 0:
             self._refresh()
 
-
-def encode_blocks(blocks: np.ndarray, counts: np.ndarray, vocabulary: int = VOCABULARY) -> list[bytes]:
-    """Range code of each row of ``blocks`` (lanes x longest), of which the first
-    ``counts`` ids are coded; counts must not rise."""
-    lanes, longest = blocks.shape
-    m = _Models(lanes, vocabulary, longest)
+    def _reweigh(self, ids: np.ndarray) -> None:
+        """Each order's weight moves to its part in the probabilities of what came."""
+        count = (self.e >> _SIXTEEN).view(np.int32) * (self.cand.view(np.uint32) == ids)
+        worth = np.stack([count[:_K2].sum(0) * self.g2 >> 2, count[_K2:].sum(0) * self.g1 >> 2, (self.base[ids].astype(np.int64) * self.w0 >> 10) + 1]).astype(np.int64)
+        worth = (worth << 12) // worth.sum(0)
+        part = np.stack([np.bincount(self.kind, w, 64) for w in worth]).astype(np.int64)  # whole numbers: exact sums
+        total = part.sum(0)
+        seen = total > 0
+        aim = part[:, seen] * _ALL // total[seen]
+        rate = np.minimum(total[seen] >> 12, 32)  # classes seen often move faster
+        old = self.weight[:, seen].astype(np.int64)
+        self.weight[:, seen] = np.maximum(old + ((aim - old) * rate >> 7), 16)
+        over = np.maximum(self.weight.sum(0) - _ALL, 0)
+        self.weight[self.weight.argmax(0), np.arange(64)] -= over
+
+
+def _layout(n: int) -> tuple[int, np.ndarray]:
+    """Lanes of a block of ``n`` ids, and ids of each; the first ones have one more."""
+    lanes = max(1, min(LANES, n // LANE_IDS))
+    return lanes, n // lanes + (np.arange(lanes) < n % lanes)
+
+
+def encode_block(ids: np.ndarray) -> bytes:
+    """One block of at most BLOCK ids."""
+    n = len(ids)
+    alphabet = np.flatnonzero(np.bincount(ids, minlength=1))
+    number = np.zeros(1 << 16, np.uint32)
+    number[alphabet] = np.arange(len(alphabet))
+    codes = number[ids]
+    lanes, lens = _layout(n)
+    steps, first = int(lens[0]), np.cumsum(lens) - lens
+    grid = np.zeros((steps, lanes), np.uint32)
+    grid[: n // lanes] = codes[first + np.arange(n // lanes)[:, None]]
+    if n % lanes:
+        grid[-1, : n % lanes] = codes[first[: n % lanes] + steps - 1]
+    m = _Mixer(len(alphabet), lanes)
     low, rng = np.zeros(lanes, np.int64), np.full(lanes, _FULL, np.int64)
-    width = 2 * longest + 8
-    out = np.zeros((lanes, width), np.int32)  # 16-bit words with carries still in them
-    flat, at = out.reshape(-1), np.arange(lanes) * width
-
-    def narrow(w, start: np.ndarray, size: np.ndarray, step: np.ndarray) -> None:
-        """Lanes ``w`` (a slice or indices) keep [start, start + size) of their range."""
-        x, r = low[w] + step * start, step * size
-        over = np.flatnonzero(x > _FULL)
-        lane = m.row[w]
-        if len(over):
-            flat[at[lane[over]] - 1] += 1
-            x[over] &= _FULL
-        small = np.flatnonzero(r < _LOW)
-        if len(small):
-            s = lane[small]
-            flat[at[s]] = x[small] >> 32
-            at[s] += 1
-            x[small] = x[small] << 16 & _FULL
-            r[small] <<= 16
-        low[w], rng[w] = x, r
-
-    fewer, columns = -counts, np.ascontiguousarray(blocks.T)
-    for t in range(longest):
-        n = int(np.searchsorted(fewer, -t, "left"))  # lanes that still have ids
-        ids = columns[t].astype(np.int64)
-        ids[n:] = 0
-        g2, g1 = m.guesses()
-        rest = np.flatnonzero((ids != g2) & (ids != g1) & (m.row < n))
-        seen, place, number = m.places(ids[rest], rest)
-        how = np.where(ids == g2, 0, np.where(ids == g1, 1, 3))
-        how[rest[seen]] = 2
-        start, size = m.share(how)
-        w = slice(0, n)
-        narrow(w, start[w], size[w], rng[w] >> _SHARE)
-        if seen.any():
-            w = rest[seen]
-            narrow(w, place[seen], number[seen], rng[w] // m.k)
-        if not seen.all():
-            w = rest[~seen]
-            narrow(w, m.law[ids[w]], m.law[ids[w] + 1] - m.law[ids[w]], rng[w] // m.law[-1])
-        m.update(ids, how)
-    result = []
-    for i in range(lanes):
-        words = np.append(out[i, : at[i] - i * width].astype(np.int64), [low[i] >> s & 0xFFFF for s in (32, 16, 0)])
-        while (over := np.flatnonzero(words > 0xFFFF)).size:  # carries run to the left
-            words[over] -= 1 << 16
-            words[over - 1] += 1
-        result.append(words.astype(">u2").tobytes())
-    return result
-
-
-def decode_blocks(codes: list[bytes], counts: np.ndarray, vocabulary: int = VOCABULARY) -> np.ndarray:
-    """Ids of each code, as rows of one array (lanes x longest); counts must not rise."""
-    lanes, longest = len(codes), int(counts.max(initial=0))
-    m = _Models(lanes, vocabulary, longest)
-    raw = np.zeros((lanes, max([len(c) for c in codes], default=0) // 2 + 8), np.int64)
-    for i, c in enumerate(codes):
-        raw[i, : len(c) // 2] = np.frombuffer(c, ">u2")
-    code = raw[:, 0] << 32 | raw[:, 1] << 16 | raw[:, 2]
-    at, rng = np.full(lanes, 3, np.int64), np.full(lanes, _FULL, np.int64)
-    out = np.zeros((longest, lanes), np.uint16)
-
-    def narrow(w, start: np.ndarray, size: np.ndarray, step: np.ndarray) -> None:
-        x, r = code[w] - step * start, step * size
-        small = np.flatnonzero(r < _LOW)
-        if len(small):
-            s = m.row[w][small]
-            x[small] = x[small] << 16 | raw[s, np.minimum(at[s], raw.shape[1] - 1)]
-            at[s] += 1
-            r[small] <<= 16
-        code[w], rng[w] = x, r
-
-    fewer = -counts
-    for t in range(longest):
-        n = int(np.searchsorted(fewer, -t, "left"))
-        w = slice(0, n)
-        g2, g1 = m.guesses()
-        step = rng[w] >> _SHARE
-        target = np.minimum(code[w] // step, (1 << _SHARE) - 1)
-        how = np.zeros(lanes, np.int64)
-        c2, c1, c0 = m.bounds[1:4, w]
-        how[w] = (target >= c2).astype(np.int64) + (target >= c1) + (target >= c0)
-        start, size = m.share(how)
-        narrow(w, start[w], size[w], step)
-        ids = np.where(how == 0, g2, g1).astype(np.int64)
-        old = np.flatnonzero(how == 2)
-        if len(old):
-            step = rng[old] // m.k
-            run = m.of[old * m.k + np.minimum(code[old] // step, m.k - 1)]
-            ids[old] = m.run_key[run] - old * vocabulary
-            narrow(old, m.run_at[run], m.run_n[run], step)
-        new = np.flatnonzero(how == 3)
-        if len(new):
-            step = rng[new] // m.law[-1]
-            found = np.searchsorted(m.law, np.minimum(code[new] // step, m.law[-1] - 1), "right") - 1
-            ids[new] = found
-            narrow(new, m.law[found], m.law[found + 1] - m.law[found], step)
-        ids[n:] = 0
-        # the writer names the first guess that is right
-        how = np.where(m.row < n, how, np.where(g2 == 0, 0, np.where(g1 == 0, 1, 3)))
-        m.update(ids, how)
-        out[t] = ids
-    return out.T
-
-
-def pack_block(ids: np.ndarray, code: bytes) -> bytes:
-    return MAGIC + np.array([len(ids), zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(code), len(code)], "<u4").tobytes() + code
-
-
-def split_blocks(raw: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Counts, crc32 of ids, and codes of the blocks in ``raw``; raises on damage."""
-    counts, crcs, codes, at = [], [], [], 0
+    out, sent = [], []  # 16-bit words with carries still in them, and which lanes send theirs
+    for t in range(steps):
+        x = grid[t]
+        m.predict()
+        mine = m.f * (m.cand == x.view(np.int32))
+        size = np.add.reduce(mine, 0).astype(np.int64)
+        start = np.add.reduce((m.upto - m.f) * (mine > 0), 0).astype(np.int64)
+        named, top = size > 0, m.upto[-1].astype(np.int64)
+        rest = (1 << _MIX) - top
+        start = np.where(named, start << _BASE, (top << _BASE) + rest * m.below.take(x))
+        size = np.where(named, size << _BASE, rest * m.base.take(x))
+        step = rng >> (_MIX + _BASE)
+        if t == steps - 1 and n % lanes:  # lanes that have ended stay as they are
+            start[n % lanes :], size[n % lanes :], step[n % lanes :] = 0, rng[n % lanes :], 1
+        low += step * start
+        rng = step * size
+        while (small := rng < _LOW).any():
+            out.append((low >> 32).astype(np.int32))
+            sent.append(small)
+            low = np.where(small, (low & (_LOW - 1)) << 16, low)
+            rng <<= small * np.int64(16)
+        m.learn(x)
+    out.append(((low + _LOW - 1) >> 32).astype(np.int32))  # the one number in the range that ends in zeros
+    sent.append(np.ones(lanes, bool))
+    mask = np.ascontiguousarray(np.stack(sent).T)
+    code, words = np.ascontiguousarray(np.stack(out).T)[mask], mask.sum(1)
+    while (over := np.flatnonzero(code > 0xFFFF)).size:  # carries run to the left
+        code[over] -= 1 << 16
+        code[over - 1] += 1  # places that differ
+    code = code.astype("<u2").tobytes()
+    table = zlib.compress(np.diff(alphabet.astype(np.int64), prepend=-1).astype("<u2").tobytes(), 9)
+    rest = len(table).to_bytes(4, "little") + table + words.astype("<u2").tobytes() + code
+    head = [n, lanes, len(alphabet), zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(rest), len(rest)]
+    return MAGIC + np.array(head, "<u4").tobytes() + rest
+
+
+def decode_block(raw: bytes, at: int = 0) -> tuple[np.ndarray, int]:
+    """Ids of the block at ``at``, and where it ends; raises on damage."""
+    if raw[at : at + 8] != MAGIC or len(raw) < at + 32:
+        raise ValueError(f"no token block at byte {at}")
+    n, lanes, symbols, crc, crc_rest, size = (int(x) for x in np.frombuffer(raw, "<u4", 6, at + 8))
+    rest = raw[at + 32 : at + 32 + size]
+    if len(rest) != size or zlib.crc32(rest) != crc_rest or lanes != _layout(n)[0]:
+        raise ValueError(f"damaged token block at byte {at}")
+    cut = 4 + int.from_bytes(rest[:4], "little")
+    alphabet = np.cumsum(np.frombuffer(zlib.decompress(rest[4:cut]), "<u2").astype(np.int64)) - 1
+    words = np.frombuffer(rest, "<u2", lanes, cut).astype(np.int64)
+    width = int(words.max()) + 4
+    flat = np.zeros(lanes * width, np.int64)
+    flat.reshape(lanes, width)[np.arange(width) < words[:, None]] = np.frombuffer(rest, "<u2", -1, cut + 2 * lanes)
+    read = np.arange(lanes) * width
+    code = flat[read] << 32 | flat[read + 1] << 16 | flat[read + 2]
+    read += 3
+    last = np.arange(lanes) * width + width - 1
+    rng = np.full(lanes, _FULL, np.int64)
+    _, lens = _layout(n)
+    steps = int(lens[0])
+    grid = np.zeros((steps, lanes), np.uint32)
+    m = _Mixer(symbols, lanes)
+    row = np.arange(lanes)
+    for t in range(steps):
+        m.predict()
+        step = rng >> (_MIX + _BASE)
+        target = (code / step).astype(np.int64)  # exact: below 2^30, and steps are over 1
+        np.minimum(target, (1 << (_MIX + _BASE)) - 1, out=target)
+        k = np.add.reduce(m.upto <= (target >> _BASE).astype(np.int32), 0)
+        named = k < _KEPT
+        where = np.minimum(k, _KEPT - 1) * lanes + row
+        f, upto = m.f.ravel().take(where).astype(np.int64), m.upto.ravel().take(where).astype(np.int64)
+        if m.inverse is None:
+            m.inverse = np.repeat(np.arange(m.n, dtype=np.uint32), m.base)
+        top = m.upto[-1].astype(np.int64)
+        rest = (1 << _MIX) - top
+        other = m.inverse.take((np.maximum(target - (top << _BASE), 0) / rest).astype(np.int64))
+        x = np.where(named, m.cand.ravel().take(where).view(np.uint32), other)
+        start = np.where(named, (upto - f) << _BASE, (top << _BASE) + rest * m.below.take(x))
+        size_ = np.where(named, f << _BASE, rest * m.base.take(x))
+        if t == steps - 1 and n % lanes:
+            x[n % lanes :], start[n % lanes :], size_[n % lanes :], step[n % lanes :] = 0, 0, rng[n % lanes :], 1
+        code -= step * start
+        rng = step * size_
+        while (small := rng < _LOW).any():
+            code = np.where(small, code << 16 | flat.take(np.minimum(read, last)), code)
+            read += small
+            rng <<= small * np.int64(16)
+        grid[t] = x
+        m.learn(x)
+    out = grid.T[np.arange(steps) < lens[:, None]]
+    ids = alphabet[out].astype(np.uint16)
+    if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
+        raise ValueError(f"damaged token block at byte {at}")
+    return ids, at + 32 + size
+
+
+def write_ids(ids: np.ndarray) -> bytes:
+    """``ids`` as blocks, one after another."""
+    return b"".join(encode_block(ids[i : i + BLOCK]) for i in range(0, len(ids), BLOCK))
+
+
+def read_ids(raw: bytes, at: int = 0) -> Iterator[np.ndarray]:
+    """The ids of each block from byte ``at`` on."""
     while at < len(raw):
-        if raw[at : at + 8] != MAGIC or len(raw) < at + HEADER:
-            raise ValueError(f"no token block at byte {at}")
-        n, crc, crc_code, size = (int(x) for x in np.frombuffer(raw[at + 8 : at + HEADER], "<u4"))
-        code = raw[at + HEADER : at + HEADER + size]
-        if len(code) != size or zlib.crc32(code) != crc_code:
-            raise ValueError(f"damaged token block at byte {at}")
-        counts.append(n)
-        crcs.append(crc)
-        codes.append(code)
-        at += HEADER + size
-    return np.array(counts, np.int64), np.array(crcs, np.int64), codes
-
-
-def write_ids(ids: np.ndarray, vocabulary: int = VOCABULARY, most: int = 4096, least: int = 256, lanes: int = 1024) -> bytes:
-    """``ids`` as blocks, one after another; blocks are shorter where that fills the
-    lanes of one batch."""
-    size = int(min(most, max(least, -(-len(ids) // lanes))))
-    n = -(-len(ids) // size)
-    grid = np.zeros((n, size), np.uint16)
-    grid.ravel()[: len(ids)] = ids
-    counts = np.minimum(size, len(ids) - size * np.arange(n))
-    out = []
-    for i in range(0, n, lanes):
-        codes = encode_blocks(grid[i : i + lanes], counts[i : i + lanes], vocabulary)
-        out += [pack_block(grid[i + j, : counts[i + j]], c) for j, c in enumerate(codes)]
-    return b"".join(out)
-
-
-def read_ids(raw: bytes, vocabulary: int = VOCABULARY, lanes: int = 1024) -> np.ndarray:
-    """All ids of the blocks in ``raw``; raises where a checksum fails."""
-    counts, crcs, codes = split_blocks(raw)
-    out = [np.zeros(0, np.uint16)]
-    for i in range(0, len(codes), lanes):
-        c = counts[i : i + lanes]
-        order = np.argsort(-c, kind="stable")
-        grid = decode_blocks([codes[i + j] for j in order], c[order], vocabulary)
-        rows = dict(zip(order.tolist(), grid))
-        for j in range(len(c)):
-            ids = rows[j][: c[j]]
-            if zlib.crc32(ids.astype("<u4").tobytes()) != crcs[i + j]:
-                raise ValueError("damaged token block")
-            out.append(ids)
-    return np.concatenate(out)
+        ids, at = decode_block(raw, at)
+        yield ids
+
+
+def write_file(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
+    """A whole file: documents' ids (null allowed) and lengths, then ``ids`` in blocks."""
+    null = np.array([d is None for d in doc_ids], bool)
+    names = np.array([0 if d is None else d for d in doc_ids], "<i8")
+    table = zlib.compress(np.diff(names, prepend=np.int64(0)).astype("<i8").tobytes() + np.packbits(null).tobytes() + lengths.astype("<u8").tobytes(), 6)
+    head = np.array([len(names), len(ids)], "<u8").tobytes() + np.array([len(table), zlib.crc32(table)], "<u4").tobytes()
+    return DOCS_MAGIC + head + table + write_ids(ids)
+
+
+def read_file(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
+    """doc_ids, lengths and ids of a file; raises on damage."""
+    if raw[:8] != DOCS_MAGIC or len(raw) < 32:
+        raise ValueError("no token-id file")
+    (n, total), (size, crc) = (x.tolist() for x in (np.frombuffer(raw, "<u8", 2, 8), np.frombuffer(raw, "<u4", 2, 24)))
+    table = raw[32 : 32 + size]
+    if len(table) != size or zlib.crc32(table) != crc:
+        raise ValueError("damaged document table")
+    table = zlib.decompress(table)
+    null = np.unpackbits(np.frombuffer(table, np.uint8, -(-n // 8), 8 * n), count=n).astype(bool)
+    names = np.cumsum(np.frombuffer(table, "<i8", n)).tolist()
+    lengths = np.frombuffer(table, "<u8", n, 8 * n + -(-n // 8)).astype(np.int64)
+    ids = np.concatenate([np.zeros(0, np.uint16), *read_ids(raw, 32 + size)])
+    if len(ids) != total or lengths.sum() != total:
+        raise ValueError("token-id file with blocks missing")
+    return [None if x else d for d, x in zip(names, null.tolist())], lengths, ids

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from pingworks.llm.bytescan import mix
 from pingworks.llm.encode import Encoder
-from pingworks.llm.shared import new_path
+from pingworks.llm.shared import new_path, parts_for
 
 LENGTH = 2048
 END_ID = 1
@@ -82,7 +82,7 @@ def hilbert(p: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def place(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
-    """(doc_id, curve_key, ids): ids as little-endian 16-bit numbers, end id included."""
+    """(doc_id, curve_key, ids, n_ids): ids as little-endian 16-bit numbers, end id included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, tables = Encoder.of(tokenizer), _slots()
@@ -91,9 +91,9 @@ def place(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
                 keys = hilbert(points(flat, at, *tables))
                 blob = pa.py_buffer(np.ascontiguousarray(flat, "<u2"))
                 ids = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer((2 * at).astype(np.int64)), blob])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(keys), ids.cast(pa.binary())], names=["doc_id", "curve_key", "ids"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(keys), ids.cast(pa.binary()), pa.array(np.diff(at))], names=["doc_id", "curve_key", "ids", "n_ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col(text)).mapInArrow(run, "doc_id long, curve_key long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col(text)).mapInArrow(run, "doc_id long, curve_key long, ids binary, n_ids long")
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary, curve_key long"
@@ -146,8 +146,8 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, text: str = "tex
     placed = place(docs, tokenizer, text)
     placed.write.option("compression", "zstd").parquet(path)
     placed = spark.read.schema(placed.schema).parquet(path)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    line = placed.repartitionByRange(parts, "curve_key", "doc_id").sortWithinPartitions("curve_key", "doc_id")
+    parts = parts_for(placed.agg(F.sum("n_ids") * 2))
+    line = placed.drop("n_ids").repartitionByRange(parts, "curve_key", "doc_id").sortWithinPartitions("curve_key", "doc_id")
     kinds = [pa.int64()] * 7 + [pa.binary(), pa.int64()]
     names = [x.split()[0] for x in PIECES.split(", ")]
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,10 +17,12 @@ BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see.
 
-    The session's ``spark.checkpoint.dir``; where a session has none (tests on
-    one machine), a fresh folder that is then set for the session."""
+    The session's ``spark.checkpoint.dir``; where a session on one machine (tests) has
+    none, a fresh folder that is then set for the session.  A cluster must name one."""
     found = spark.conf.get(CHECKPOINT_KEY, None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError(f"{CHECKPOINT_KEY} must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="pingworks-")
         spark.conf.set(CHECKPOINT_KEY, found)
     return found.rstrip("/")
@@ -45,6 +48,13 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def parts_for(total: DataFrame, each: int = 64 << 20) -> int:
+    """Partitions for so many bytes (the one number of ``total``): the session's number,
+    or more where that would put over ``each`` bytes into one."""
+    n = total.first()[0] or 0
+    return max(int(total.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // each))
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and its n + 1 offsets, without copying
     where Arrow allows; null rows are empty."""

@@ -1,9 +1,10 @@
 """Token-id output: documents to files of range-coded blocks, and back.
 
 Documents are range-sorted by doc_id; each task encodes its stretch and writes rows of
-(shard, row, doc_ids, lengths, blocks): whole documents, about ROW_IDS ids a row, their
-ids in blocks of the format of `idfile`.  Shards and rows ascend with doc_id.  The place
-of a document's first id among all ids comes from one number a row.
+(shard, row, n_ids, file): whole documents, about ROW_IDS ids a row, as a file in the
+format of `idfile`, which holds doc_ids and lengths beside the ids and can be read alone.
+Shards and rows ascend with doc_id.  The place of a document's first id among all ids
+comes from one number a row.
 
 Defined cases: null and empty texts are the end id alone; null doc_ids come first and
 are read back as null; repeated rows are documents of their own, side by side; a long
@@ -22,17 +23,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pingworks.llm.encode import Encoder
-from pingworks.llm.idfile import read_ids, write_ids
-from pingworks.llm.shared import new_path
+from pingworks.llm.idfile import read_file, write_file
+from pingworks.llm.shared import new_path, parts_for
 
 END_ID = 1
 ROW_IDS = 4 << 20
-VOCABULARY = 49408
-ROWS = "shard long, row long, n_ids long, doc_ids array<long>, lengths array<long>, blocks binary"
+ROWS = "shard long, row long, n_ids long, file binary"
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, text: str = "text", vocabulary: int = VOCABULARY) -> None:
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def write(docs: DataFrame, path: str, tokenizer: str, text: str = "text") -> None:
+    parts = parts_for(docs.agg(F.sum(F.octet_length(text))))
     line = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,11 +41,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, text: str = "text", vocabu
 
         def flush() -> pa.RecordBatch:
             nonlocal ids, docs_, lens, total, row
-            blocks = write_ids(np.concatenate(ids), vocabulary)
-            one = [[shard], [row], [total], [docs_], [np.concatenate(lens).tolist()], [blocks]]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+            one = [[shard], [row], [total], [write_file(docs_, np.concatenate(lens), np.concatenate(ids))]]
             row, ids, docs_, lens, total = row + 1, [], [], [], 0
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(one, kinds)], names=[x.split()[0] for x in ROWS.split(", ")])
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(one, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=[x.split()[0] for x in ROWS.split(", ")])
 
         for b in batches:
             for i, j, flat, at in encoder.ids(b.column(1), END_ID):
@@ -61,7 +59,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, text: str = "text", vocabu
     line.mapInArrow(run, ROWS).write.parquet(path)
 
 
-def read(spark: SparkSession, path: str, with_ids: bool = False, vocabulary: int = VOCABULARY) -> DataFrame:
+def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32), and ids (little-endian 16-bit) if asked."""
     rows = spark.read.schema(ROWS).parquet(path)
     shards = rows.groupBy("shard").agg(F.sum("n_ids").alias("n"))
@@ -74,18 +72,17 @@ def read(spark: SparkSession, path: str, with_ids: bool = False, vocabulary: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
-                ids = read_ids(b.column(4)[k].as_py(), vocabulary)
-                docs_, lens = b.column(2)[k].values, np.asarray(b.column(3)[k].values)
+                docs_, lens, ids = read_file(b.column(2)[k].as_py())
                 at = np.append(0, np.cumsum(lens))
                 wide = ids.astype("<u4")
                 crcs = [zlib.crc32(wide[x:y].data) for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
                 n = len(lens)
-                cols = [pa.array([b.column(0)[k].as_py()] * n, pa.int64()), pa.array([b.column(1)[k].as_py()] * n, pa.int64()), docs_, pa.array(at[:-1]), pa.array(lens), pa.array(crcs, pa.int64())]
+                cols = [pa.array([b.column(0)[k].as_py()] * n, pa.int64()), pa.array([b.column(1)[k].as_py()] * n, pa.int64()), pa.array(docs_, pa.int64()), pa.array(at[:-1]), pa.array(lens), pa.array(crcs, pa.int64())]
                 if with_ids:
                     cols.append(pa.array([ids[x:y].astype("<u2").tobytes() for x, y in zip(at[:-1], at[1:])], pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in schema.split(", ")])
 
-    found = rows.select("shard", "row", "doc_ids", "lengths", "blocks").mapInArrow(run, schema)
+    found = rows.select("shard", "row", "file").mapInArrow(run, schema)
     out = found.join(starts, ["shard", "row"]).withColumn("start", F.col("base") + F.col("at"))
     return out.select("doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids)
 

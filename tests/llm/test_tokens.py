@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from conftest import SMALL
 from hypothesis import given, settings
@@ -18,7 +19,7 @@ from pingworks.llm.shared import new_path
 
 PIECES = P.path("piece_bpe_32k.model")
 WORDS = P.path("word_bpe_49k.json")
-ODD = ["", " ", "a  b", " a", "a ", "é è", "a　 b", "a ́b", "<|endoftext|> x <|endoftext|>", "It's  \n\n ok don't", "Σ ΑΣ Σ", "日本 語", "🙂 🙂", "<s> </s>", "a▁b ▁c", "ﬁ Å", "x\x00 \x00y"]
+ODD = ["", " ", "a  b", " a", "a ", "é è", "a　 b", "a ́b", "<|endoftext|> x <|endoftext|>", "It's  \n\n ok don't", "Σ ΑΣ Σ", "日本 語", "🙂 🙂", "<s> </s>", "a▁b ▁c", "ﬁ Å", "x\x00 \x00y", "One.\nTwo,\n\nthree!\r\nfour\n five \nsix.seven:8\n9;a's\n", "<|EndOfText|> A.\nB", "E\u0301.\nE\u0301 É.\né"]
 
 
 def _library(name):
@@ -83,29 +84,81 @@ def test_query_counts_the_whole_table(spark):
     assert {r.doc_id: r.n_tokens for r in tokencounts.query(spark, SMALL).collect()} == {k: len(encode(t)) for k, t in texts.items()}
 
 
+def _blocks(raw):
+    return np.concatenate([np.zeros(0, np.uint16), *idfile.read_ids(raw)])
+
+
 @settings(max_examples=40, deadline=None)
-@given(st.lists(st.integers(0, 300), max_size=400), st.sampled_from([7, 64, 4096]), st.sampled_from([1, 64]), st.sampled_from([2, 1024]))
-def test_range_code_round_trip(ids, most, least, lanes):
+@given(st.lists(st.integers(0, 300), max_size=400), st.sampled_from([1, 7, 64]), st.sampled_from([1, 16, 4096]), st.sampled_from([100, 1 << 22]))
+def test_range_code_round_trip(ids, lane_ids, lanes, block):
     ids = np.array(ids, np.uint16)
-    raw = idfile.write_ids(ids, 400, most, least, lanes)
-    assert idfile.read_ids(raw, 400, lanes).tolist() == ids.tolist()
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(idfile, "LANE_IDS", lane_ids), m.setattr(idfile, "LANES", lanes), m.setattr(idfile, "BLOCK", block)
+        assert _blocks(idfile.write_ids(ids)).tolist() == ids.tolist()
 
 
 def test_range_code_of_repetitive_and_random_ids():
     rng = np.random.default_rng(3)
-    for ids in (np.zeros(20_000, np.uint16), np.tile(np.arange(50, dtype=np.uint16), 300), rng.integers(0, 65536, 20_000).astype(np.uint16)):
-        raw = idfile.write_ids(ids)
-        assert (idfile.read_ids(raw) == ids).all()
-    assert len(idfile.write_ids(np.zeros(20_000, np.uint16))) < 4_000
-
-
-def test_damage_is_found_in_its_block():
-    raw = bytearray(idfile.write_ids(np.arange(3000, dtype=np.uint16) % 99, 100, 500, 1, 4))
-    raw[-3] ^= 1
-    with pytest.raises(ValueError):
-        idfile.read_ids(bytes(raw), 100)
-    counts, _, codes = idfile.split_blocks(idfile.write_ids(np.arange(3000, dtype=np.uint16) % 99, 100, 500, 1, 4))
-    assert idfile.decode_blocks(codes[2:3], counts[2:3], 100)[0].tolist() == (np.arange(1000, 1500) % 99).tolist()  # a block alone
+    for ids in (np.zeros(20_000, np.uint16), np.tile(np.arange(50, dtype=np.uint16), 3000), rng.integers(0, 65536, 70_000).astype(np.uint16), np.array([65535], np.uint16)):
+        assert (_blocks(idfile.write_ids(ids)) == ids).all()
+    assert len(idfile.write_ids(np.zeros(20_000, np.uint16))) < 1_000
+    assert len(idfile.write_ids(np.tile(np.arange(50, dtype=np.uint16), 3000))) < 40_000
+    assert len(idfile.write_ids(rng.integers(0, 65536, 70_000).astype(np.uint16))) < 2.4 * 70_000  # and the alphabet
+
+
+def _entropy(ids):
+    p = np.bincount(ids) / len(ids)
+    return -(p[p > 0] * np.log2(p[p > 0])).sum()
+
+
+@pytest.mark.parametrize("n", [60_000, 250_000, 900_000])
+def test_mixing_beats_its_order_0_part_and_deflate(n):
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0)
+    ids = np.concatenate([f for _, _, f, _ in Encoder.of(WORDS).ids(texts, 1)])[:n]
+    bits = 8 * len(idfile.write_ids(ids)) / len(ids)
+    assert bits < _entropy(ids) and bits < 8 * len(zlib.compress(ids.astype("<u2").tobytes(), 9)) / len(ids)
+
+
+def test_order_0_counts_move_the_code():
+    # ids that never repeat a context: only order 0 can tell that half of them are one id
+    rng = np.random.default_rng(4)
+    ids = rng.permutation(30_000).astype(np.uint16)
+    ids = np.where(rng.random(30_000) < 0.5, 7, ids).astype(np.uint16)
+    m = idfile._Mixer(30_000, 4)
+    before = m.base[7]
+    for i in range(0, 2000, 4):
+        m.predict()
+        m.learn(ids[i : i + 4].astype(np.uint32))
+    assert m.base[7] > 1000 * before
+
+
+def test_damage_is_found_in_its_block(monkeypatch):
+    monkeypatch.setattr(idfile, "BLOCK", 1000)
+    ids = np.arange(3000, dtype=np.uint16) % 99
+    raw = idfile.write_ids(ids)
+    _, second = idfile.decode_block(raw)
+    for at in (3, 40, len(raw) - 3):
+        bad = bytearray(raw)
+        bad[at] ^= 1
+        with pytest.raises(ValueError):
+            _blocks(bytes(bad))
+    bad = bytearray(raw)
+    bad[second + 50] ^= 1
+    assert (idfile.decode_block(bytes(bad))[0] == ids[:1000]).all()  # damage stays in its block
+    _, third = idfile.decode_block(raw, second)
+    assert (idfile.decode_block(raw, third)[0] == ids[2000:]).all()  # a block alone
+
+
+def test_file_alone_has_the_documents():
+    docs, lengths = [None, -5, 7, 7, 1 << 40], np.array([2, 1, 3, 0, 4])
+    raw = idfile.write_file(docs, lengths, np.arange(10, dtype=np.uint16))
+    got = idfile.read_file(raw)
+    assert got[0] == docs and got[1].tolist() == lengths.tolist() and got[2].tolist() == list(range(10))
+    for at in (2, 35, len(raw) - 1):
+        bad = bytearray(raw)
+        bad[at] ^= 4
+        with pytest.raises(ValueError):
+            idfile.read_file(bytes(bad))
 
 
 def test_id_files_round_trip(spark):
