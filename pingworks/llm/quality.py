@@ -4,9 +4,10 @@ Every figure comes from Spark's own expressions, so the rules run inside the sca
 stage: no shuffle, no Python.
 
 Defined cases: a null text is an empty text (no words: rejected by ``min_words``);
-repeated rows are judged one by one; other columns pass through untouched, and
-helper columns carry a ``__q_`` prefix so that they cannot clash; an empty table
-gives an empty table."""
+repeated rows are judged one by one; other columns pass through untouched, but a
+column that bears the name of a count, a ratio or a verdict is replaced by it; helper
+columns carry a ``__q_`` prefix so that they cannot clash; an empty table gives an
+empty table."""
 
 from __future__ import annotations
 
@@ -163,10 +164,7 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES,
         "base_failed": (n < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * n),
         "failed_rules": F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in compile_rules(rules).items()])),
     })
-    # the row number, always true here, keeps later filters above this projection: pushed
-    # below, they would spell out every figure again in place of its name
-    fence = F.monotonically_increasing_id() >= 0
-    df = df.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0) & fence)
+    df = df.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
     return df.drop(*[c for c in df.columns if c.startswith("__q_")])
 
 
@@ -182,7 +180,10 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that every rule keeps, with their columns."""
     own = [F.col(f"`{c}`") for c in docs.columns]
     work = docs.select(F.struct(*own).alias("__row"), F.col("text").alias("__body"))
-    return judge(work, "__body").filter("kept").select("__row.*")
+    # the row number, always true here, keeps the filter above the projection: pushed
+    # below, it would spell out every figure again in place of its name
+    fence = F.monotonically_increasing_id() >= 0
+    return judge(work, "__body").select("__row", (F.col("kept") & fence).alias("__go")).filter("__go").select("__row.*")
 
 
 _STOP_SQL = ", ".join(f"'{w}'" for w in sorted({w for x in STOP_WORDS.values() for w in x.split()}))

@@ -48,3 +48,17 @@ def test_stage_keeps_columns_and_clashing_names(spark):
     out = quality.stage(spark, df, "")
     assert out.columns == df.columns and out.first().n_words == 7
     assert quality.stage(spark, df.limit(0), "").count() == 0
+
+
+def test_figures_replace_columns_of_their_names(spark):
+    text = "The house is on the hill and it was sold to the man for a sum."
+    df = spark.createDataFrame([(1, text, "x", "y", 5.0), (1, text, "x", "y", 5.0), (None, None, None, None, None)], "doc_id long, text string, n_words string, kept string, mean_word_chars double")
+    rows = quality.judge(df).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.kept) for r in rows) == [(0, 0, False), (1, 15, True), (1, 15, True)]
+    assert {r.mean_word_chars for r in rows if r.doc_id} == {48 / 15}
+
+
+def test_verdicts_may_be_filtered(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    every = {r.doc_id: r.kept for r in quality.judge(docs).collect()}
+    assert {r.doc_id for r in quality.judge(docs).filter("kept").select("doc_id").collect()} == {k for k, v in every.items() if v}
