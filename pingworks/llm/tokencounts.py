@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pingworks.llm.encode import Encoder, file_digest
-from pingworks.llm.shared import new_path
+from pingworks.llm.shared import cut, new_path
 
 CACHE_SCHEMA = "tokenizer_digest string, text_digest binary, n_tokens long"
 
@@ -65,7 +65,8 @@ def fill_cache(docs: DataFrame, cache: str, tokenizer: str, text: str = "text")
 def count_tokens(docs: DataFrame, cache: str, tokenizer: str, text: str = "text", limit: int = 4096) -> DataFrame:
     """``docs`` with n_bytes, n_tokens and over_limit (n_tokens > ``limit``)."""
     version = fill_cache(docs, cache, tokenizer, text)
-    counts = read_cache(docs.sparkSession, cache, version).withColumnRenamed("n_tokens", "__n").withColumnRenamed("text_digest", "__digest")
+    # one row a digest, read back from a table, so that Spark may split a hot digest in the join
+    counts = cut(read_cache(docs.sparkSession, cache, version), "counts").withColumnRenamed("n_tokens", "__n").withColumnRenamed("text_digest", "__digest")
     body = normalised(text)
     rows = docs.withColumns({"n_bytes": F.octet_length(body).cast("long"), "__digest": digest(body)})
     return rows.join(counts, "__digest", "left").withColumns({"n_tokens": F.col("__n"), "over_limit": F.col("__n") > limit}).drop("__n", "__digest")
