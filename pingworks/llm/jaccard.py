@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pingworks.llm.bytescan import LOWER, mix, ranges, word_hashes, word_spans
-from pingworks.llm.shared import cut, slices, text_buffer
+from pingworks.llm.shared import cut, parts_for, slices, text_buffer
 
 SHINGLE = 5
 SLICE_BYTES = 1 << 20
@@ -413,9 +413,8 @@ def components(links: DataFrame) -> DataFrame:
 def grouped_rows(docs: DataFrame, single: bool = False) -> DataFrame:
     """(doc_id, row_hash, n_shingles, member, comp), one row a row of ``docs``, which has
     doc_id, text and a row_hash."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     about = cut(describe(docs), "sets")
+    parts = parts_for(about.agg(F.sum("n_shingles") * 16), 32 << 20)
     live = cut(shared_signatures(docs, parts, single), "signatures")
     if not single and not live.filter("df = 0").isEmpty():
         return grouped_rows(docs, True)
@@ -450,7 +449,8 @@ def join(docs: DataFrame, text: str = "text", single: bool = False) -> DataFrame
     one shingle for all sets, which is also the way for irregular ones."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("row_hash"))
     grouped = grouped_rows(docs, single)
-    smallest = grouped.filter("member <> 0").groupBy("comp").agg(F.min("doc_id").alias("least"))
+    # read back from a table, so that Spark may split a hot component in the join
+    smallest = cut(grouped.filter("member <> 0").groupBy("comp").agg(F.min("doc_id").alias("least")), "least")
     return grouped.join(smallest, "comp", "left").select("doc_id", "n_shingles", F.when(F.col("member") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
@@ -470,8 +470,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(F.struct(*own).alias("__row"), F.col("doc_id").cast("long").alias("__id"), F.col("text").alias("__text"), F.xxhash64("text", rest).alias("__hash"))
     found = grouped_rows(docs.select(F.col("__id").alias("doc_id"), F.col("__text").alias("text"), F.col("__hash").alias("row_hash"))).filter("member <> 0")
     # rows are told apart by doc_id and hash; those equal in both are the same row repeated
-    keys = found.groupBy("comp", "doc_id", "row_hash").agg(F.count(F.lit(1)).alias("n"))
-    best = found.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash")).alias("best"))
+    keys = cut(found.groupBy("comp", "doc_id", "row_hash").agg(F.count(F.lit(1)).alias("n")), "keys")
+    best = cut(found.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash")).alias("best")), "best")
     first = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("row_hash") == F.col("best.row_hash"))
     # a key is gone, or it stays but its rows repeat; all others stay as they are
     told = keys.join(best, "comp").withColumn("first", first).filter("not first or n > 1")

@@ -143,3 +143,12 @@ def test_shingles_do_not_cross_rows():
     buf, offs = text_buffer(pa.array(["a b c d e", None, "f", "A B c d E"]))
     h, at = jaccard.shingles(buf, offs)
     assert np.diff(at).tolist() == [1, 0, 1, 1] and h[0] == h[2] != h[1]
+
+
+def test_long_words_of_equal_sums_stay_apart(spark):
+    x, y = "a", "b"
+    for _ in range(11):
+        x, y = x + y, y + x
+    rows = [(1, f"one two three four {x}"), (2, f"one two three four {y}"), (3, f"one two three four {x}")]
+    got = {r.doc_id: r.component_id for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
