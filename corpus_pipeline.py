@@ -2,7 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; `run` writes it as
 Parquet in the shared folder and gives the next stage what it reads back, so a lost
-executor never costs more than the stage at hand."""
+executor never costs more than the stage at hand.
+
+Defined cases, by stage: a null or empty text has no words, so the quality rules reject
+it; a null doc_id, lang or source takes part like any other value; of repeated rows and
+of copies one row stays, that with the smallest doc_id and, at a tie, the smallest hash
+of its row; the mix may take a document in several epochs, and packing then packs it as
+often; columns beside those of documents pass through whatever their names, up to the
+mix; an empty table gives an empty table at every stage."""
 
 from __future__ import annotations
 
