@@ -27,9 +27,9 @@ import pyarrow as pa
 from pingworks.llm.bytescan import LOWER, prefix_sums, ranges, span_hashes
 from pingworks.llm.shared import slices, text_buffer
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 4 << 20
 #: Beyond so many chunks, or bytes of chunks, a task's cache starts afresh.
-CACHE_CHUNKS = 600_000
+CACHE_CHUNKS = 800_000
 CACHE_BYTES = 16 << 20
 
 

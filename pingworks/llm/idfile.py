@@ -31,16 +31,17 @@ import numpy as np
 DOCS_MAGIC, MAGIC = b"PWDOCS2\0", b"PWIDS2\0\0"
 BLOCK = 1 << 22  # most ids of a block
 LANES = 4096
-LANE_IDS = 384  # ids a lane, where the block is too short for all lanes
+LANE_IDS = 1024  # ids a lane, where the block is too short for all lanes
 _K2, _K1 = 1, 4  # ids that an order-2 and an order-1 context remembers
+_ROW = {2: np.uint64, 4: np.complex128}[_K1]  # a number as wide as an order-1 row
 _KEPT = _K2 + _K1
 _SLOTS = 1 << 17  # order-2 contexts
 _TOP = 250  # counts are halved beyond
 _MIX, _BASE = 12, 18  # bits of the mixed candidates' total and of the order-0 total
 _ALL = (1 << _MIX) - 64  # the rest of the total is always left to order 0
 _FULL, _LOW = (1 << 48) - 1, 1 << 32
-_LEVELS = np.digitize(np.arange(_K1 * (_TOP + 1)), [1, 2, 3, 5, 9, 20, 60]).astype(np.int16)  # confidence by count
-_PART = np.append(0, (1 << 12) // (4 * np.arange(1, _K1 * (_TOP + 1)) + 1)).astype(np.int32)
+_LEVELS = np.digitize(np.arange(_K1 * (_TOP + 8)), [1, 2, 3, 5, 9, 20, 60]).astype(np.int16)  # confidence by count
+_PART = np.append(0, (1 << 12) // (4 * np.arange(1, _K1 * (_TOP + 8)) + 1)).astype(np.int32)
 _ID, _ONE, _SIXTEEN = np.uint32(0xFFFF), np.uint32(1 << 16), np.uint32(16)
 
 
@@ -57,7 +58,7 @@ class _Mixer:
         self.one = np.tile(self.blank, (self.n, 1))
         self.two = np.zeros((_SLOTS, _K2 + 1), np.uint32)
         # whole rows as single numbers, which move faster
-        self.one_rows, self.two_rows = self.one.view(np.complex128)[:, 0], self.two.view(np.uint64)[:, 0]
+        self.one_rows, self.two_rows = self.one.view(_ROW)[:, 0], self.two.view(np.uint64)[:, 0]
         self.a, self.b = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
         self.weight = np.array([1200, 1800, 900], np.int32)[:, None].repeat(64, 1)  # order 2, 1, 0 by class
         self.count = np.ones(self.n, np.int64)
@@ -72,7 +73,7 @@ class _Mixer:
             self.recent = []
         f = 1 + self.count * ((1 << _BASE) - self.n) // self.count.sum()
         f[np.argmax(f)] += (1 << _BASE) - f.sum()
-        self.base, self.below = f.astype(np.int32), np.cumsum(f) - f
+        self.base, self.below = f.astype(np.int32), (np.cumsum(f) - f).astype(np.int32)
         self.inverse = None
 
     def predict(self) -> None:
@@ -111,7 +112,7 @@ class _Mixer:
 
     def learn(self, ids: np.ndarray) -> None:
         """All models move on by the ids (uint32) that the lanes have coded."""
-        if self.step % 8 == 0:
+        if self.step % 16 == 0:
             self._reweigh(ids)
         e, fresh = self.e, ids | _ONE
         hit = (self.cand.view(np.uint32) == ids).view(np.uint8) * _ONE
@@ -123,14 +124,14 @@ class _Mixer:
         change = (fresh - least) * (np.bitwise_or.reduce(hit, 0) == 0)
         hit += (x == least) * change
         x += hit
-        if e.max() >= np.uint32(_TOP << 16):
+        if self.step % 4 == 0 and e.max() >= np.uint32(_TOP << 16):
             full = np.flatnonzero(np.maximum.reduce(e, 0) >= np.uint32(_TOP << 16))
             old = e[:, full]
             e[:, full] = (old >> np.uint32(17) << _SIXTEEN) | (old & _ID)
         row = np.empty((self.lanes, 2), np.uint32)
         row[:, 0], row[:, 1] = self.check, e[0]
         self.two_rows[self.slot] = row.view(np.uint64)[:, 0]
-        self.one_rows[self.b] = np.ascontiguousarray(x.T).view(np.complex128)[:, 0]
+        self.one_rows[self.b] = np.ascontiguousarray(x.T).view(_ROW)[:, 0]
         self.a, self.b = self.b, ids
         self.recent.append(ids)
         self.step += 1
@@ -153,10 +154,26 @@ class _Mixer:
         self.weight[self.weight.argmax(0), np.arange(64)] -= over
 
 
-def _layout(n: int) -> tuple[int, np.ndarray]:
-    """Lanes of a block of ``n`` ids, and ids of each; the first ones have one more."""
-    lanes = max(1, min(LANES, n // LANE_IDS))
-    return lanes, n // lanes + (np.arange(lanes) < n % lanes)
+def _lanes(n: int) -> int:
+    """Lanes of a block of ``n`` ids."""
+    return max(1, min(LANES, n // LANE_IDS))
+
+
+def _columns(ids: np.ndarray, lanes: int) -> np.ndarray:
+    """Lanes as columns; the shorter ones end in 0."""
+    short, more = divmod(len(ids), lanes)
+    grid = np.zeros((short + (more > 0), lanes), ids.dtype)
+    cut = more * (short + 1)
+    if more:
+        grid[:, :more] = ids[:cut].reshape(more, short + 1).T
+    grid[:short, more:] = ids[cut:].reshape(lanes - more, short).T
+    return grid
+
+
+def _in_line(grid: np.ndarray, n: int) -> np.ndarray:
+    """The ids that `_columns` has put into columns."""
+    short, more = divmod(n, grid.shape[1])
+    return np.concatenate([grid[:, :more].T.ravel() if more else grid[:0, 0], grid[:short, more:].T.ravel()])
 
 
 def encode_block(ids: np.ndarray) -> bytes:
@@ -166,40 +183,39 @@ def encode_block(ids: np.ndarray) -> bytes:
     number = np.zeros(1 << 16, np.uint32)
     number[alphabet] = np.arange(len(alphabet))
     codes = number[ids]
-    lanes, lens = _layout(n)
-    steps, first = int(lens[0]), np.cumsum(lens) - lens
-    grid = np.zeros((steps, lanes), np.uint32)
-    grid[: n // lanes] = codes[first + np.arange(n // lanes)[:, None]]
-    if n % lanes:
-        grid[-1, : n % lanes] = codes[first[: n % lanes] + steps - 1]
+    lanes = _lanes(n)
+    grid = _columns(codes, lanes)
+    steps = len(grid)
     m = _Mixer(len(alphabet), lanes)
     low, rng = np.zeros(lanes, np.int64), np.full(lanes, _FULL, np.int64)
-    out, sent = [], []  # 16-bit words with carries still in them, and which lanes send theirs
+    out, sent = [], []  # 16-bit words with carries still in them, and whose they are
     for t in range(steps):
         x = grid[t]
         m.predict()
         mine = m.f * (m.cand == x.view(np.int32))
-        size = np.add.reduce(mine, 0).astype(np.int64)
-        start = np.add.reduce((m.upto - m.f) * (mine > 0), 0).astype(np.int64)
-        named, top = size > 0, m.upto[-1].astype(np.int64)
+        size = np.add.reduce(mine, 0)
+        start = np.add.reduce((m.upto - m.f) * (mine > 0), 0)
+        named, top = size > 0, m.upto[-1]
         rest = (1 << _MIX) - top
         start = np.where(named, start << _BASE, (top << _BASE) + rest * m.below.take(x))
         size = np.where(named, size << _BASE, rest * m.base.take(x))
         step = rng >> (_MIX + _BASE)
         if t == steps - 1 and n % lanes:  # lanes that have ended stay as they are
+            size = size.astype(np.int64)
             start[n % lanes :], size[n % lanes :], step[n % lanes :] = 0, rng[n % lanes :], 1
         low += step * start
         rng = step * size
         while (small := rng < _LOW).any():
-            out.append((low >> 32).astype(np.int32))
-            sent.append(small)
+            lane = np.flatnonzero(small)
+            sent.append(lane.astype(np.uint16))
+            out.append((low.take(lane) >> 32).astype(np.int32))
             low = np.where(small, (low & (_LOW - 1)) << 16, low)
             rng <<= small * np.int64(16)
         m.learn(x)
     out.append(((low + _LOW - 1) >> 32).astype(np.int32))  # the one number in the range that ends in zeros
-    sent.append(np.ones(lanes, bool))
-    mask = np.ascontiguousarray(np.stack(sent).T)
-    code, words = np.ascontiguousarray(np.stack(out).T)[mask], mask.sum(1)
+    sent.append(np.arange(lanes, dtype=np.uint16))
+    lane = np.concatenate(sent)
+    code, words = np.concatenate(out)[np.argsort(lane, kind="stable")], np.bincount(lane, minlength=lanes)
     while (over := np.flatnonzero(code > 0xFFFF)).size:  # carries run to the left
         code[over] -= 1 << 16
         code[over - 1] += 1  # places that differ
@@ -216,42 +232,42 @@ def decode_block(raw: bytes, at: int = 0) -> tuple[np.ndarray, int]:
         raise ValueError(f"no token block at byte {at}")
     n, lanes, symbols, crc, crc_rest, size = (int(x) for x in np.frombuffer(raw, "<u4", 6, at + 8))
     rest = raw[at + 32 : at + 32 + size]
-    if len(rest) != size or zlib.crc32(rest) != crc_rest or lanes != _layout(n)[0]:
+    if len(rest) != size or zlib.crc32(rest) != crc_rest or lanes != _lanes(n):
         raise ValueError(f"damaged token block at byte {at}")
     cut = 4 + int.from_bytes(rest[:4], "little")
     alphabet = np.cumsum(np.frombuffer(zlib.decompress(rest[4:cut]), "<u2").astype(np.int64)) - 1
     words = np.frombuffer(rest, "<u2", lanes, cut).astype(np.int64)
     width = int(words.max()) + 4
-    flat = np.zeros(lanes * width, np.int64)
+    flat = np.zeros(lanes * width, np.uint16)
     flat.reshape(lanes, width)[np.arange(width) < words[:, None]] = np.frombuffer(rest, "<u2", -1, cut + 2 * lanes)
     read = np.arange(lanes) * width
-    code = flat[read] << 32 | flat[read + 1] << 16 | flat[read + 2]
+    code = sum(flat[read + i].astype(np.int64) << 32 - 16 * i for i in range(3))
     read += 3
     last = np.arange(lanes) * width + width - 1
     rng = np.full(lanes, _FULL, np.int64)
-    _, lens = _layout(n)
-    steps = int(lens[0])
+    steps = -(-n // lanes)
     grid = np.zeros((steps, lanes), np.uint32)
     m = _Mixer(symbols, lanes)
-    row = np.arange(lanes)
+    row = np.arange(lanes, dtype=np.int32)
     for t in range(steps):
         m.predict()
         step = rng >> (_MIX + _BASE)
-        target = (code / step).astype(np.int64)  # exact: below 2^30, and steps are over 1
+        target = (code / step).astype(np.int32)  # exact: quotients are below 2^30 and steps 4 or more
         np.minimum(target, (1 << (_MIX + _BASE)) - 1, out=target)
-        k = np.add.reduce(m.upto <= (target >> _BASE).astype(np.int32), 0)
+        k = np.add.reduce(m.upto <= target >> _BASE, 0, dtype=np.int32)
         named = k < _KEPT
-        where = np.minimum(k, _KEPT - 1) * lanes + row
-        f, upto = m.f.ravel().take(where).astype(np.int64), m.upto.ravel().take(where).astype(np.int64)
+        where = np.minimum(k, _KEPT - 1) * np.int32(lanes) + row
+        f, upto = m.f.ravel().take(where), m.upto.ravel().take(where)
         if m.inverse is None:
             m.inverse = np.repeat(np.arange(m.n, dtype=np.uint32), m.base)
-        top = m.upto[-1].astype(np.int64)
+        top = m.upto[-1]
         rest = (1 << _MIX) - top
-        other = m.inverse.take((np.maximum(target - (top << _BASE), 0) / rest).astype(np.int64))
+        other = m.inverse.take((np.maximum(target - (top << _BASE), 0) / rest).astype(np.int32))
         x = np.where(named, m.cand.ravel().take(where).view(np.uint32), other)
         start = np.where(named, (upto - f) << _BASE, (top << _BASE) + rest * m.below.take(x))
         size_ = np.where(named, f << _BASE, rest * m.base.take(x))
         if t == steps - 1 and n % lanes:
+            size_ = size_.astype(np.int64)
             x[n % lanes :], start[n % lanes :], size_[n % lanes :], step[n % lanes :] = 0, 0, rng[n % lanes :], 1
         code -= step * start
         rng = step * size_
@@ -261,8 +277,7 @@ def decode_block(raw: bytes, at: int = 0) -> tuple[np.ndarray, int]:
             rng <<= small * np.int64(16)
         grid[t] = x
         m.learn(x)
-    out = grid.T[np.arange(steps) < lens[:, None]]
-    ids = alphabet[out].astype(np.uint16)
+    ids = alphabet.astype(np.uint16)[_in_line(grid, n)]
     if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
         raise ValueError(f"damaged token block at byte {at}")
     return ids, at + 32 + size

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from pingworks.llm.encode import Encoder
 from pingworks.llm.idfile import read_file, write_file
-from pingworks.llm.shared import new_path, parts_for
+from pingworks.llm.shared import new_path
 
 END_ID = 1
 ROW_IDS = 4 << 20
@@ -32,7 +32,7 @@ ROWS = "shard long, row long, n_ids long, file binary"
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, text: str = "text") -> None:
-    parts = parts_for(docs.agg(F.sum(F.octet_length(text))))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # tasks stream: a larger one only spills more
     line = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
