@@ -7,8 +7,9 @@ payload and, by inverse transform and chroma upsampling, the tensor come.
 
 Defined cases: a null text is the empty one; it is padded to the least payload; equal
 texts have equal files, tensors and features whatever rows stand beside them; repeated
-rows are images of their own; other columns are left behind; an empty table gives an
-empty result."""
+rows are images of their own; very long texts are wider images (a tensor has twice the
+bytes of its text and must fit in a Spark value, so 1 GB of text is the most); other
+columns are left behind; an empty table gives an empty result."""
 
 from __future__ import annotations
 
@@ -25,7 +26,8 @@ from pingworks.llm import progressive as J
 from pingworks.llm.shared import new_path, slices, text_buffer
 
 UNIT = 192
-BATCH_BYTES = 1 << 20
+#: Images decoded together; more lanes make a step cheaper, and memory grows with them.
+BATCH_BYTES = 4 << 20
 MCU_BYTES = 384
 #: Taken from each byte; near the middle of the letters, so that most numbers are small.
 OFFSET = 110
@@ -105,4 +107,4 @@ def load(spark: SparkSession, path: str, tensors: bool = False) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "media")
     store(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), path)
-    return load(spark, path)
+    return load(spark, path, tensors=True)

@@ -186,8 +186,8 @@ def _sos(comps: tuple[int, ...], first: int, last: int, high: int, low: int) ->
 
 
 def grid(mcus: int) -> tuple[int, int]:
-    """Width and height in MCUs of an image that holds so many."""
-    width = min(mcus, 16 * RESTART)
+    """Width and height in MCUs of an image that holds so many; a side has 16 bits."""
+    width = max(min(mcus, 16 * RESTART), -(-mcus // (65535 // 16)))
     return width, -(-mcus // width)
 
 

@@ -219,3 +219,25 @@ def test_query_and_edges(spark):
     path = new_path(spark, "media")
     media.store(docs.limit(0), path)
     assert media.load(spark, path).count() == 0
+
+
+@pytest.mark.parametrize("mcus", [1, 128, 129, 128 * 4095, 128 * 4095 + 1, 2_000_000])
+def test_sides_fit_in_16_bits(mcus):
+    width, height = J.grid(mcus)
+    assert width * height >= mcus > width * (height - 1) and max(width, height) * 16 <= 65535
+
+
+def test_wide_images_round_trip(monkeypatch):
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(J, "grid", lambda n: (-(-n // 2), 2))
+    payload = rng.integers(32, 127, 384 * 301, dtype=np.uint8).tobytes()
+    (got, rgb), = media.from_jpeg(media.to_jpeg([payload]))
+    assert got == payload and rgb.shape == (32, 151 * 16, 3)
+
+
+def test_query_returns_the_tensors(spark):
+    rows = media.query(spark, SMALL).collect()
+    assert len(rows) == spark.read.parquet(f"{SMALL}/documents.parquet").count()
+    for r in rows[:50]:
+        rgb = np.frombuffer(r.tensor, np.uint8).reshape(r.height, r.width, 3)
+        assert r.feature.startswith(f"{r.width}x{r.height};") and r.feature.endswith(f"crc={zlib.crc32(rgb.tobytes())}")
