@@ -5,9 +5,9 @@ two words, so a text's ids are those of its space-delimited chunks in order.  A
 therefore gives the library each distinct chunk once and lays the ids out by array
 indexing.  A space only splits where both neighbours are plain visible characters.  The
 libraries that part words from marks and line ends anyway (byte_bpe, word_bpe) also
-split between an ASCII letter and a mark, and around a line end between visible
+split between a Latin-1 letter and a mark, and around a line end between visible
 characters, so that a word is one chunk whatever follows it; where the library lowers
-A-Z anyway, chunks are lowered first.
+letters anyway, those of Latin-1 are lowered first.
 Every other place (runs of blanks, other scripts, combining marks) stays inside one
 chunk and is left to the library whole.  Chunks are looked up by a 64-bit hash, and every
 chunk's bytes are compared with those of the entry found, so no two texts share ids by
@@ -136,7 +136,15 @@ _KIND[0x21:0x7F] = _VISIBLE
 for _c in range(26):
     _KIND[[65 + _c, 97 + _c]] |= _LETTER
 _KIND[0xC3:0xCC], _KIND[0x80:0xC0], _KIND[0x20], _KIND[0x0A] = _LEAD, _LATER, _SPACE, _LINE
-_KIND[list(b".,;:!?")] |= _MARK
+_KIND[list(b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~")] |= _MARK  # not those of contractions and special tokens
+
+
+def _lowered(buf: np.ndarray) -> np.ndarray:
+    """A-Z and the capitals of Latin-1 in lower case."""
+    out = LOWER[buf]
+    capital = (buf[:-1] == 0xC3) & (buf[1:] >= 0x80) & (buf[1:] <= 0x9E) & (buf[1:] != 0x97)
+    out[1:] += capital.view(np.uint8) << 5
+    return out
 
 
 def _starts(buf: np.ndarray, offs: np.ndarray, fine: bool) -> np.ndarray:
@@ -154,7 +162,9 @@ def _starts(buf: np.ndarray, offs: np.ndarray, fine: bool) -> np.ndarray:
     split[rows[1:] - 1] = False
     if fine:
         line = np.flatnonzero(split & (buf == 0x0A)) + 1
-        split[1:] |= ((kind[:-1] & _LETTER) != 0) & ((kind[1:] & _MARK) != 0)
+        letter = (kind & _LETTER) != 0
+        letter[1:] |= (buf[:-1] == 0xC3) & (buf[1:] != 0x97) & (buf[1:] != 0xB7)
+        split[1:] |= letter[:-1] & ((kind[1:] & _MARK) != 0)
         split[line] = True
         split[rows] = False
     return np.flatnonzero(split)
@@ -217,7 +227,7 @@ class Encoder:
         rows = offs[:-1][offs[:-1] < offs[1:]]
         begins = rows
         if self.library.lowers and b"<|" not in buf.tobytes():  # special tokens keep their case
-            buf = LOWER[buf]
+            buf = _lowered(buf)
         if self.library.splits:
             cuts = _starts(buf, offs, self.library.keeps_space)
             begins = np.sort(np.concatenate([rows, cuts]), kind="stable")

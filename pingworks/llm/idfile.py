@@ -31,17 +31,18 @@ import numpy as np
 DOCS_MAGIC, MAGIC = b"PWDOCS2\0", b"PWIDS2\0\0"
 BLOCK = 1 << 22  # most ids of a block
 LANES = 4096
-LANE_IDS = 1024  # ids a lane, where the block is too short for all lanes
+LANE_IDS = 512  # ids a lane, where the block is too short for all lanes
 _K2, _K1 = 1, 4  # ids that an order-2 and an order-1 context remembers
 _ROW = {2: np.uint64, 4: np.complex128}[_K1]  # a number as wide as an order-1 row
 _KEPT = _K2 + _K1
-_SLOTS = 1 << 17  # order-2 contexts
+_SLOTS = 1 << 16  # order-2 contexts
 _TOP = 250  # counts are halved beyond
 _MIX, _BASE = 12, 18  # bits of the mixed candidates' total and of the order-0 total
 _ALL = (1 << _MIX) - 64  # the rest of the total is always left to order 0
 _FULL, _LOW = (1 << 48) - 1, 1 << 32
 _LEVELS = np.digitize(np.arange(_K1 * (_TOP + 8)), [1, 2, 3, 5, 9, 20, 60]).astype(np.int16)  # confidence by count
 _PART = np.append(0, (1 << 12) // (4 * np.arange(1, _K1 * (_TOP + 8)) + 1)).astype(np.int32)
+_CLIP = "clip"  # all places exist; without the check, look-ups are faster
 _ID, _ONE, _SIXTEEN = np.uint32(0xFFFF), np.uint32(1 << 16), np.uint32(16)
 
 
@@ -81,17 +82,17 @@ class _Mixer:
         h = self.a * np.uint32(0x9E3779B1) + self.b * np.uint32(0x85EBCA6B)
         h ^= h >> np.uint32(15)
         h *= np.uint32(0x2C1B3C6D)
-        self.slot, check = h >> np.uint32(15), h | np.uint32(1)
-        self.check, row = check, self.two_rows.take(self.slot).view(np.uint32)
+        self.slot, check = h >> np.uint32(16), h | np.uint32(1)
+        self.check, row = check, self.two_rows.take(self.slot, mode=_CLIP).view(np.uint32)
         self.e = e = np.empty((_KEPT, self.lanes), np.uint32)
         np.multiply(row[1::2], row[::2] == check, out=e[0])
-        e[_K2:] = self.one_rows.take(self.b).view(np.uint32).reshape(-1, _K1).T
+        e[_K2:] = self.one_rows.take(self.b, mode=_CLIP).view(np.uint32).reshape(-1, _K1).T
         self.cand = cand = (e & _ID).view(np.int32)
         count = (e >> _SIXTEEN).view(np.int32)
         n2, n1 = count[0], np.add.reduce(count[_K2:], 0)
-        self.kind = (_LEVELS.take(n2) << 3) + _LEVELS.take(n1)
-        w2, w1, self.w0 = self.weight.take(self.kind, 1)
-        self.g2, self.g1 = w2 * _PART.take(n2), w1 * _PART.take(n1)
+        self.kind = (_LEVELS.take(n2, mode=_CLIP) << 3) + _LEVELS.take(n1, mode=_CLIP)
+        w2, w1, self.w0 = self.weight.take(self.kind, 1, mode=_CLIP)
+        self.g2, self.g1 = w2 * _PART.take(n2, mode=_CLIP), w1 * _PART.take(n1, mode=_CLIP)
         f = np.empty_like(count)
         np.multiply(count[:_K2], self.g2, out=f[:_K2])
         np.multiply(count[_K2:], self.g1, out=f[_K2:])
@@ -101,7 +102,7 @@ class _Mixer:
         f[0] += np.add.reduce(f[_K2:], 0)
         f[_K2:] *= other
         f[0] -= np.add.reduce(f[_K2:], 0)
-        zero = self.base.take(cand)
+        zero = self.base.take(cand, mode=_CLIP)
         zero *= self.w0
         zero >>= _BASE
         zero[_K2:] *= other
@@ -197,8 +198,8 @@ def encode_block(ids: np.ndarray) -> bytes:
         start = np.add.reduce((m.upto - m.f) * (mine > 0), 0)
         named, top = size > 0, m.upto[-1]
         rest = (1 << _MIX) - top
-        start = np.where(named, start << _BASE, (top << _BASE) + rest * m.below.take(x))
-        size = np.where(named, size << _BASE, rest * m.base.take(x))
+        start = np.where(named, start << _BASE, (top << _BASE) + rest * m.below.take(x, mode=_CLIP))
+        size = np.where(named, size << _BASE, rest * m.base.take(x, mode=_CLIP))
         step = rng >> (_MIX + _BASE)
         if t == steps - 1 and n % lanes:  # lanes that have ended stay as they are
             size = size.astype(np.int64)
@@ -208,7 +209,7 @@ def encode_block(ids: np.ndarray) -> bytes:
         while (small := rng < _LOW).any():
             lane = np.flatnonzero(small)
             sent.append(lane.astype(np.uint16))
-            out.append((low.take(lane) >> 32).astype(np.int32))
+            out.append((low.take(lane, mode=_CLIP) >> 32).astype(np.int32))
             low = np.where(small, (low & (_LOW - 1)) << 16, low)
             rng <<= small * np.int64(16)
         m.learn(x)
@@ -257,22 +258,22 @@ def decode_block(raw: bytes, at: int = 0) -> tuple[np.ndarray, int]:
         k = np.add.reduce(m.upto <= target >> _BASE, 0, dtype=np.int32)
         named = k < _KEPT
         where = np.minimum(k, _KEPT - 1) * np.int32(lanes) + row
-        f, upto = m.f.ravel().take(where), m.upto.ravel().take(where)
+        f, upto = m.f.ravel().take(where, mode=_CLIP), m.upto.ravel().take(where, mode=_CLIP)
         if m.inverse is None:
             m.inverse = np.repeat(np.arange(m.n, dtype=np.uint32), m.base)
         top = m.upto[-1]
         rest = (1 << _MIX) - top
-        other = m.inverse.take((np.maximum(target - (top << _BASE), 0) / rest).astype(np.int32))
-        x = np.where(named, m.cand.ravel().take(where).view(np.uint32), other)
-        start = np.where(named, (upto - f) << _BASE, (top << _BASE) + rest * m.below.take(x))
-        size_ = np.where(named, f << _BASE, rest * m.base.take(x))
+        other = m.inverse.take((np.maximum(target - (top << _BASE), 0) / rest).astype(np.int32), mode=_CLIP)
+        x = np.where(named, m.cand.ravel().take(where, mode=_CLIP).view(np.uint32), other)
+        start = np.where(named, (upto - f) << _BASE, (top << _BASE) + rest * m.below.take(x, mode=_CLIP))
+        size_ = np.where(named, f << _BASE, rest * m.base.take(x, mode=_CLIP))
         if t == steps - 1 and n % lanes:
             size_ = size_.astype(np.int64)
             x[n % lanes :], start[n % lanes :], size_[n % lanes :], step[n % lanes :] = 0, 0, rng[n % lanes :], 1
         code -= step * start
         rng = step * size_
         while (small := rng < _LOW).any():
-            code = np.where(small, code << 16 | flat.take(np.minimum(read, last)), code)
+            code = np.where(small, code << 16 | flat.take(np.minimum(read, last), mode=_CLIP), code)
             read += small
             rng <<= small * np.int64(16)
         grid[t] = x

@@ -19,7 +19,7 @@ from pingworks.llm.shared import new_path
 
 PIECES = P.path("piece_bpe_32k.model")
 WORDS = P.path("word_bpe_49k.json")
-ODD = ["", " ", "a  b", " a", "a ", "é è", "a　 b", "a ́b", "<|endoftext|> x <|endoftext|>", "It's  \n\n ok don't", "Σ ΑΣ Σ", "日本 語", "🙂 🙂", "<s> </s>", "a▁b ▁c", "ﬁ Å", "x\x00 \x00y", "One.\nTwo,\n\nthree!\r\nfour\n five \nsix.seven:8\n9;a's\n", "<|EndOfText|> A.\nB", "E\u0301.\nE\u0301 É.\né"]
+ODD = ["", " ", "a  b", " a", "a ", "é è", "a　 b", "a ́b", "<|endoftext|> x <|endoftext|>", "It's  \n\n ok don't", "Σ ΑΣ Σ", "日本 語", "🙂 🙂", "<s> </s>", "a▁b ▁c", "ﬁ Å", "x\x00 \x00y", "One.\nTwo,\n\nthree!\r\nfour\n five \nsix.seven:8\n9;a's\n", "<|EndOfText|> A.\nB", "E\u0301.\nE\u0301 É.\né", "Été$$$ ÀÖØÞß×÷ ×$ ÷% é-É_é=\u0338 a=\u0338 don't-it's"]
 
 
 def _library(name):
