@@ -6,9 +6,10 @@ the smallest page_id is a response and the others are revisits of it.
 Reading: files are read in splits, cut at the magic line.  Every magic is only a
 candidate: a payload may hold the same bytes.  Tasks emit, for each candidate, its
 offset and the offset that its declared length leads to; pointer jumping from the start
-of each file keeps the candidates on that chain and drops all others.  A record whose
-payload holds the magic is put together from the pieces between its ends; where those
-lie in several splits, the pieces are gathered by record.
+of each file keeps the candidates on that chain and drops all others.  Only then are
+records on the chain that consist of several pieces (a payload that holds the magic, or
+a record over a split's end) put together, so that a candidate costs no more than its
+header however much it claims to hold.
 
 Defined cases: null html is the empty payload; control characters and blanks in a url
 are left out of its header, a null url has no header; a null page_id is written and read
@@ -31,6 +32,8 @@ from pingworks.llm.shared import cut, new_path
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
 LEAST_BYTES = 100
+#: Pieces and the records that they belong to meet by stretches of so many bytes.
+STRETCH = 1 << 20
 
 FIELDS = "page_id long, record_type string, refers_to long, url string, payload_bytes long, payload_digest string"
 
@@ -103,51 +106,32 @@ _CANDIDATE = "file string, split long, at long, length long, piece long, whole b
 
 def candidates(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
     """A row a piece: its place in its split (of the magic before it), the length that
-    its header declares (null: none) and, where the split holds all of it, its content."""
+    its header declares (null: none) and, where the piece holds all of it, its content."""
     schema = _CANDIDATE + (", payload binary" if payloads else "")
     kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()]
     kinds += [pa.binary()] * payloads
     names = [x.split()[0] for x in schema.split(", ")]
-    magic = MAGIC.encode()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, at, waiting, out = None, 0, [], []
-
-        def settle(w: dict) -> None:
-            block = w["raw"][w["start"] : w["start"] + w["need"]]
-            values = _content(w["fields"], bytes(block) if len(block) == w["need"] else None)
-            full = len(block) == w["need"]
-            out.append((*w["head"], full, *(values if payloads else values[:-1])))
-
+        place, at, out = None, 0, []
         for b in batches:
             for file, split, value in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 raw = value.as_py()
                 if (file, split) != place:
-                    for w in waiting:
-                        settle(w)
-                    place, at, waiting = (file, split), 0, []
-                still = []
-                for w in waiting:  # records with magic in their payload go on
-                    w["raw"] += magic + raw
-                    settle(w) if len(w["raw"]) >= w["start"] + w["need"] else still.append(w)
-                waiting = still
+                    place, at = (file, split), 0
                 fields = _header(raw)
+                head = (file, split, at - len(MAGIC))
                 if fields is None:
-                    out.append((file, split, at - len(magic), None, len(raw), False, *[None] * (len(kinds) - 6)))
+                    out.append((*head, None, len(raw), False, *[None] * (len(kinds) - 6)))
                 else:
                     start, need = int(fields[""]), int(fields["Content-Length"])
-                    w = {"raw": raw, "start": start, "need": need, "fields": fields, "head": (file, split, at - len(magic), len(magic) + start + need + len(END), len(raw))}
-                    if len(raw) >= start + need:
-                        settle(w)
-                    else:
-                        w["raw"] = bytearray(raw)
-                        waiting.append(w)
-                at += len(raw) + len(magic)
+                    whole = len(raw) >= start + need
+                    values = _content(fields, raw[start : start + need] if whole else None)
+                    out.append((*head, len(MAGIC) + start + need + len(END), len(raw), whole, *(values if payloads else values[:-1])))
+                at += len(raw) + len(MAGIC)
                 if len(out) >= 512:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
                     out = []
-        for w in waiting:
-            settle(w)
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
@@ -190,8 +174,12 @@ def read(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
     broken = placed.join(chain, ["file", "offset"]).filter("not whole and length is not null").select("file", "offset", "length", *[c for c in names if c != "payload"])
     if broken.isEmpty():
         return out
-    # records whose pieces lie in several splits: gather just those pieces
-    want = placed.join(broken.select("file", F.col("offset").alias("record"), F.col("length").alias("size")), "file")
+    # records of several pieces: gather just those, found by stretches of their file
+    stretch = lambda c: F.floor(c / STRETCH)
+    ends = placed.groupBy("file").agg(F.max(F.col("offset") + F.col("piece")).alias("end"))  # a length may claim more than there is
+    spans = broken.select("file", F.col("offset").alias("record"), F.col("length").alias("size")).join(ends, "file")
+    spans = spans.withColumn("stretch", F.explode(F.sequence(stretch(F.col("record")), stretch(F.least(F.col("record") + F.col("size"), F.col("end"))))))
+    want = placed.withColumn("stretch", stretch(F.col("offset"))).join(spans, ["file", "stretch"])
     want = want.filter((F.col("offset") >= F.col("record")) & (F.col("offset") < F.col("record") + F.col("size"))).select("file", "split", "at", "record", "offset")
     parts = _numbered(spark, path).join(want, ["file", "split", "at"])
     whole = parts.groupBy("file", F.col("record").alias("offset")).agg(F.sort_array(F.collect_list(F.struct(F.col("offset").alias("o"), "value"))).alias("parts")).join(broken, ["file", "offset"])

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 
 import pytest
 from conftest import SMALL, same_rows
@@ -42,6 +43,26 @@ def test_planted_magic_and_splits(spark, split):
         assert r.payload is None if again else bytes(r.payload) == body
 
 
+def test_quoted_archives_cost_their_bytes_only(spark):
+    """Hundreds of headers in a payload, each claiming the rest of the archive and more."""
+    nested = "".join(f"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: {900_000_000 + i}\r\n\r\n" + chr(97 + i % 26) * 20_000 for i in range(500))
+    rows = [(1, "u", "before"), (2, "u", nested), (3, "u", "after"), (4, "u", nested)]
+    path = new_path(spark, "warc")
+    warc.write(spark.createDataFrame(rows, SCHEMA).coalesce(1), path)
+    began = time.time()
+    got = {r.page_id: (r.record_type, r.refers_to, r.payload_bytes, r.payload_digest) for r in warc.read(spark, path).collect()}
+    assert time.time() - began < 60
+    digest = hashlib.sha256(nested.encode()).hexdigest()
+    assert set(got) == {1, 2, 3, 4} and got[2] == ("response", None, len(nested), digest) and got[4] == ("revisit", 2, len(nested), digest)
+
+
+def test_a_length_beyond_the_file_is_read_to_its_end(spark):
+    path = new_path(spark, "warc")
+    text = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:5>\r\nContent-Length: 99999999999999999\r\n\r\nHTTP/1.1 200 OK\r\n\r\nshort"
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.option("lineSep", warc.END).text(path)
+    assert [(r.page_id, r.record_type) for r in warc.read(spark, path).collect()] == [(5, "response")]
+
+
 def test_repeated_rows_and_empty_table(spark):
     df = spark.createDataFrame([(1, "u", "same" * 50), (1, "u", "same" * 50), (2, "u", "same" * 50)], SCHEMA)
     path = new_path(spark, "warc")
