@@ -1,5 +1,5 @@
-"""Raw pings derived from the ``events`` table by integer arithmetic, so that any
-engine computes the same rows."""
+"""Test input, not part of the library: pings, feed texts and a schedule derived from the
+``events`` table by integer arithmetic, so that any engine computes the same rows."""
 
 from __future__ import annotations
 
@@ -28,15 +28,41 @@ def raw_pings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def messages(spark: SparkSession, sf_dir: str, per_message: int = 50) -> DataFrame:
-    """The same pings as feed texts: (message_no, received_at, value)."""
+def messages(spark: SparkSession, sf_dir: str, per_message: int = 50, damaged: bool = False) -> DataFrame:
+    """The same pings as feed texts: (message_no, received_at, value).  ``damaged``: every
+    40th text breaks off and some latitudes cannot be read."""
     r = raw_pings(spark, sf_dir)
     text = lambda c: F.col(c).cast("string")
     coord = lambda c: F.when(F.col(c) == 0.0, "0").otherwise(text(c))
+    lat = F.when(F.col("event_id") % 89 == 1, "n/a").otherwise(coord("lat")) if damaged else coord("lat")
     v = F.struct(
-        "arrival_seq", F.col("vid"), text("timestamp").alias("tmstmp"), coord("lat").alias("lat"), coord("lon").alias("lon"), text("heading").alias("hdg"),
+        "arrival_seq", F.col("vid"), text("timestamp").alias("tmstmp"), lat.alias("lat"), coord("lon").alias("lon"), text("heading").alias("hdg"),
         F.col("route").alias("rt"), F.col("trip_id").alias("tatripid"), F.col("destination").alias("des"), text("speed").alias("spd"),
         F.col("is_delayed").alias("dly"), F.col("is_off_route").alias("or"), text("pdist").alias("pdist"), text("pid").alias("pid"), "rid", "tablockid", "srvtmstmp",
     )
     no = F.floor(F.col("arrival_seq") / per_message).cast("long")
-    return r.groupBy(no.alias("message_no")).agg(F.max("timestamp").alias("received_at"), F.to_json(F.sort_array(F.collect_list(v))).alias("value"))
+    value = F.to_json(F.sort_array(F.collect_list(v)))
+    out = r.groupBy(no.alias("message_no")).agg(F.max("timestamp").alias("received_at"), value.alias("value"))
+    return out.withColumn("value", F.when(F.col("message_no") % 40 == 7, F.substring("value", 1, 100)).otherwise(F.col("value"))) if damaged else out
+
+
+def stale_pings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw pings with a server time behind the vehicle's."""
+    r = raw_pings(spark, sf_dir)
+    later = F.col("timestamp") + F.make_dt_interval(secs=(F.col("event_id") % 400).cast("decimal(18,6)"))
+    return r.withColumn("srvtmstmp", F.when(F.col("event_id") % 23 == 0, F.lit(None)).otherwise(later.cast("string")))
+
+
+def write_schedule(spark: SparkSession, sf_dir: str, folder: str, stops: int = 11) -> None:
+    """GTFS files: a trip a vehicle, a stop every 500 feet of its pattern, some of them
+    after midnight of the service day."""
+    users = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct()
+    u, k = F.col("user_id"), F.col("k")
+    at = (u * 600) % 86400 + k * (120 + u % 7)
+    two = lambda c: F.lpad(F.floor(c).cast("string"), 2, "0")
+    clock = F.concat(two(F.col("at") / 3600), F.lit(":"), two(F.col("at") % 3600 / 60), F.lit(":"), two(F.col("at") % 60))
+    rows = users.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(stops - 1)))).withColumn("at", at)
+    times = rows.select(F.concat(F.lit("T"), u.cast("string")).alias("trip_id"), clock.alias("arrival_time"), clock.alias("departure_time"), F.concat(F.lit("S"), k.cast("string")).alias("stop_id"), k.alias("stop_sequence"), (k * 500).alias("shape_dist_traveled"))
+    times.write.option("header", True).csv(f"{folder}/stop_times.txt")
+    trips = users.select((u % 12).cast("string").alias("route_id"), F.lit("daily").alias("service_id"), F.concat(F.lit("T"), u.cast("string")).alias("trip_id"), (u % 12).cast("string").alias("shape_id"))
+    trips.write.option("header", True).csv(f"{folder}/trips.txt")

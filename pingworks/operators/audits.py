@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pingworks.functions import metrics as M
 from pingworks.functions.parsing import round_to
 from pingworks.operators.reports import MAIN_ROUTE
 
@@ -33,45 +34,70 @@ def duplicate_rate(raw: DataFrame, as_of: Column | None = None) -> DataFrame:
     return c.select("total", "distinct_pings", dup.alias("duplicates"), _pct(dup, F.col("total")).alias("duplicate_pct"))
 
 
-def _recent_main(t: DataFrame) -> DataFrame:
-    return trailing_days(t).filter(F.col("route") == MAIN_ROUTE)
+def _recent_main(t: DataFrame, as_of: Column | None = None) -> DataFrame:
+    return trailing_days(t, as_of=as_of).filter(F.col("route") == MAIN_ROUTE)
 
 
-def pings_per_segment(t: DataFrame) -> DataFrame:
-    return _recent_main(t).groupBy("segment_id", "segment_name").agg(F.count(F.lit(1)).alias("pings")).orderBy(F.asc_nulls_last("segment_id"))
+def pings_per_segment(t: DataFrame, as_of: Column | None = None) -> DataFrame:
+    return _recent_main(t, as_of).groupBy("segment_id", "segment_name").agg(F.count(F.lit(1)).alias("pings")).orderBy(F.asc_nulls_last("segment_id"))
 
 
-def pings_per_segment_type(t: DataFrame) -> DataFrame:
-    return _recent_main(t).groupBy("segment_type").agg(F.count(F.lit(1)).alias("pings")).orderBy(F.desc("pings"), F.asc_nulls_last("segment_type"))
+def pings_per_segment_type(t: DataFrame, as_of: Column | None = None) -> DataFrame:
+    return _recent_main(t, as_of).groupBy("segment_type").agg(F.count(F.lit(1)).alias("pings")).orderBy(F.desc("pings"), F.asc_nulls_last("segment_type"))
 
 
-def in_service(t: DataFrame) -> DataFrame:
-    return _recent_main(t).filter((F.col("route") != "U") & F.col("trip_id").isNotNull() & (F.col("trip_id") != "N/A"))
+def in_service(t: DataFrame, as_of: Column | None = None) -> DataFrame:
+    return _recent_main(t, as_of).filter((F.col("route") != "U") & F.col("trip_id").isNotNull() & (F.col("trip_id") != "N/A"))
 
 
-def null_segment_coverage(t: DataFrame) -> DataFrame:
-    c = in_service(t).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("segment_id").isNull()).alias("null_segments"))
+def null_segment_coverage(t: DataFrame, as_of: Column | None = None) -> DataFrame:
+    c = in_service(t, as_of).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("segment_id").isNull()).alias("null_segments"))
     return c.withColumn("null_pct", _pct(F.col("null_segments"), F.col("total")))
 
 
-def null_segment_clusters(t: DataFrame, top: int = 25) -> DataFrame:
-    g = in_service(t).filter(F.col("segment_id").isNull()).groupBy(round_to(F.col("lat"), 3).alias("lat"), round_to(F.col("lon"), 3).alias("lon"))
+def null_segment_clusters(t: DataFrame, top: int = 25, as_of: Column | None = None) -> DataFrame:
+    g = in_service(t, as_of).filter(F.col("segment_id").isNull()).groupBy(round_to(F.col("lat"), 3).alias("lat"), round_to(F.col("lon"), 3).alias("lon"))
     return g.agg(F.count(F.lit(1)).alias("pings")).orderBy(F.desc("pings"), "lat", "lon").limit(top)
 
 
 def feed_gaps(feed: DataFrame, at: str = "ts", least_s: int = 300) -> DataFrame:
-    """Silences of ``least_s`` seconds or more.  Each day is a window of its own; what
-    came last before a day is found over one row a day."""
-    day = F.to_date(at)
-    days = feed.groupBy(day.alias("day")).agg(F.max(at).alias("last"))
-    days = days.select("day", F.lag("last").over(Window.orderBy("day")).alias("before_day"))
-    rows = feed.select(day.alias("day"), F.col(at).alias("gap_end"))
-    rows = rows.withColumn("previous", F.lag("gap_end").over(Window.partitionBy("day").orderBy("gap_end"))).join(days, "day")
-    rows = rows.withColumn("gap_start", F.coalesce("previous", "before_day"))
+    """Silences of ``least_s`` seconds or more.  Each hour is a window of its own; what
+    came last before an hour is found over one row an hour that has messages."""
+    hour = F.date_trunc("hour", F.col(at))
+    hours = feed.groupBy(hour.alias("hour")).agg(F.max(at).alias("last"))
+    hours = hours.select("hour", F.lag("last").over(Window.orderBy("hour")).alias("before_hour"))
+    rows = feed.select(hour.alias("hour"), F.col(at).alias("gap_end"))
+    rows = rows.withColumn("previous", F.lag("gap_end").over(Window.partitionBy("hour").orderBy("gap_end"))).join(hours, "hour")
+    rows = rows.withColumn("gap_start", F.coalesce("previous", "before_hour"))
     rows = rows.withColumn("gap_seconds", F.timestamp_diff("SECOND", F.col("gap_start"), F.col("gap_end")))
     return rows.filter(F.col("gap_seconds") >= least_s).select("gap_start", "gap_end", "gap_seconds")
 
 
+def unassigned(t: DataFrame) -> DataFrame:
+    """By hour of day: pings of vehicles without a route ("U") or without a trip."""
+    none = F.col("route") == "U"
+    no_trip = F.col("trip_id").isNull() | (F.col("trip_id") == "N/A")
+    c = t.groupBy(M.hour().alias("hour")).agg(F.count(F.lit(1)).alias("pings"), F.count_if(none).alias("unassigned"), F.count_if(no_trip).alias("without_trip"))
+    return c.withColumn("unassigned_pct", _pct(F.col("unassigned"), F.col("pings"))).orderBy("hour")
+
+
+def staleness(t: DataFrame, least_s: int = 300) -> DataFrame:
+    """By route: how far the server's time is behind the vehicle's, in seconds, over the
+    pings that have both."""
+    rows = t.withColumn("s", F.timestamp_diff("SECOND", F.col("timestamp"), F.col("srvtmstmp").try_cast("timestamp_ntz"))).filter("s is not null")
+    pick = lambda p: round_to(F.percentile("s", F.lit(p)), 2)
+    c = rows.groupBy("route").agg(F.count(F.lit(1)).alias("pings"), F.count_if(F.col("s") >= least_s).alias("stale"), round_to(F.avg("s"), 2).alias("avg_s"), pick(0.5).alias("median_s"), pick(0.9).alias("p90_s"))
+    return c.orderBy("route")
+
+
 def ingest_stats(flagged: DataFrame) -> DataFrame:
     of = lambda x: F.count_if(F.col("outcome") == x).alias(x)
     return flagged.agg(F.count(F.lit(1)).alias("received"), of("kept"), of("deduped"), of("invalid"))
+
+
+def ingest_counters(parsed: DataFrame, pings: DataFrame, flagged: DataFrame) -> DataFrame:
+    """One row: messages and malformed ones, pings and those that cannot be read (bad) of
+    the cleaned rows, and what became of the readable ones."""
+    m = parsed.agg(F.count(F.lit(1)).alias("messages"), F.count_if("malformed").alias("malformed"))
+    p = pings.agg(F.count(F.lit(1)).alias("pings"), F.count_if(F.col("status") == "bad").alias("bad"))
+    return m.join(p).join(ingest_stats(flagged).drop("received"))  # one row each

@@ -39,3 +39,16 @@ def clean(vehicles: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
         P.empty_to_null(c("rid")).alias("rid"), P.empty_to_null(c("tablockid")).alias("tablockid"),
         P.empty_to_null(c("srvtmstmp")).alias("srvtmstmp"), c("tmstmp").alias("order_key"), status.alias("status"),
     )
+
+
+def rejected(messages: DataFrame) -> DataFrame:
+    """(message_no, received_at, pos, reason, payload) of what ingest sets aside: texts
+    that are no JSON array (malformed, pos null) and pings whose coordinates or time cannot
+    be read (bad), whole, so that they can be mended and sent again."""
+    parsed = parse_messages(messages)
+    texts = parsed.filter("malformed").select("message_no", "received_at", F.lit(None).cast("int").alias("pos"), F.lit("malformed").alias("reason"), F.col("value").alias("payload"))
+    rows = explode_vehicles(parsed)
+    fields = [c for c in rows.columns if c not in ("message_no", "received_at", "pos")]
+    rows = rows.withColumn("payload", F.to_json(F.struct(*[F.col(f"`{c}`") for c in fields])))
+    bad = clean(rows, ("message_no", "received_at", "pos", "payload")).filter("status = 'bad'")
+    return texts.unionByName(bad.select("message_no", "received_at", "pos", F.lit("bad").alias("reason"), "payload"))

@@ -7,18 +7,23 @@ from pyspark.sql import functions as F
 
 from pingworks.schemas import SEGMENT_ROWS, SEGMENTS
 
+#: At most so many boxes (some 100 bytes each) are broadcast.
+BROADCAST_BOXES = 20_000
+
 
 def segments(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(SEGMENT_ROWS, SEGMENTS)
 
 
 def tag(pings: DataFrame, segs: DataFrame) -> DataFrame:
-    """Adds segment_id, segment_name, segment_type.  One broadcast row a route holds its
-    boxes in order (a dimension of a few boxes a route), so the join neither multiplies
-    rows nor shuffles them, and it works on streams."""
+    """Adds segment_id, segment_name, segment_type.  One row a route holds its boxes in
+    order, so the join does not multiply rows.  Up to BROADCAST_BOXES boxes it is broadcast
+    and shuffles nothing; beyond, Spark chooses the join.  Works on streams."""
     box = F.struct("order", "id", "name", "type", "min_lat", "max_lat", "min_lon", "max_lon")
     per_route = segs.groupBy("route").agg(F.sort_array(F.collect_list(box)).alias("boxes"))
-    rows = pings.join(F.broadcast(per_route), "route", "left")
+    if segs.limit(BROADCAST_BOXES + 1).count() <= BROADCAST_BOXES:
+        per_route = F.broadcast(per_route)
+    rows = pings.join(per_route, "route", "left")
     inside = lambda b: F.col("lat").between(b["min_lat"], b["max_lat"]) & F.col("lon").between(b["min_lon"], b["max_lon"])
     rows = rows.withColumn("hit", F.get(F.filter("boxes", inside), F.lit(0)))
     named = [F.col(f"hit.{c}").alias(f"segment_{c}") for c in ("id", "name", "type")]

@@ -66,6 +66,23 @@ def _filled(where: str, late: str) -> str:
     return f"{_T} SELECT route, count(*) AS pings, {counts}, CAST(0 AS BIGINT) AS with_srvtmstmp FROM t WHERE {where} GROUP BY route"
 
 
+_STOPS = """stops AS (
+  SELECT 'T' || user_id AS trip_id, CAST(user_id % 12 AS VARCHAR) AS route_id, 'S' || k AS stop_id, k AS stop_sequence, 500 * k AS dist,
+    (user_id * 600) % 86400 + k * (120 + user_id % 7) AS arrival_s
+  FROM (SELECT DISTINCT user_id FROM events) CROSS JOIN range(0, 11) AS r(k)
+)"""
+_PLACED = f"""{_STOPS}, placed AS (
+  SELECT t.*, a.stop_id AS from_stop, b.stop_id AS to_stop, a.arrival_s + CAST(t.pdist - a.dist AS DOUBLE) / 500 * (b.arrival_s - a.arrival_s) AS scheduled_s
+  FROM t JOIN stops a ON t.trip_id = a.trip_id AND t.pdist >= a.dist AND t.pdist < a.dist + 500 JOIN stops b ON b.trip_id = a.trip_id AND b.stop_sequence = a.stop_sequence + 1
+), late AS (
+  SELECT *, extract(hour FROM timestamp) * 3600 + extract(minute FROM timestamp) * 60 + floor(extract(second FROM timestamp)) - scheduled_s AS d FROM placed
+), dev AS (
+  SELECT *, d - 86400 * floor((d + 43200) / 86400) AS deviation_s FROM late
+)"""
+_DAMAGED = f"""WITH {_RAW}, placed AS (SELECT *, {_PLACE} FROM raw), whole AS (SELECT * FROM placed WHERE message_no % 40 <> 7),
+  fine AS (SELECT *, NOT (lat = 0 AND lon = 0) AS valid FROM whole WHERE event_id % 89 <> 1),
+  marked AS (SELECT *, max(CASE WHEN valid THEN timestamp END) OVER (PARTITION BY vid ORDER BY arrival_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mark FROM fine)"""
+
 ORACLES = {
     "parse_payload": f"WITH {_RAW} SELECT {_PLACE}, vid, timestamp AS tmstmp, route AS rt, is_delayed AS dly, CAST(speed AS VARCHAR) AS spd FROM raw",
     "clean_pings": f"""WITH {_RAW}, placed AS (SELECT *, {_PLACE} FROM raw)
@@ -107,7 +124,36 @@ ORACLES = {
       SELECT gap_start, gap_end, CAST(date_diff('microsecond', gap_start, gap_end) // 1000000 AS BIGINT) AS gap_seconds FROM g WHERE date_diff('microsecond', gap_start, gap_end) // 1000000 >= 300""",
     "ingest_stats": f"""WITH {_RAW}, {_KEPT} SELECT count(*) AS received, count(*) FILTER (WHERE valid AND (mark IS NULL OR timestamp > mark)) AS kept,
       count(*) FILTER (WHERE timestamp <= mark) AS deduped, count(*) FILTER (WHERE NOT valid AND (mark IS NULL OR timestamp > mark)) AS invalid FROM marked""",
-    "backfill": _filled("true", "event_id % 2 = 1"),
-    "schema_evolution": _filled("event_id % 2 = 0", "false"),
+    "backfill": _filled("true", "timestamp >= TIMESTAMP '2024-01-16'"),
+    "schema_evolution": _filled("true", "false"),
     "adhoc_sql": f"{_T} SELECT route, is_off_route, count(*) AS pings, max(speed) AS top_speed FROM t WHERE heading >= 180 GROUP BY route, is_off_route",
+    "ingest_table": f"{_T} SELECT CAST(timestamp AS DATE) AS event_date, count(*) AS pings, count(DISTINCT vid) AS vehicles FROM t GROUP BY 1",
+    "quarantine": f"""{_DAMAGED} SELECT DISTINCT message_no, CAST(NULL AS BIGINT) AS pos, 'malformed' AS reason FROM placed WHERE message_no % 40 = 7
+      UNION ALL SELECT message_no, pos, 'bad' FROM whole WHERE event_id % 89 = 1""",
+    "ingest_counters": f"""{_DAMAGED} SELECT (SELECT count(DISTINCT message_no) FROM placed) AS messages, (SELECT count(DISTINCT message_no) FROM placed WHERE message_no % 40 = 7) AS malformed,
+      (SELECT count(*) FROM whole) AS pings, (SELECT count(*) FROM whole WHERE event_id % 89 = 1) AS bad,
+      count(*) FILTER (WHERE valid AND (mark IS NULL OR timestamp > mark)) AS kept, count(*) FILTER (WHERE timestamp <= mark) AS deduped,
+      count(*) FILTER (WHERE NOT valid AND (mark IS NULL OR timestamp > mark)) AS invalid FROM marked""",
+    "unassigned": f"""{_T}, c AS (SELECT CAST(extract(hour FROM timestamp) AS BIGINT) AS hour, count(*) AS pings, count(*) FILTER (WHERE route = 'U') AS unassigned,
+      count(*) FILTER (WHERE trip_id IS NULL OR trip_id = 'N/A') AS without_trip FROM t GROUP BY 1)
+      SELECT *, round(CAST(100 AS DOUBLE) * unassigned / pings, 2) AS unassigned_pct FROM c""",
+    "staleness": f"""WITH {_RAW}, s AS (SELECT route, event_id % 400 AS s FROM raw WHERE event_id % 23 <> 0)
+      SELECT route, count(*) AS pings, count(*) FILTER (WHERE s >= 300) AS stale, round(avg(s), 2) AS avg_s, round(quantile_cont(s, 0.5), 2) AS median_s, round(quantile_cont(s, 0.9), 2) AS p90_s
+      FROM s GROUP BY route""",
+    "gtfs_stop_times": f"WITH {_STOPS} SELECT trip_id, route_id, stop_id, stop_sequence, arrival_s FROM stops",
+    "trip_positions": f"{_T}, {_PLACED} SELECT vid, timestamp, trip_id, pdist, from_stop, to_stop FROM placed",
+    "schedule_deviation": f"{_T}, {_PLACED} SELECT vid, timestamp, trip_id, round(scheduled_s, 3) AS scheduled_s, round(deviation_s, 3) AS deviation_s FROM dev",
+    "deviation_report": f"""{_T}, {_PLACED} SELECT route, segment_type, CAST(extract(hour FROM timestamp) AS BIGINT) AS hour, count(*) AS pings, round(avg(ms) / 1000, 1) AS avg_deviation_s,
+      round(quantile_cont(ms, 0.5) / 1000, 1) AS median_deviation_s FROM (SELECT *, CAST(round(deviation_s * 1000) AS BIGINT) AS ms FROM dev) GROUP BY ALL""",
+    "run_times": f"""{_T}, h AS (SELECT *, lag(pdist) OVER w AS from_pdist, lag(timestamp) OVER w AS from_time FROM t WHERE trip_id IS NOT NULL AND trip_id <> 'N/A' AND pdist IS NOT NULL
+      WINDOW w AS (PARTITION BY vid, trip_id ORDER BY timestamp))
+      SELECT vid, trip_id, route, from_pdist, pdist AS to_pdist, CAST(date_diff('microsecond', from_time, timestamp) // 1000000 AS BIGINT) AS seconds FROM h WHERE pdist > from_pdist""",
 }
+
+
+def _as_json(name: str) -> str:
+    clock = ", ".join(f"strftime({c}, '%Y-%m-%dT%H:%M:%S.%f') AS {c}" for c in {"summary": ("first_record", "last_record"), "daily": ("date",), "daily_routes": ("date",), "daily_segments": ("date",)}.get(name, ()))
+    return f"""SELECT '{name}' AS report, CAST(to_json(x) AS VARCHAR) AS "row" FROM (SELECT *{f" REPLACE ({clock})" if clock else ""} FROM ({ORACLES[name]})) AS x"""
+
+
+ORACLES["reports_json"] = " UNION ALL ".join(_as_json(n) for n in ("summary", "segment_types", "segments", "routes", "hourly", "daily", "daily_routes", "daily_segments"))

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pingworks.operators import audits, clean, dedup, reports, segments
+from pingworks import fixtures as events
+from pingworks.operators import audits, clean, dedup, reports, schedule, segments
 from pingworks.schemas import LATE_COLUMNS, PINGS
-from pingworks.sources import events, tables
+from pingworks.sources import gtfs, tables
 
 
 def valid() -> Column:
@@ -53,37 +54,65 @@ def tag_segments_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.tag_by_join(kept(spark, sf_dir).select(*PING_COLUMNS), segments.segments(spark))
 
 
+_stored: dict[tuple[str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ping table of ``sf_dir`` as ingest leaves it, in day folders.  The first report
+    of a session that asks for it runs the ingest; all read the stored table."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stored:
+        path = tables.scratch(spark, "transit")
+        tables.append_path(transit(spark, sf_dir), path)
+        _stored[key] = path
+    return tables.read_path(spark, _stored[key])
+
+
 def on_table(report: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: report(transit(spark, sf_dir))
+    return lambda spark, sf_dir: report(stored(spark, sf_dir))
 
 
-def mixed_vs_dedicated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over raw files: the table as day folders, scanned recursively."""
-    root = tables.scratch(spark, "pings")
-    tables.with_date(transit(spark, sf_dir)).write.partitionBy(tables.PARTITION).parquet(root)
-    return reports.mixed_vs_dedicated(tables.read_recursive(spark, root))
+def ingest_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole ingest into a new table, read back: rows and vehicles a day folder."""
+    path = tables.scratch(spark, "ingest")
+    tables.append_path(transit(spark, sf_dir), path)
+    return tables.read_path(spark, path).groupBy(tables.PARTITION).agg(F.count(F.lit(1)).alias("pings"), F.count_distinct("vid").alias("vehicles"))
 
 
-def _old_and_new(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    t = tagged(spark, sf_dir)
-    old = t.filter(F.col("event_id") % 2 == 0).select(*[c for c in PINGS.names if c not in LATE_COLUMNS])
-    return old, t.filter(F.col("event_id") % 2 == 1).select(*PINGS.names)
+def mixed_vs_dedicated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over raw files: every file below the table's folder, scanned recursively."""
+    stored(spark, sf_dir)
+    return reports.mixed_vs_dedicated(tables.read_recursive(spark, _stored[(spark.sparkContext.applicationId, sf_dir)]))
 
 
 def _filled(t: DataFrame) -> DataFrame:
     return t.groupBy("route").agg(F.count(F.lit(1)).alias("pings"), *[F.count(c).alias(f"with_{c}") for c in LATE_COLUMNS])
 
 
+OLD_COLUMNS = [c for c in PINGS.names if c not in LATE_COLUMNS]
+#: Pings before this day are history, in files without the late columns.
+LIVE_SINCE = "2024-01-16"
+
+
 def backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _filled(tables.backfill(*_old_and_new(spark, sf_dir)))
+    """History files, one folder a day, appended to the live table through a glob."""
+    t, files, live = stored(spark, sf_dir), tables.scratch(spark, "daily"), tables.scratch(spark, "live")
+    old = F.col(tables.PARTITION) < F.lit(LIVE_SINCE).cast("date")
+    t.filter(old).select(*OLD_COLUMNS, F.col(tables.PARTITION).alias("day")).write.partitionBy("day").parquet(files)
+    tables.append_path(t.filter(~old).select(*PINGS.names), live)
+    tables.backfill_files(spark, f"{files}/day=*/*.parquet", live)
+    return _filled(tables.read_path(spark, live))
 
 
 def schema_evolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _filled(tables.widen(_old_and_new(spark, sf_dir)[0]))
+    """All pings in files of the older form, read under the full schema."""
+    path = tables.scratch(spark, "old-form")
+    stored(spark, sf_dir).select(*OLD_COLUMNS, tables.PARTITION).write.partitionBy(tables.PARTITION).parquet(path)
+    return _filled(tables.read_path(spark, path))
 
 
 def adhoc_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
-    transit(spark, sf_dir).createOrReplaceTempView("transit_data")
+    stored(spark, sf_dir).createOrReplaceTempView("transit_data")
     return spark.sql(ADHOC)
 
 
@@ -103,8 +132,57 @@ def duplicate_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reports_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t, out = transit(spark, sf_dir), None
+    t, out = stored(spark, sf_dir), None
     for name, report in reports.ALL.items():
         rows = tables.json_rows(report(t)).select(F.lit(name).alias("report"), "row")
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean.rejected(events.messages(spark, sf_dir, damaged=True)).select("message_no", F.col("pos").cast("long").alias("pos"), "reason")
+
+
+def ingest_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = clean.parse_messages(events.messages(spark, sf_dir, damaged=True))
+    rows = clean.clean(clean.explode_vehicles(parsed), ("message_no", "pos"))
+    read = rows.filter("status <> 'bad'").withColumn("arrival", F.struct("message_no", "pos"))
+    return audits.ingest_counters(parsed, rows, dedup.flagged(read, F.col("status") == "ok", arrival="arrival"))
+
+
+def staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audits.staleness(events.stale_pings(spark, sf_dir))
+
+
+def _stop_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The schedule of ``sf_dir``: GTFS files, loaded as a version and read back."""
+    feed, root = tables.scratch(spark, "gtfs"), tables.scratch(spark, "schedule")
+    events.write_schedule(spark, sf_dir, feed)
+    gtfs.load(spark, feed, root, "v1", ("trips", "stop_times"))
+    return gtfs.table(spark, root, "stop_times", "v1").join(gtfs.table(spark, root, "trips", "v1").select("trip_id", "route_id"), "trip_id")
+
+
+def gtfs_stop_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cols = ["trip_id", "route_id", "stop_id", F.col("stop_sequence").cast("long").alias("stop_sequence"), F.col("arrival_s").cast("long").alias("arrival_s")]
+    return _stop_times(spark, sf_dir).select(*cols)
+
+
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schedule.place(stored(spark, sf_dir), _stop_times(spark, sf_dir))
+
+
+def trip_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _placed(spark, sf_dir).select("vid", "timestamp", "trip_id", "pdist", "from_stop", "to_stop")
+
+
+def schedule_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = schedule.deviation(_placed(spark, sf_dir))
+    return rows.select("vid", "timestamp", "trip_id", F.round("scheduled_s", 3).alias("scheduled_s"), F.round("deviation_s", 3).alias("deviation_s"))
+
+
+def deviation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schedule.deviation_report(schedule.deviation(_placed(spark, sf_dir)))
+
+
+def run_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schedule.run_times(stored(spark, sf_dir))

@@ -31,4 +31,14 @@ QUERIES = {
     "schema_evolution": Q.schema_evolution,
     "adhoc_sql": Q.adhoc_sql,
     "reports_json": Q.reports_json,
+    "ingest_table": Q.ingest_table,
+    "quarantine": Q.quarantine,
+    "ingest_counters": Q.ingest_counters,
+    "unassigned": Q.on_table(audits.unassigned),
+    "staleness": Q.staleness,
+    "gtfs_stop_times": Q.gtfs_stop_times,
+    "trip_positions": Q.trip_positions,
+    "schedule_deviation": Q.schedule_deviation,
+    "deviation_report": Q.deviation_report,
+    "run_times": Q.run_times,
 }

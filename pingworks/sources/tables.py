@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pingworks.schemas import LATE_COLUMNS, PINGS
 
@@ -14,9 +16,12 @@ PARTITION = "event_date"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share."""
+    """A new path in the folder that driver and executors share; without a setting, one
+    machine may use a folder of its own, a cluster may not."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="pingworks-")
         spark.conf.set("spark.checkpoint.dir", found)
     return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -40,12 +45,32 @@ def migrate(spark: SparkSession, table: str) -> list[str]:
     return [f.name for f in missing]
 
 
+def _laid_out(pings: DataFrame) -> DataFrame:
+    """Rows dealt by day, but in pieces of one size: Spark splits a large day and joins
+    small ones.  Sorted, so that row groups can be skipped by route."""
+    return pings.hint("rebalance", PARTITION).sortWithinPartitions(PARTITION, "route", "vid")
+
+
 def append(pings: DataFrame, table: str) -> None:
-    """Adds rows by column name; each day's rows are written by few tasks, sorted so
-    that row groups can be skipped by route."""
-    spark = pings.sparkSession
-    rows = with_date(pings).select(*spark.table(table).columns)
-    rows.repartition(PARTITION).sortWithinPartitions(PARTITION, "route", "vid").write.insertInto(table)
+    """Adds rows to a catalog table, by column name."""
+    rows = with_date(pings).select(*pings.sparkSession.table(table).columns)
+    _laid_out(rows).write.insertInto(table)
+
+
+def append_path(pings: DataFrame, path: str) -> None:
+    """Adds rows to the table of day folders at ``path``."""
+    _laid_out(with_date(widen(pings))).write.mode("append").partitionBy(PARTITION).parquet(path)
+
+
+def read_path(spark: SparkSession, path: str) -> DataFrame:
+    """The table of day folders at ``path``, with event_date to prune by; columns that
+    older files lack are null."""
+    return spark.read.schema(T.StructType([*PINGS.fields, T.StructField(PARTITION, T.DateType())])).parquet(path)
+
+
+def backfill_files(spark: SparkSession, files: str, path: str) -> None:
+    """Appends history files (a glob) to the table at ``path``, under its full schema."""
+    append_path(spark.read.option("mergeSchema", "true").parquet(files), path)
 
 
 def backfill(history: DataFrame, live: DataFrame) -> DataFrame:
@@ -70,4 +95,6 @@ def refresh_gold(reports: dict[str, DataFrame], root: str) -> None:
 
 
 def json_rows(df: DataFrame) -> DataFrame:
-    return df.select(F.to_json(F.struct(*df.columns)).alias("row"))
+    """Rows as JSON objects: every field, nulls too, and times with microseconds."""
+    options = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "ignoreNullFields": "false"}
+    return df.select(F.to_json(F.struct(*df.columns), options).alias("row"))

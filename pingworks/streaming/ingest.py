@@ -6,13 +6,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from pingworks.operators.clean import clean, explode_vehicles, parse_messages
+from pingworks.operators.clean import clean, explode_vehicles, parse_messages, rejected
 from pingworks.operators.segments import tag
 from pingworks.schemas import PINGS
 from pingworks.sources.tables import with_date
@@ -34,13 +35,12 @@ class _Monotonic(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["message_no", "pos"], kind="stable")
-        mark, keep = self.mark.get()[0] if self.mark.exists() else "", []
-        for at in batch["order_key"]:
-            keep.append(at > mark)
-            mark = max(mark, at)
-        if any(keep):
-            self.mark.update((mark,))
-            yield batch[keep]
+        keys = batch["order_key"].to_numpy(object)
+        marks = np.maximum.accumulate(np.append(np.array([self.mark.get()[0] if self.mark.exists() else ""], object), keys))
+        keep = keys > marks[:-1]
+        if keep.any():
+            self.mark.update((marks[-1],))
+            yield batch[keep.astype(bool)]
 
     def close(self) -> None:
         pass
@@ -52,7 +52,7 @@ def keep_newer(pings: DataFrame) -> DataFrame:
 
 
 def transform(messages: DataFrame, segs: DataFrame) -> DataFrame:
-    """Messages to tagged pings; malformed texts and unreadable rows stay behind."""
+    """Messages to tagged pings; malformed texts and unreadable rows are `start_quarantine`'s."""
     rows = clean(explode_vehicles(parse_messages(messages)), ("message_no", "pos")).filter("status = 'ok'").drop("status")
     return with_date(tag(keep_newer(rows), segs).select(*PINGS.names))
 
@@ -66,6 +66,15 @@ def start(messages: DataFrame, segs: DataFrame, table_path: str, checkpoint: str
     return w.start()
 
 
+def start_quarantine(messages: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Appends what ingest cannot use to Parquet by reason, beside the ingest query on the
+    same landing zone; each batch's counts are observed as ``quarantine``."""
+    of = lambda x: F.count_if(F.col("reason") == x).alias(x)
+    out = rejected(messages).observe("quarantine", of("malformed"), of("bad"))
+    w = out.writeStream.format("parquet").partitionBy("reason").option("path", path).option("checkpointLocation", checkpoint)
+    return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()
+
+
 def dry_run(messages: DataFrame, segs: DataFrame, checkpoint: str) -> StreamingQuery:
     """The same work without a table; counts come from the observed metrics."""
     out = transform(messages, segs).observe("ingest", F.count(F.lit(1)).alias("kept"))

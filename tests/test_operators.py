@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -89,3 +90,47 @@ def test_gold_tables(spark, tmp_path):
     tables.refresh_gold({"x": spark.range(3).toDF("n")}, str(tmp_path))
     tables.refresh_gold({"x": spark.range(4).toDF("n")}, str(tmp_path))
     assert spark.read.parquet(f"{tmp_path}/x").count() == 4
+
+
+def test_audits_take_a_time_and_prune_days(spark):
+    from conftest import SMALL
+
+    from pingworks.plans import queries
+
+    t = queries.stored(spark, SMALL)
+    now = F.current_timestamp().cast("timestamp_ntz")
+    for audit in (audits.pings_per_segment, audits.pings_per_segment_type, audits.null_segment_clusters):
+        assert audit(t, as_of=now).count() == 0  # the table is of the past
+    assert audits.null_segment_coverage(t, as_of=now).first().total == 0
+    at = F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")
+    found = audits.pings_per_segment(t, as_of=at)
+    assert re.search(r"PartitionFilters: \[[^\]]*event_date", found._jdf.queryExecution().executedPlan().toString())
+    assert sum(r.pings for r in found.collect()) == t.filter("route = '12' and timestamp >= timestamp_ntz'2024-01-13 00:00:00'").count()
+
+
+def test_a_large_day_is_written_by_several_tasks(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "20000")
+    try:
+        rows = spark.range(60_000).selectExpr("cast(id % 500 as string) AS vid", "timestamp_ntz'2024-01-01 00:00:00' AS timestamp", "cast(id as double) AS lat", "'12' AS route", "cast(id as int) AS heading")
+        tables.append_path(rows, f"{tmp_path}/t")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    back = tables.read_path(spark, f"{tmp_path}/t")
+    assert back.count() == 60_000 and len(back.inputFiles()) > 1
+
+
+def test_schedule_edges(spark, tmp_path):
+    from pingworks.operators import schedule
+    from pingworks.sources import gtfs
+
+    clocks = spark.createDataFrame([("25:10:05",), ("07:00:00",), ("x",), (None,), ("",)], "c string")
+    assert [r.s for r in clocks.select(gtfs.service_seconds(F.col("c")).alias("s")).collect()] == [90605, 25200, None, None, None]
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "stop_times.txt").write_text("stop_id,trip_id,arrival_time,stop_sequence,shape_dist_traveled\nA,t,23:59:00,1,0\nB,t,24:01:00,2,100\nC,t,,3,200\n")
+    gtfs.load(spark, str(tmp_path / "f"), str(tmp_path / "g"), "1", ("stop_times",))
+    gtfs.load(spark, str(tmp_path / "f"), str(tmp_path / "g"), "2", ("stop_times",))
+    times = gtfs.table(spark, str(tmp_path / "g"), "stop_times", "2")
+    assert times.count() == 3
+    pings = spark.sql("SELECT * FROM VALUES ('t', 50, timestamp_ntz'2024-01-02 00:00:30'), ('t', 100, timestamp_ntz'2024-01-02 00:01:00'), ('t', -1, timestamp_ntz'2024-01-02 00:00:00'), ('N/A', 5, timestamp_ntz'2024-01-02 00:00:00'), (NULL, 5, NULL), ('t', NULL, NULL) p(trip_id, pdist, timestamp)")
+    got = schedule.deviation(schedule.place(pings, times)).collect()
+    assert [(r.from_stop, r.to_stop, r.scheduled_s, r.deviation_s) for r in got] == [("A", "B", 86400.0, 30.0)]

@@ -5,7 +5,8 @@ import os
 
 from pingworks.operators import dedup, segments
 from pingworks.plans.queries import valid
-from pingworks.sources import events
+from pingworks.plans.registry import QUERIES
+from pingworks import fixtures as events
 from pingworks.sources.tables import read_recursive
 from pingworks.streaming import ingest
 
@@ -42,3 +43,27 @@ def test_dry_run_writes_nothing(spark, tmp_path):
     q = ingest.dry_run(ingest.read_landing(spark, f"{tmp_path}/l"), segments.segments(spark), f"{tmp_path}/c")
     q.awaitTermination(60)
     assert q.exception() is None
+    kept = [p.observedMetrics["ingest"].kept for p in q.recentProgress if "ingest" in p.observedMetrics]
+    want = dedup.dedup(events.raw_pings(spark, SMALL).filter("arrival_seq < 150"), valid()).count()
+    assert sum(kept) == want
+
+
+def test_quarantine_keeps_what_ingest_cannot_use(spark, tmp_path):
+    rows = events.messages(spark, SMALL, damaged=True).orderBy("message_no").collect()
+    for k, part in enumerate((rows[:9], rows[9:])):  # two runs, one checkpoint
+        _land(part, f"{tmp_path}/l", f"{k}.json", 1_700_000_000 + k)
+        q = ingest.start_quarantine(ingest.read_landing(spark, f"{tmp_path}/l", 1), f"{tmp_path}/q", f"{tmp_path}/c")
+        q.awaitTermination(120)
+    got = spark.read.parquet(f"{tmp_path}/q").collect()
+    want = QUERIES["quarantine"](spark, SMALL).collect()
+    assert sorted((r.message_no, -1 if r.pos is None else r.pos, r.reason) for r in got) == sorted((r.message_no, -1 if r.pos is None else r.pos, r.reason) for r in want)
+    texts = {r.message_no: r.value for r in rows}
+    assert {r.reason for r in got} == {"malformed", "bad"} and all(r.payload == texts[r.message_no] for r in got if r.reason == "malformed")
+
+
+def test_flush_interval_runs_until_stopped(spark, tmp_path):
+    _land(events.messages(spark, SMALL).limit(3).collect(), f"{tmp_path}/l", "a.json", 1_700_000_000)
+    q = ingest.start(ingest.read_landing(spark, f"{tmp_path}/l"), segments.segments(spark), f"{tmp_path}/t", f"{tmp_path}/c", every="1 second")
+    q.processAllAvailable()
+    assert q.isActive and read_recursive(spark, f"{tmp_path}/t").count() > 0
+    q.stop()
