@@ -7,6 +7,9 @@ lacks goes to the families beside it.  Within a family that is a water level: ch
 in ascending order of capacity per weight are full until the level is below one.
 All of it is integer arithmetic in window functions over one row a leaf.
 
+The unit is whitespace-delimited words, so that SQL can check every row; ``tokens`` takes
+another count, such as that of the digest cache.
+
 A leaf's budget is spent epoch by epoch: whole epochs take every document, the last one
 takes the longest prefix that fits of that epoch's seeded order.  The prefix is found
 over hash buckets of some thousand documents, so no leaf is ever sorted in one task.
@@ -14,7 +17,8 @@ over hash buckets of some thousand documents, so no leaf is ever sorted in one t
 Defined cases: null domain, language or source is the name "" of its level; a null text
 has no tokens and is taken while its turn comes before the budget ends; repeated rows
 are documents of their own, ordered by their token count where the seeded order ties;
-a weight that is absent is ``default_weight``, weight 0 gives nothing; other columns
+a weight that is absent is ``default_weight``, weight 0 gives nothing and leaves its part
+to its siblings, then to other families; other columns
 pass through (helpers carry a ``__m_`` prefix); an empty table gives an empty table."""
 
 from __future__ import annotations
@@ -94,8 +98,10 @@ def _share(nodes: DataFrame, parents: list[str], level: str, budget: Column, mix
 def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     """``leaves`` (domain, lang, source, tokens, docs) with budget, whole epochs and the
     rest of the budget for the epoch that is cut."""
-    leaves = leaves.withColumn("cap", F.col("tokens") * mix.max_epochs)
+    can = lambda level, cap: F.when(_weight(level, mix) > 0, cap).otherwise(F.lit(0)).cast("long")
+    leaves = leaves.withColumn("cap", can("source", F.col("tokens") * mix.max_epochs))  # what has no weight gives nothing
     langs = leaves.groupBy("domain", "lang").agg(F.sum("cap").alias("cap"), F.sum("tokens").alias("tokens"))
+    langs = langs.withColumn("cap", can("lang", F.col("cap")))
     domains = langs.groupBy("domain").agg(F.sum("cap").alias("cap"), F.sum("tokens").alias("tokens"))
     total = F.floor(F.sum("tokens").over(Window.partitionBy(F.lit(0))).cast("decimal(38,0)") * mix.share_pct / 100).cast("long")
     domains = _share(domains, [], "domain", total, mix).select("domain", F.col("budget").alias("above"))

@@ -53,3 +53,12 @@ def test_edges(spark):
     assert mixing.select(df.limit(0)).count() == 0
     staged = mixing.stage(spark, df, "")
     assert staged.columns == df.columns
+
+
+def test_weight_0_has_no_capacity(spark):
+    """books holds only a source without weight, web/de has no weight: all goes to web/en."""
+    leaves = [("web", "en", "s", 1000, 10), ("web", "de", "s", 1000, 10), ("books", "en", "none", 1000, 10)]
+    df = spark.createDataFrame(leaves, "domain string, lang string, source string, tokens long, docs long")
+    mix = Mix(domain={"web": 50, "books": 50}, lang={"en": 50, "de": 0}, source={"none": 0}, share_pct=20, max_epochs=1)
+    got = {(r.domain, r.lang): r.budget for r in mixing.budgets(df, mix).collect()}
+    assert got == {("web", "en"): 600, ("web", "de"): 0, ("books", "en"): 0}
