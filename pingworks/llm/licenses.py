@@ -8,16 +8,22 @@ All of it happens row by row inside the scan stage: no join, no shuffle, no Pyth
 
 Defined cases: a null text is an empty one (no words, no labels, score 0); of rules
 that find the same interval the better priority wins, then the earlier rule; repeated
-rows are scanned one by one; other columns pass through, helper columns carry a
-``__l_`` prefix; an empty table gives an empty table."""
+rows are scanned one by one; other columns pass through, but one that bears the name of
+a result (n_words, labels, score, detections, ...) is replaced by it; helper columns
+carry a ``__l_`` prefix; an empty table gives an empty table.  Texts of any length cost
+their length and their number of detections, see `_before`."""
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pingworks.llm.license_rules import signatures
+
 # Words of a text whose A-Z still stand: letters, digits, everything beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -115,13 +121,14 @@ class Rule:
 
 
 def rules() -> list[Rule]:
-    """The ordered rule list, spelled out from the families: for each version a
-    declared tag, a grant, and a name with its number; then names without one."""
+    """The ordered rule list: signatures written out one by one; then names spelled out
+    from the families: for each version a declared tag, a grant, and a name with its
+    number, and names without one; then notices."""
     version = lambda v: v.replace(".", r"\.") + (r"(?:\.0)?" if "." not in v else "") + r"(?!\.?\d)"
     sep = r"\s*,?\s*\(?(?:v|ver\.?|version)?\s*"
     tag = r"spdx-license-identifier:\s*"
     grant = r"(?:licen[cs]ed|released|distributed|available|provided)\s+under\s+(?:the\s+)?(?:terms\s+of\s+)?(?:the\s+)?"
-    out = []
+    out = [Rule(label, pattern, keywords, priority, confidence) for label, priority, confidence, keywords, pattern, _ in signatures()]
     for key, name, versions, word in FAMILIES:
         for v in versions:
             label = f"{key}-{v}" if v else key
@@ -150,8 +157,13 @@ def re_escape(x: str) -> str:
     return "".join(c if c.isalnum() else "\\" + c for c in x)
 
 
-#: Any keyword of any rule stands next to one of these; texts without are not scanned.
-GATE = r"(?i)licen[cs]|spdx|copyright|\(c\)|©|cc0|(?<![a-z])cc[-\s]|creative\s*commons|rights\s+reserved|public\s+domain|hereby|redistribut|permission|proprietary|openrail|cecill|wtfpl|without|bsd"
+#: Whatever a rule finds holds one of these; texts without are not scanned.
+GATE = (
+    r"(?i)licen[cs]|spdx|copyright|\(c\)|©|cc0|(?<![a-z])cc[-\s]|creative\s*commons|rights\s+reserved|public\s+domain|hereby|redistribut|permission|proprietary|openrail|cecill|wtfpl|without|bsd"
+    r"|(?<![a-z])(?:[al]?gpl|mpl|epl|cddl|cpl|eupl|osl|afl|ecl|sspl|busl|bsl|ofl|gfdl|psfl?|odbl|odc-by|apl|asl|icu|curl|gemma|llama|dl-de|etalab|beer|evil|elastic|mit(?:-0|\s+(?:or|and)))"
+    r"|apache|as[-\s]+is|warrant|liable|endorse|advertising|sublicense|misrepresented|altered|suitability|exception|acknowledgment|(?:or|and)\s+mit|secondary|terms\s+as|unencumbered|unauthori|trade\s+secret"
+    r"|(?:gnu|eclipse|mozilla|unlicense|opendatacommons|sil|php|boost)\.org|rail|commercial|change\s+date|use\s+grant|you\s+just|jpeg\s+group|leffler|font|product\s+includes|imagemagick|polyform|blueoak|unicode|government|artistic_|linking|illinois|limiting\s"
+)
 PRIORITIES = 4
 
 
@@ -162,23 +174,43 @@ def _phrase(p: str) -> str:
 _ALL_PHRASES = f"(?i)(?<!{WORD})(?:" + "|".join(GAP.join(p.split()) for p in PHRASES.values()) + f")(?!{WORD})"
 
 
+GROUP = 64
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _before(items: Column, kind: str, zero: Column, fold: Callable, merge: Callable, body: Callable) -> Column:
+    """For each of ``items``: ``body(item, fold of all items before it)``.  Items fold by
+    groups: what is before a group is kept for each group, and the rest of the way is
+    GROUP steps at most, so that an array costs its length, not its square."""
+    part = lambda xs, g, n: F.slice(xs, g * GROUP + 1, n)
+    groups = lambda xs: F.transform(F.sequence(F.lit(0), F.shiftright(F.size(xs) - 1, 6)), lambda g: F.aggregate(part(xs, g, F.lit(GROUP)), zero, fold))
+    start = F.struct(zero.alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+    sums = lambda xs: F.aggregate(groups(xs), start, lambda acc, g: F.struct(merge(acc["at"], g).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+    each = lambda s: F.transform(
+        s["xs"], lambda x, k: body(x, F.aggregate(part(s["xs"], F.shiftright(k, 6), k.bitwiseAND(F.lit(GROUP - 1))), F.get(s["sums"], F.shiftright(k, 6)), fold))
+    )
+    return _let(items, lambda xs: F.when(F.size(xs) > 0, _let(F.struct(xs.alias("xs"), sums(xs).alias("sums")), each)))
+
+
 def _intervals(text: Column, rule: Column) -> Column:
     """Places where a rule's pattern matches, as structs that sort for `_suppress`."""
-    place = "array<struct<start:int,back:int,priority:int,rule:int,label:string,confidence:double>>"
+    sizes = F.zip_with(
+        F.split(text, rule["pattern"], -1), F.regexp_extract_all(text, rule["pattern"], F.lit(0)), lambda a, b: F.struct(F.length(a).alias("gap"), F.length(b).alias("size"))
+    )
 
-    def place_of(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["before"])
-        end = start + F.length(x["found"])
-        found = F.struct(
-            start.alias("start"), (-end).alias("back"), rule["priority"].alias("priority"), rule["rule"].alias("rule"),
+    def place(x: Column, at: Column) -> Column:
+        start = at + x["gap"]
+        return F.struct(
+            start.alias("start"), (-(start + x["size"])).alias("back"), rule["priority"].alias("priority"), rule["rule"].alias("rule"),
             rule["label"].alias("label"), rule["confidence"].alias("confidence"),
         )
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(found)).cast(place).alias("out"))
 
-    pieces = F.split(text, rule["pattern"], -1)
-    found = F.regexp_extract_all(text, rule["pattern"], F.lit(0))
-    pairs = F.filter(F.zip_with(pieces, found, lambda a, b: F.struct(a.alias("before"), b.alias("found"))), lambda x: x["found"].isNotNull())
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(place).alias("out")), place_of, lambda acc: acc["out"])
+    add = lambda acc, x: acc + x["gap"] + x["size"]
+    return _before(F.filter(sizes, lambda x: x["size"].isNotNull()), "int", F.lit(0), add, lambda a, b: a + b, place)
 
 
 def _suppress(places: Column) -> Column:
@@ -186,33 +218,29 @@ def _suppress(places: Column) -> Column:
 
     Sorted by start, longest first, then priority and rule, whatever contains a
     place stands before it; so the furthest end so far, by priority, decides."""
-    kept_type = "array<struct<start:int,end:int,label:string,confidence:double>>"
-    reach = [f"r{p}" for p in range(1, PRIORITIES + 1)]
+    levels = range(1, PRIORITIES + 1)
+    zero = F.array(*[F.lit(-1) for _ in levels])
+    further = lambda acc, x: F.array(*[F.greatest(F.get(acc, F.lit(p - 1)), F.when(x["priority"] <= p, -x["back"]).otherwise(-1)) for p in levels])
+    furthest = lambda a, b: F.zip_with(a, b, lambda x, y: F.greatest(x, y))
 
-    def step(acc: Column, x: Column) -> Column:
+    def judged(x: Column, reach: Column) -> Column:
         end = -x["back"]
-        mine = F.get(F.array(*[acc[r] for r in reach]), x["priority"] - 1)
         item = F.struct(x["start"].alias("start"), end.alias("end"), x["label"].alias("label"), x["confidence"].alias("confidence"))
-        return F.struct(
-            *[F.greatest(acc[r], F.when(x["priority"] <= p, end).otherwise(-1)).alias(r) for p, r in enumerate(reach, 1)],
-            F.when(mine >= end, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(item)).cast(kept_type)).alias("kept"),
-        )
+        return F.when(F.get(reach, x["priority"] - 1) < end, item)
 
-    start = F.struct(*[F.lit(-1).alias(r) for r in reach], F.array().cast(kept_type).alias("kept"))
-    return F.aggregate(F.sort_array(places), start, step, lambda acc: acc["kept"])
+    return F.array_compact(_before(F.sort_array(places), "array<int>", zero, further, furthest, judged))
 
 
 def scan(docs: DataFrame, text: str = "text", rule_list: list[Rule] | None = None) -> DataFrame:
     """``docs`` with n_words, n_base, first_word, last_word, base_labels, labels,
     score, and ``detections``: kept places (start, end in code points, label,
     confidence)."""
-    table = F.array(*[
-        F.struct(
-            F.array(*[F.lit(k) for k in r.keywords]).alias("keywords"), F.lit("(?i)" + r.pattern).alias("pattern"), F.lit(r.label).alias("label"),
-            F.lit(r.priority).alias("priority"), F.lit(r.confidence).alias("confidence"), F.lit(i).alias("rule"),
-        )
+    listed = [
+        {"keywords": list(r.keywords), "pattern": "(?i)" + r.pattern, "label": r.label, "priority": r.priority, "confidence": r.confidence, "rule": i}
         for i, r in enumerate(rules() if rule_list is None else rule_list)
-    ])
+    ]
+    kind = "array<struct<keywords:array<string>,pattern:string,label:string,priority:int,confidence:double,rule:int>>"
+    table = F.from_json(F.lit(json.dumps(listed)), kind)  # one constant to the planner
     words = lambda c: F.regexp_count(c, F.lit(WORD + "+"))
     df = docs.withColumn("__l_text", F.coalesce(F.col(text), F.lit("")))
     body = F.col("__l_text")
@@ -226,7 +254,7 @@ def scan(docs: DataFrame, text: str = "text", rule_list: list[Rule] | None = Non
     n_base = F.when(F.col("__l_parts").isNull(), 0).otherwise(F.size("__l_parts") - 1)
     df = df.withColumns({
         "n_base": n_base.cast("long"),
-        "__l_places": F.flatten(F.transform("__l_rules", lambda r: _intervals(body, r))),
+        "__l_places": F.flatten(F.filter(F.transform("__l_rules", lambda r: _intervals(body, r)), lambda x: x.isNotNull())),
     })
     df = df.withColumn("detections", F.coalesce(_suppress(F.col("__l_places")), F.array().cast("array<struct<start:int,end:int,label:string,confidence:double>>")))
     some, parts = F.col("n_base") > 0, F.col("__l_parts")

@@ -1,12 +1,15 @@
 from __future__ import annotations
 
+import random
 import re
+import time
 from re import _constants as C
 from re import _parser
 
 from conftest import SMALL
+from pyspark.sql import functions as F
 
-from pingworks.llm import licenses
+from pingworks.llm import license_rules, licenses
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -102,3 +105,63 @@ def test_empty_table_and_other_columns(spark):
     df = spark.createDataFrame([(1, "MIT License", "mine")], "doc_id long, text string, other string")
     assert licenses.scan(df).first().other == "mine"
     assert licenses.scan(df.limit(0)).count() == 0
+
+
+def test_each_signature_finds_its_example(spark):
+    signs = license_rules.signatures()
+    assert len({s[4] for s in signs}) == len(signs) > 150
+    low = [s[5].lower() for s in signs]
+    assert [s for s, x in zip(signs, low) if not any(k in x for k in s[3])] == []
+    rows = [(i, s[5], licenses.Rule(s[0], s[4], s[3], s[1], s[2])) for i, s in enumerate(signs)]
+    table = spark.createDataFrame([(i, x, "(?i)" + r.pattern) for i, x, r in rows], "doc_id long, text string, pattern string")
+    missed = table.filter(~F.expr("text RLIKE pattern")).collect()
+    assert [r.text for r in missed] == []
+    ungated = table.filter(~F.col("text").rlike(licenses.GATE)).collect()
+    assert [r.text for r in ungated] == []
+    # families are matched apart from any other text, in the whole scan
+    got = {r.doc_id: r.labels.split(",") for r in licenses.scan(table.select("doc_id", "text")).collect()}
+    assert [(s[0], got[i]) for i, s in enumerate(signs) if not any(x == s[0] or x.startswith(s[0]) or s[0].startswith(x) for x in got[i] if x)] == []
+
+
+def test_headers_expressions_and_bodies(spark):
+    texts = {
+        "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "gpl-3": "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License",
+        "bsl-1.0": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software",
+        "lgpl-2.1": "License: LGPL-2.1+", "eupl-1.2": "EUPL v1.2", "gpl-2": "GPL-2.0-only OR MIT", "apache-2.0": "http://www.apache.org/licenses/LICENSE-2.0",
+        "bsd-3-clause": "Neither the name of the owner nor the names of its contributors may be used to endorse or promote products",
+        "mit": "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM", "zlib": "The origin of this software must not be misrepresented",
+    }
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts.values())), "doc_id long, text string")).collect()
+    for r in rows:
+        assert list(texts)[r.doc_id] in r.labels.split(","), (r.text, r.labels)
+
+
+def test_repeated_notices_cost_their_length(spark):
+    text = "copyright 2020 x. All rights reserved. Licensed under the MIT License.\n" * 14_000  # 1 MB
+    began = time.time()
+    (r,) = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert time.time() - began < 90
+    assert r.labels == "all-rights-reserved,copyright,mit" and r.n_base == 14_000 and len(r.detections) == 3 * 14_000
+    assert r.detections[-1].end == len(text) - 2
+
+
+def test_suppression_is_that_of_a_plain_version(spark):
+    rng = random.Random(6)
+    places = [(rng.randrange(400), rng.randrange(1, 60), rng.randrange(1, 5), i) for i in range(700)]
+    rows = [(a, -(a + n), p, i, str(i), 0.5) for a, n, p, i in places]
+    df = spark.createDataFrame([(rows,)], "places array<struct<start:int,back:int,priority:int,rule:int,label:string,confidence:double>>")
+    (got,) = df.select(licenses._suppress(F.col("places")).alias("kept")).collect()
+    want, seen = [], []
+    for a, back, p, i, label, _ in sorted(rows):
+        if not any(e >= -back and q <= p for e, q in seen):
+            want.append((a, -back, label))
+        seen.append((-back, p))
+    assert [(k.start, k.end, k.label) for k in got.kept] == want
+
+
+def test_clashing_names_nulls_and_repeated_rows(spark):
+    df = spark.createDataFrame([(None, "MIT License", "x", 7), (1, "MIT License", "x", 7), (1, "MIT License", "x", 7), (2, None, None, None)], "doc_id long, text string, labels string, score int")
+    rows = licenses.scan(df).collect()
+    assert sorted((r.doc_id or 0, r.labels, r.n_base) for r in rows) == [(0, "mit", 1), (1, "mit", 1), (1, "mit", 1), (2, "", 0)]
+    assert licenses.scan(df.limit(0)).count() == 0
