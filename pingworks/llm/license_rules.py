@@ -169,7 +169,7 @@ eula ~ 3 ~ 0.6 ~ user ~ end[- ]user\s+licen[cs]e\s+agreement ~ This End-User Lic
 aladdin ~ 1 ~ 0.85 ~ aladdin ~ aladdin\s+free\s+public\s+licen[cs]e ~ Aladdin Free Public License
 ppl ~ 1 ~ 0.85 ~ production ~ peer\s+production\s+licen[cs]e ~ Peer Production License
 free-art-1.3 ~ 1 ~ 0.85 ~ free ~ free\s+art\s+licen[cs]e(?:\s+1\.3)? ~ Free Art License 1.3
-dl-de-by-2.0 ~ 1 ~ 0.95 ~ govdata,dl ~ govdata\.de/dl-de/by-2-0|dl-de[-/]by-2[.-]0 ~ https://www.govdata.de/dl-de/by-2-0
+dl-de-by-2.0 ~ 1 ~ 0.95 ~ govdata,dl-de ~ govdata\.de/dl-de/by-2-0|dl-de[-/]by-2[.-]0 ~ https://www.govdata.de/dl-de/by-2-0
 ogl-uk-3.0 ~ 1 ~ 1.0 ~ nationalarchives ~ nationalarchives\.gov\.uk/doc/open-government-licence/version/3 ~ http://www.nationalarchives.gov.uk/doc/open-government-licence/version/3/
 etalab-2.0 ~ 1 ~ 0.9 ~ etalab,ouverte ~ etalab[- ]2\.0|licence\s+ouverte ~ Licence Ouverte
 us-gov-work ~ 2 ~ 0.7 ~ government ~ (?:is\s+a\s+)?work\s+of\s+the\s+(?:united\s+states|u\.s\.)\s+government ~ This is a work of the United States Government
@@ -178,7 +178,7 @@ proprietary ~ 3 ~ 0.6 ~ unauthori ~ unauthori[sz]ed\s+(?:copying|reproduction|di
 proprietary ~ 3 ~ 0.6 ~ secret ~ (?:contains|constitutes?)\s+(?:the\s+)?(?:confidential|proprietary)\s+(?:information|and)\s[\s\S]{0,60}?trade\s+secrets? ~ contains confidential and proprietary trade secrets
 no-license ~ 3 ~ 0.5 ~ licen ~ no\s+licen[cs]e\s+(?:is\s+)?(?:granted|expressed|implied) ~ No license is granted
 dual-license ~ 3 ~ 0.5 ~ dual ~ dual[- ]licen[cs]ed ~ This crate is dual-licensed
-mit ~ 2 ~ 0.85 ~ mit,and ~ (?<![\w.-])mit\s+(?:or|and)\s+[a-z]+-?\d|[a-z0-9.]+(?:-only|-or-later)?\s+(?:or|and)\s+mit(?![\w.-]*\w) ~ Apache-2.0 OR MIT
+mit ~ 2 ~ 0.85 ~ mit ~ (?<![\w.-])mit\s+(?:or|and)\s+[a-z]+-?\d|[a-z0-9.]+(?:-only|-or-later)?\s+(?:or|and)\s+mit(?![\w.-]*\w) ~ Apache-2.0 OR MIT
 """
 
 

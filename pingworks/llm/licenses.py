@@ -160,9 +160,12 @@ def re_escape(x: str) -> str:
 #: Whatever a rule finds holds one of these; texts without are not scanned.
 GATE = (
     r"(?i)licen[cs]|spdx|copyright|\(c\)|©|cc0|(?<![a-z])cc[-\s]|creative\s*commons|rights\s+reserved|public\s+domain|hereby|redistribut|permission|proprietary|openrail|cecill|wtfpl|without|bsd"
-    r"|(?<![a-z])(?:[al]?gpl|mpl|epl|cddl|cpl|eupl|osl|afl|ecl|sspl|busl|bsl|ofl|gfdl|psfl?|odbl|odc-by|apl|asl|icu|curl|gemma|llama|dl-de|etalab|beer|evil|elastic|mit(?:-0|\s+(?:or|and)))"
-    r"|apache|as[-\s]+is|warrant|liable|endorse|advertising|sublicense|misrepresented|altered|suitability|exception|acknowledgment|(?:or|and)\s+mit|secondary|terms\s+as|unencumbered|unauthori|trade\s+secret"
-    r"|(?:gnu|eclipse|mozilla|unlicense|opendatacommons|sil|php|boost)\.org|rail|commercial|change\s+date|use\s+grant|you\s+just|jpeg\s+group|leffler|font|product\s+includes|imagemagick|polyform|blueoak|unicode|government|artistic_|linking|illinois|limiting\s"
+    # at the start of a word, so that most places are passed over at once
+    r"|(?<![a-z])(?:(?:[al]?gpl|mpl|epl|cpl|osl|afl|ecl|sspl|busl|bsl|ofl|gfdl|psf|apl|asl)[- ]?v?\d|(?:cddl|eupl|odbl|odc-by|dl-de|etalab|psfl)(?:v|version)?(?![a-z])|mit(?:-0|\s+(?:or|and))|(?:or|and)\s+mit"
+    r"|apache|software\s+is\s+provided|liable\s+for|endorse\s+or|advertising\s+materials|in\s+advertising|misrepresented|altered\s+(?:source|from)|suitability|classpath|llvm|gcc|special\s+exception|acknowledgment"
+    r"|terms\s+as|unencumbered|unauthori[sz]ed\s|trade\s+secret|(?:gnu|eclipse|mozilla|unlicense|opendatacommons|sil)\.org|open\s?rail|creativeml|bigscience|bigcode|non-?commercial|change\s+date|use\s+grant"
+    r"|you\s+just|independent\s+jpeg|sam\s+leffler|reserved\s+font|product\s+includes|imagemagick|polyform|blueoak|unicode-|(?:states|s\.)\s+government|perlfoundation|statically\s+or|illinois|limiting\s+other"
+    r"|beer-?ware|a\s+beer|not\s+evil|gemma\s+terms|elastic(?:-2|\.co)|curl\.)"
 )
 PRIORITIES = 4
 
