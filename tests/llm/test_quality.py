@@ -54,8 +54,8 @@ def test_figures_replace_columns_of_their_names(spark):
     text = "The house is on the hill and it was sold to the man for a sum."
     df = spark.createDataFrame([(1, text, "x", "y", 5.0), (1, text, "x", "y", 5.0), (None, None, None, None, None)], "doc_id long, text string, n_words string, kept string, mean_word_chars double")
     rows = quality.judge(df).collect()
-    assert sorted((r.doc_id or 0, r.n_words, r.kept) for r in rows) == [(0, 0, False), (1, 15, True), (1, 15, True)]
-    assert {r.mean_word_chars for r in rows if r.doc_id} == {48 / 15}
+    assert sorted((r.doc_id or 0, r.n_words, r.kept) for r in rows) == [(0, 0, False), (1, 16, True), (1, 16, True)]
+    assert {r.mean_word_chars for r in rows if r.doc_id} == {len(text.replace(" ", "")) / 16}
 
 
 def test_verdicts_may_be_filtered(spark):
