@@ -14,7 +14,9 @@ them that others share are looked up.  A set with more than H segments of its ow
 
 Small bands use segments of one shingle.  Among members that stay unconnected, the
 shingles that each has to itself are counted, which bounds what a pair can share,
-and parity sketches bound from below how much two sets differ.
+and parity sketches bound from below how much two sets differ.  What is left is indexed
+with one-deletion neighbourhoods, and each member spends its H + 1 on segments as they
+are (1) or with their neighbourhoods (2), whichever meet the fewest rows.
 
 A set whose non-empty segments are too few for the pigeonhole is irregular; were there
 any, the join runs again with segments of one shingle for all sets, which has none.
@@ -109,9 +111,13 @@ def _most_differences(n: np.ndarray) -> np.ndarray:
     return (n + n * 5 // 4) // 9
 
 
-def signatures(h: np.ndarray, bounds: np.ndarray, single: bool) -> tuple[np.ndarray, ...]:
-    """Each set at each band it indexes at: arrays of set, band and number of
-    signatures, then all signatures in that order; last the irregular sets."""
+def _segments(h: np.ndarray, bounds: np.ndarray, single: bool) -> dict[str, np.ndarray]:
+    """The segments of each set at each band it indexes at.
+
+    By index of a set: ``sets``, ``bands``.  By element, in segment order: ``value`` (its
+    part of a signature) and ``seg`` (its segment's position).  By segment: ``of`` (the
+    index it belongs to), ``rank`` there, ``n`` elements, ``total`` of their values, ``key``,
+    and ``keep``, true for the subset that is indexed."""
     n = np.diff(bounds)
     own = _band(n)
     nexts = np.flatnonzero((n > 0) & (5 * n >= 4 * (1 << own.astype(np.int64))))
@@ -131,21 +137,42 @@ def signatures(h: np.ndarray, bounds: np.ndarray, single: bool) -> tuple[np.ndar
     new = np.ones(len(at), bool)
     new[1:] = (at[1:] != at[:-1]) | (seg[1:] != seg[:-1])
     cuts = np.flatnonzero(new)
-    if len(cuts):
-        value = np.add.reduceat(mix(x + np.uint64(0x2545F4914F6CDD1D)), cuts)
-    else:
-        value = np.zeros(0, np.uint64)
-    sig = mix(value ^ mix(seg[cuts] * np.uint64(0xA0761D6478BD642F) + b[cuts].astype(np.uint64)))
+    value = mix(x + np.uint64(0x2545F4914F6CDD1D))
     of = at[cuts]
-    start = np.searchsorted(of, np.arange(len(sets)))
-    rank = np.arange(len(of)) - start[of]
-    wanted = np.where(one, sizes, np.ceil(SPARE * (_most_differences(sizes) + 1)).astype(np.int64))
-    if single:
-        wanted = np.ceil(SPARE * (_most_differences(sizes) + 1)).astype(np.int64)
-    keep = rank < wanted[of]
-    counts = np.bincount(of[keep], minlength=len(sets))
+    rank = np.arange(len(of)) - np.searchsorted(of, np.arange(len(sets)))[of]
+    wanted = np.where(one & (not single), sizes, np.ceil(SPARE * (_most_differences(sizes) + 1)).astype(np.int64))
+    return {
+        "sets": sets, "bands": bands, "value": value, "seg": np.cumsum(new) - 1,
+        "of": of, "rank": rank, "n": np.diff(np.append(cuts, len(at))),
+        "total": np.add.reduceat(value, cuts) if len(cuts) else value,
+        "key": mix(seg[cuts] * np.uint64(0xA0761D6478BD642F) + b[cuts].astype(np.uint64)),
+        "keep": rank < wanted[of],
+    }
+
+
+def signatures(h: np.ndarray, bounds: np.ndarray, single: bool) -> tuple[np.ndarray, ...]:
+    """Each set at each band it indexes at: arrays of set, band and number of
+    signatures, then all signatures in that order; last the irregular sets."""
+    g = _segments(h, bounds, single)
+    sets, keep = g["sets"], g["keep"]
+    sizes = np.diff(bounds)[sets]
+    counts = np.bincount(g["of"][keep], minlength=len(sets))
     irregular = sets[counts < np.minimum(_most_differences(sizes) + 1, sizes)]
-    return sets, bands, counts, sig[keep], irregular
+    return sets, g["bands"], counts, mix(g["total"] ^ g["key"])[keep], irregular
+
+
+def neighbourhoods(h: np.ndarray, bounds: np.ndarray, single: bool) -> tuple[np.ndarray, ...]:
+    """Signatures of the indexed segments (kind 0) and of each of them less one of its
+    elements (kind 1; segments of one element have none): arrays of set, band, segment,
+    elements of the segment, kind and signature."""
+    g = _segments(h, bounds, single)
+    of, keep, seg = g["of"], g["keep"], g["seg"]
+    whole = np.flatnonzero(keep)
+    less = np.flatnonzero(keep[seg] & (g["n"][seg] > 1))
+    segs = np.concatenate([whole, seg[less]])
+    sig = np.concatenate([mix(g["total"] ^ g["key"])[whole], mix((g["total"][seg[less]] - g["value"][less]) ^ g["key"][seg[less]])])
+    kind = np.repeat([0, 1], [len(whole), len(less)])
+    return g["sets"][of[segs]], g["bands"][of[segs]], g["rank"][segs], g["n"][segs], kind, sig
 
 
 def _arrow(schema_names: list[str], *columns) -> pa.RecordBatch:
@@ -324,24 +351,77 @@ def plausible(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
     return out.filter(fits).select("a", "b")
 
 
-def rest_pairs(probes: DataFrame, component: DataFrame, done: DataFrame, texts: DataFrame, sketch: DataFrame) -> DataFrame:
+def rest_pairs(probes: DataFrame, component: DataFrame, done: DataFrame, texts: DataFrame, sketch: DataFrame, single: bool) -> DataFrame:
     """Candidates between members that are not connected yet.
 
-    What a member has to itself cannot be shared: a pair whose sizes less their own
-    shingles fall short of the common part that a link needs is no candidate."""
+    What a member has to itself cannot be shared: a member whose size less its own
+    shingles falls short of the common part that any link needs is no candidate."""
     rows = probes.join(component, "member", "left").withColumn("comp", F.coalesce("comp", "member"))
     mixed = rows.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("probe").alias("asked")).filter("lo <> hi and asked").select("sig")
-    rows = cut(rows.join(mixed, "sig", "left_semi"), "mixed")
-    texts = texts.join(rows.select("member").distinct(), "member", "left_semi")
-    rows = rows.join(own_shingles(texts), "member", "left").join(sketch.drop("size"), "member").withColumn("shared", F.col("size") - F.coalesce("alone", F.lit(0)))
-    rows = cut(rows.filter(F.col("shared") >= _common(F.col("size"), F.ceil(F.col("size") * 4 / 5))), "unconnected")
-    p, q = rows.filter("probe").alias("p"), rows.alias("q")
+    members = cut(rows.join(mixed, "sig", "left_semi").select("member", "comp").distinct(), "mixed")
+    texts = texts.join(members.select("member"), "member", "left_semi")
+    members = members.join(own_shingles(texts), "member", "left").join(sketch, "member").withColumn("shared", F.col("size") - F.coalesce("alone", F.lit(0))).drop("alone")
+    members = cut(members.filter(F.col("shared") >= _common(F.col("size"), F.ceil(F.col("size") * 4 / 5))), "unconnected")
+    return neighbour_pairs(members, texts, single).join(done, ["a", "b"], "left_anti")
+
+
+def neighbour_index(texts: DataFrame, single: bool) -> DataFrame:
+    """(member, band, seg, n, kind, sig) of ``neighbourhoods``."""
+    names = ["member", "band", "seg", "n", "kind", "sig"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, h, bounds in _sets(b.column(1)):
+                of, *columns, sig = neighbourhoods(h, bounds, single)
+                columns = [np.asarray(b.column(0))[i:j][of], *(c.astype(np.int64) for c in columns), _signed(sig)]
+                for k in range(0, len(of), 50_000):
+                    yield _arrow(names, *(c[k : k + 50_000] for c in columns))
+
+    return texts.select("member", "body").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
+def allot(index: DataFrame, members: DataFrame) -> DataFrame:
+    """(member, band, seg, units): how each member spends its H + 1 at each band, at the
+    least cost.
+
+    A segment looked up as it is (1 unit) is missed only by a partner that differs there;
+    looked up with its one-deletion neighbourhood (2 units), only by one that differs in
+    two elements or more.  The cost is the number of index rows met; a signature that one
+    component has to itself meets none.  Segments that cost nothing are not looked up."""
+    holds = index.join(members.select("member", "comp"), "member").groupBy("sig").agg(
+        F.count_if(F.col("kind") == 0).alias("whole"), F.count_if(F.col("kind") == 1).alias("less"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
+    )
+    met = index.join(holds.filter("lo <> hi"), "sig")
+    cost = met.groupBy("member", "band", "seg").agg(
+        F.sum(F.when(F.col("kind") == 0, F.col("whole") - 1)).alias("one"),
+        F.sum(F.when(F.col("kind") == 0, F.col("whole") - 1 + F.col("less")).otherwise(F.col("whole"))).alias("two"),
+    )
+    segs = index.filter("kind = 0").select("member", "band", "seg", "n").join(cost, ["member", "band", "seg"], "left").na.fill(0, ["one", "two"])
+    segs = segs.withColumn("most", F.when((F.col("n") > 1) & ((F.col("two") < 2 * F.col("one")) | (F.col("two") == 0)), 2).otherwise(1))
+    segs = segs.withColumn("each", F.when(F.col("most") == 2, F.col("two") / 2).otherwise(F.col("one")))
+    before = F.sum("most").over(Window.partitionBy("member", "band").orderBy("each", "seg").rowsBetween(Window.unboundedPreceding, -1))
+    h = F.floor((F.col("size") + F.floor(F.col("size") * 5 / 4)) / 9)
+    segs = segs.withColumn("before", F.coalesce(before, F.lit(0))).join(members.select("member", "size"), "member")
+    segs = segs.withColumn("units", F.least("most", h + 1 - F.col("before")).cast("int"))
+    spent = F.when(F.col("units") == 2, F.col("two")).otherwise(F.col("one"))
+    return segs.filter((F.col("units") > 0) & (spent > 0)).select("member", "band", "seg", "units")
+
+
+def neighbour_pairs(members: DataFrame, texts: DataFrame, single: bool) -> DataFrame:
+    """(a, b): candidates of different components among ``members`` (member, comp, size,
+    shared, k0, ...; ``shared`` bounds what a member has in common with another)."""
+    index = cut(neighbour_index(texts.join(members.select("member"), "member", "left_semi"), single), "index")
+    look = cut(index.join(allot(index, members), ["member", "band", "seg"]).filter("kind = 0 or units = 2").select("sig", "member", "kind", "units"), "lookups")
+    found = index.select("sig", "member", "kind").join(look.select("sig").distinct(), "sig", "left_semi")
+    # written first, so that Spark may split a hot signature in the join
+    p, q = cut(look.join(members, "member"), "asking").alias("p"), cut(found.join(members, "member"), "asked").alias("q")
     need = _common(F.col("p.size"), F.col("q.size"))
-    on = (F.col("p.sig") == F.col("q.sig")) & (F.col("p.comp") != F.col("q.comp")) & (F.col("p.shared") >= need) & (F.col("q.shared") >= need)
+    deleted = F.col("p.kind") + F.col("q.kind")
+    on = (F.col("p.sig") == F.col("q.sig")) & ((deleted == 0) | ((deleted == 1) & (F.col("p.units") == 2)))
+    on = on & (F.col("p.comp") != F.col("q.comp")) & (F.col("p.shared") >= need) & (F.col("q.shared") >= need)
     on = on & (5 * F.col("p.size") >= 4 * F.col("q.size")) & (5 * F.col("q.size") >= 4 * F.col("p.size"))
     on = on & (_differ("p", "q") <= F.col("p.size") + F.col("q.size") - 2 * need)
-    pairs = p.join(q, on).select(F.least("p.member", "q.member").alias("a"), F.greatest("p.member", "q.member").alias("b")).distinct()
-    return pairs.join(done, ["a", "b"], "left_anti")
+    return p.join(q, on).select(F.least("p.member", "q.member").alias("a"), F.greatest("p.member", "q.member").alias("b")).distinct()
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -437,7 +517,7 @@ def grouped_rows(docs: DataFrame, single: bool = False) -> DataFrame:
     sketch = cut(sketches(bodies), "sketches")
     links = cut(verify(cut(plausible(star, sketch), "plausible"), bodies), "linked")
     label = components(links)
-    rest = cut(rest_pairs(probes, label, star, bodies, sketch), "rest")
+    rest = cut(rest_pairs(probes, label, star, bodies, sketch, single), "rest")
     more = verify(rest, bodies)
     label = components(links.unionByName(more))
     grouped = about.join(label, "member", "left").withColumn("comp", F.coalesce("comp", "member"))

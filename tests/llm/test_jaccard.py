@@ -93,6 +93,36 @@ def test_indexed_segments_suffice():
             assert set(sig[of == 0]) & set(sig[of == 1])
 
 
+def test_deletions_meet_where_one_element_differs():
+    """A set and the same less one element: the segments meet as they are or less one."""
+    rng = np.random.default_rng(3)
+    for n in (70, 150, 300):
+        base = np.sort(rng.integers(1, 1 << 63, n, dtype=np.uint64))
+        for gone in range(0, n, 7):
+            h = np.concatenate([base, np.delete(base, gone)])
+            of, band, seg, size, kind, sig = jaccard.neighbourhoods(h, np.array([0, n, 2 * n - 1]), False)
+            mine, theirs = of == 0, (of == 1) & (kind == 0)
+            last = seg[theirs].max()
+            for s in set(seg[mine & (size > 1) & (seg < last - 1)]):
+                assert set(sig[mine & (seg == s)]) & set(sig[theirs])
+
+
+@pytest.mark.parametrize("single", [False, True])
+def test_neighbour_pairs_find_every_link(spark, single):
+    """Nothing connected yet, hot passages and all: every link is among the candidates."""
+    texts = _near_copies(11)
+    sets = {i: _set(t) for i, t in texts.items()}
+    first = {}
+    for i, s in sets.items():
+        first.setdefault(s, i)
+    ids = sorted(first.values())
+    bodies = spark.createDataFrame([(i, texts[i]) for i in ids], "member long, body string")
+    members = jaccard.sketches(bodies).selectExpr("*", "member as comp", "size as shared")
+    got = {(r.a, r.b) for r in jaccard.neighbour_pairs(members, bodies, single).collect()}
+    links = {(i, j) for i in ids for j in ids if i < j and sets[i] and sets[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    assert links and links <= got
+
+
 def test_edges(spark):
     rows = [(4, None), (3, ""), (2, " \n\t"), (9, "a b"), (8, "A  B"), (7, "a b c"), (6, "one two three four five six"), (6, "one two three four five six"), (None, "a b"), (5, "A b C d e f g")]
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, member string, band int")
