@@ -4,13 +4,15 @@ Every figure comes from Spark's own expressions, so the rules run inside the sca
 stage: no shuffle, no Python.
 
 Defined cases: a null text is an empty text (no words: rejected by ``min_words``);
+a null doc_id is kept as it is, since no rule reads it;
 repeated rows are judged one by one; other columns pass through untouched, but a
 column that bears the name of a count, a ratio or a verdict is replaced by it; helper
 columns carry a ``__q_`` prefix so that they cannot clash; an empty table gives an
-empty table."""
+empty table; very long texts are judged whole (tested at 1 MB)."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,113 +61,110 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a.cast("double") / b).otherwise(F.lit(0.0))
 
 
-def counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the base counts of a text: n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, and ``__q_words``, ``__q_lines``."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    df = docs.withColumns({
-        "__q_text": body,
-        "__q_words": F.array_remove(F.split(body, SPACES), ""),
-        "__q_lines": F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
-    })
-    words = F.col("__q_words")
-    n = F.size(words)
-    # a hash for each window of five words, in place
-    df = df.withColumn(
-        "__q_hash",
-        F.when(
-            n >= WINDOW,
-            F.transform(
-                F.sequence(F.lit(0), n - WINDOW),
-                lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)]),
-            ),
-        ),
-    )
-    # only texts with some repeat pay for the sort that finds which windows repeat
-    df = df.withColumn(
-        "__q_sorted",
-        F.when(
-            F.size(F.array_distinct("__q_hash")) < F.size("__q_hash"),
-            F.sort_array(F.transform("__q_hash", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
-        ),
-    )
-    s = F.col("__q_sorted")
-    df = df.withColumn(
-        "__q_at",
-        F.sort_array(
-            F.filter(
-                F.transform(
-                    s,
-                    lambda x, j: F.when(
-                        ((j > 0) & (x["h"] == F.get(s, j - 1)["h"])) | F.coalesce(x["h"] == F.get(s, j + 1)["h"], F.lit(False)),
-                        x["i"],
-                    ),
-                ),
-                lambda x: x.isNotNull(),
-            )
-        ),
-    )
-    at = F.col("__q_at")
-    covered = F.aggregate(
-        F.transform(at, lambda x, k: F.least(F.lit(WINDOW), F.coalesce(F.get(at, k + 1) - x, F.lit(WINDOW)))),
-        F.lit(0),
-        lambda a, x: a + x,
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _hashes(words: Column) -> Column:
+    """A hash for each window of words, in place; null for fewer words than a window."""
+    window = lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)])
+    return F.when(F.size(words) >= WINDOW, F.transform(F.sequence(F.lit(0), F.size(words) - WINDOW), window))
+
+
+def _repeated(hashes: Column) -> Column:
+    """Ascending places of the windows found twice or more; only texts with some repeat
+    pay for the sort."""
+    placed = F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
+    twice = lambda s: lambda x, j: F.when(
+        ((j > 0) & (x["h"] == F.get(s, j - 1)["h"])) | F.coalesce(x["h"] == F.get(s, j + 1)["h"], F.lit(False)), x["i"]
     )
-    return df.withColumns({
-        "n_words": n.cast("long"),
-        "word_chars": F.length(F.array_join(words, "")).cast("long"),
-        "n_symbols": F.regexp_count("__q_text", F.lit(SYMBOLS)).cast("long"),
-        "n_dup_lines": (F.size("__q_lines") - F.size(F.array_distinct("__q_lines"))).cast("long"),
-        "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
-    })
-
-
-def figures() -> dict[str, Column]:
-    """Length, symbol, stop-word and line ratios over the columns of `counts`."""
-    text, n = F.col("__q_text"), F.col("n_words")
-    lines = F.col("__q_lines")
-    n_lines = F.size(lines)
+    return F.sort_array(_let(placed, lambda s: F.array_compact(F.transform(s, twice(s)))))
+
+
+def _covered(at: Column) -> Column:
+    """Words that the windows at these places cover."""
+    own = lambda x, k: F.least(F.lit(WINDOW), F.coalesce(F.get(at, k + 1) - x, F.lit(WINDOW)))
+    return F.coalesce(F.aggregate(F.transform(at, own), F.lit(0), lambda a, x: a + x), F.lit(0))
+
+
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def counts(text: Column, words: Column, lines: Column) -> dict[str, Column]:
+    """The base counts of a text."""
+    covered = _let(_hashes(words), lambda h: _let(_repeated(h), _covered))
+    out = {
+        "n_words": F.size(words),
+        "word_chars": F.length(F.array_join(words, "")),
+        "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)),
+        "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
+        "n_repeat_words": covered,
+    }
+    return {k: v.cast("long") for k, v in out.items()}
+
+
+def figures(text: Column, words: Column, lines: Column, c: Column) -> dict[str, Column]:
+    """Length, symbol, stop-word and line ratios; ``c`` holds the base counts."""
+    n, n_lines = c["n_words"], F.size(lines)
     stop = sorted({w for x in STOP_WORDS.values() for w in x.split()})
     of_lines = lambda p: _ratio(F.size(F.filter(lines, lambda x: x.rlike(p))), n_lines)
     return {
-        "mean_word_chars": _ratio(F.col("word_chars"), n),
-        "symbols_per_word": _ratio(F.col("n_symbols"), n),
+        "mean_word_chars": _ratio(c["word_chars"], n),
+        "symbols_per_word": _ratio(c["n_symbols"], n),
         "upper_per_letter": _ratio(F.regexp_count(text, F.lit(r"\p{Lu}")), F.length(F.regexp_replace(text, r"\P{L}+", ""))),
         "marks_per_word": _ratio(F.regexp_count(text, F.lit(r"[!?]+")), n),
-        "letter_words_per_word": _ratio(F.size(F.filter("__q_words", lambda x: x.rlike(r"\p{L}"))), n),
-        "stop_words_per_word": _ratio(F.size(F.filter("__q_words", lambda x: F.lower(x).isin(*stop))), n),
-        "dup_lines_per_line": _ratio(F.col("n_dup_lines"), n_lines),
+        "letter_words_per_word": _ratio(F.size(F.filter(words, lambda x: x.rlike(r"\p{L}"))), n),
+        "stop_words_per_word": _ratio(F.size(F.filter(words, lambda x: F.lower(x).isin(*stop))), n),
+        "dup_lines_per_line": _ratio(c["n_dup_lines"], n_lines),
         "bullet_lines_per_line": of_lines(r"^\s*[-*•]"),
         "ellipsis_lines_per_line": of_lines(r"(\.\.\.|…)\s*$"),
     }
 
 
-def compile_rules(rules: tuple[Rule, ...]) -> dict[str, Column]:
-    """One boolean column a rule, true where a text breaks it."""
+def compile_rules(rules: tuple[Rule, ...], of: Callable[[str], Column]) -> dict[str, Column]:
+    """One boolean column a rule, true where a text breaks it; ``of`` gives a count or
+    figure by name."""
     out = {}
     for r in rules:
-        x = F.col(r.figure)
+        x = of(r.figure)
         broken = F.lit(False)
         if r.low is not None:
             broken = broken | (x < F.lit(float(r.low)))
         if r.high is not None:
             broken = broken | (x > F.lit(float(r.high)))
         if r.when is not None:
-            broken = broken & (F.col(r.when[0]) >= F.lit(r.when[1]))
+            broken = broken & (of(r.when[0]) >= F.lit(r.when[1]))
         out[r.name] = broken
     return out
 
 
+def verdict(text: Column, rules: tuple[Rule, ...] = RULES, min_words: int = 10, max_repeat_pct: int = 20) -> Column:
+    """Counts, ratios, ``base_failed``, ``failed_rules`` and ``kept`` of a text, as one
+    struct.  Words, lines, counts and ratios are lambda arguments, each computed once a
+    row; so the struct may be filtered on, pushed down or repeated at its own cost."""
+    named = lambda d: F.struct(*[v.alias(k) for k, v in d.items()])
+
+    def judged(c: Column, f: Column) -> Column:
+        n = c["n_words"]
+        base = (n < min_words) | (100 * c["n_repeat_words"] > max_repeat_pct * n)
+        broken = compile_rules(rules, lambda x: c[x] if x in COUNTS else f[x])
+        failed = F.array_compact(F.array(*[F.when(b, F.lit(name)) for name, b in broken.items()]))
+        whole = lambda x: F.struct(*[c[k].alias(k) for k in COUNTS], *[f[k].alias(k) for k in ratios], base.alias("base_failed"), x.alias("failed_rules"), (~base & (F.size(x) == 0)).alias("kept"))
+        return _let(failed, whole)
+
+    ratios = list(figures(text, text, text, F.struct()))
+    lines_of = lambda t: F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    parted = lambda t, body: _let(F.array_remove(F.split(t, SPACES), ""), lambda w: _let(lines_of(t), lambda l: body(t, w, l)))
+    counted = lambda t, w, l: _let(named(counts(t, w, l)), lambda c: _let(named(figures(t, w, l, c)), lambda f: judged(c, f)))
+    return _let(F.coalesce(text, F.lit("")), lambda t: parted(t, counted))
+
+
 def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, min_words: int = 10, max_repeat_pct: int = 20) -> DataFrame:
     """``docs`` with counts, ratios, ``base_failed``, ``failed_rules`` and ``kept``."""
-    n = F.col("n_words")
-    df = counts(docs, text).withColumns(figures())
-    df = df.withColumns({
-        "base_failed": (n < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * n),
-        "failed_rules": F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in compile_rules(rules).items()])),
-    })
-    df = df.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
-    return df.drop(*[c for c in df.columns if c.startswith("__q_")])
+    df = docs.withColumn("__q_verdict", verdict(F.col(text), rules, min_words, max_repeat_pct))
+    fields = [f.name for f in df.schema["__q_verdict"].dataType.fields]
+    return df.withColumns({k: F.col(f"__q_verdict.{k}") for k in fields}).drop("__q_verdict")
 
 
 RESULT = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -178,12 +177,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that every rule keeps, with their columns."""
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    work = docs.select(F.struct(*own).alias("__row"), F.col("text").alias("__body"))
-    # the row number, always true here, keeps the filter above the projection: pushed
-    # below, it would spell out every figure again in place of its name
-    fence = F.monotonically_increasing_id() >= 0
-    return judge(work, "__body").select("__row", (F.col("kept") & fence).alias("__go")).filter("__go").select("__row.*")
+    return docs.filter(F.coalesce(verdict(F.col("text"))["kept"], F.lit(False)))
 
 
 _STOP_SQL = ", ".join(f"'{w}'" for w in sorted({w for x in STOP_WORDS.values() for w in x.split()}))

@@ -62,3 +62,19 @@ def test_verdicts_may_be_filtered(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     every = {r.doc_id: r.kept for r in quality.judge(docs).collect()}
     assert {r.doc_id for r in quality.judge(docs).filter("kept").select("doc_id").collect()} == {k for k, v in every.items() if v}
+
+
+def test_filtered_verdicts_cost_their_length(spark):
+    """A repeated window in 100,000 words, null ids and a text of 1 MB under a filter."""
+    import random
+
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(100_000)]
+    again = " ".join(["the", "is", *words, *words[:5]])
+    big = " ".join(["the of and", *(f"word{rng.randrange(10**5)} the" for _ in range(90_000))])
+    assert len(big) > 1_000_000
+    rows = [(1, again), (None, big), (None, None), (None, big)]
+    got = quality.judge(spark.createDataFrame(rows, SCHEMA)).filter("kept").select("doc_id", "n_words", "n_repeat_words").collect()
+    assert sorted((r.doc_id or 0, r.n_words) for r in got) == [(0, 180_003), (0, 180_003)]  # ``again`` lacks stop words
+    one = next(r for r in quality.judge(spark.createDataFrame(rows[:1], SCHEMA)).collect())
+    assert (one.n_words, one.n_repeat_words, one.failed_rules) == (100_007, 10, ["stop_words"])
