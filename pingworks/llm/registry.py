@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pingworks.llm import jaccard, licenses, media, mixing, packing, quality, tokencounts, tokenids, toxicity, warc
+from pingworks.llm import convrepair, jaccard, licenses, media, mixing, packing, quality, tokencounts, tokenids, toxicity, warc
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_media": media.query,
     "op9_token_counts": tokencounts.query,
     "op10_quality_rules": quality.query,
+    "op11_conversation_repair": convrepair.query,
 }
 
 ORACLES = {
     "op1_mixing": mixing.ORACLE_SQL,
     "op5_warc": warc.ORACLE_SQL,
     "op10_quality_rules": quality.ORACLE_SQL,
+    "op11_conversation_repair": convrepair.ORACLE_SQL,
 }
