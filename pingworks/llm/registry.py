@@ -24,4 +24,5 @@ ORACLES = {
     "op5_warc": warc.ORACLE_SQL,
     "op10_quality_rules": quality.ORACLE_SQL,
     "op11_conversation_repair": convrepair.ORACLE_SQL,
+    "op12_spelling_variants": variants.ORACLE_SQL,
 }

@@ -229,3 +229,36 @@ def group(docs: DataFrame, damage: int | None = None) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), DAMAGE)
+
+
+ORACLE_SQL = rf"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[{LETTERS}]+')) AS w FROM documents
+), counted AS (
+  SELECT w, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w AS mark, count(*) AS k FROM runs WHERE length(w) >= {SHORTEST} GROUP BY doc_id, w
+), marked AS (
+  SELECT w, k, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(octet_length(encode(mark))), lambda i: CAST(('0x' || hex(encode(mark))[2 * i + 1 : 2 * i + 2]) AS BIGINT))),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), [1::BIGINT, 1, 1, 1, 1, 1, 1, 1]), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END))) AS h
+  FROM counted
+), vocab AS (
+  SELECT word, CAST(sum(k) AS BIGINT) AS n
+  FROM (SELECT CASE WHEN h % {DAMAGE} = 0 THEN w[1 : CAST(h % length(w) AS BIGINT)] || w[CAST(h % length(w) AS BIGINT) + 2 :] ELSE w END AS word, k FROM marked)
+  WHERE length(word) >= {SHORTEST} GROUP BY word HAVING sum(k) >= {LEAST}
+), less AS (
+  SELECT word, p, word[1 : p - 1] || word[p + 1 :] AS f FROM (SELECT word, unnest(range(1, length(word) + 1)) AS p FROM vocab)
+), pairs AS (
+  SELECT DISTINCT a.word, b.word AS near FROM less a JOIN less b ON a.f = b.f AND a.p = b.p AND a.word <> b.word
+  UNION SELECT a.word, b.word FROM less a JOIN vocab b ON a.f = b.word
+  UNION SELECT b.word, a.word FROM less a JOIN vocab b ON a.f = b.word
+), best AS (
+  SELECT p.word, count(*) AS n_near, first(p.near ORDER BY v.n DESC, p.near) AS near, max(v.n) AS near_n FROM pairs p JOIN vocab v ON p.near = v.word GROUP BY p.word
+), forms AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= {FACTOR} * n THEN near END AS form, CASE WHEN near_n >= {FACTOR} * n THEN near_n END AS form_n FROM vocab v LEFT JOIN best b ON v.word = b.word
+), ways AS (
+  SELECT word, form AS root FROM forms WHERE form IS NOT NULL
+  UNION ALL SELECT w.word, f.form FROM ways w JOIN forms f ON w.root = f.word WHERE f.form IS NOT NULL
+), ends AS (
+  SELECT w.word, w.root FROM ways w JOIN forms f ON w.root = f.word WHERE f.form IS NULL
+)
+SELECT f.word, form, coalesce(root, f.word) AS root, n, n_near, form_n FROM forms f LEFT JOIN ends e ON f.word = e.word
+"""

@@ -6,7 +6,7 @@ import zlib
 from collections import Counter
 
 import pytest
-from conftest import SMALL
+from conftest import SMALL, same_rows
 
 from pingworks.llm import variants as V
 
@@ -57,6 +57,10 @@ def _brute(words):
     return {w: (form[w], root(w), n, len(near[w]), words.get(form[w])) for w, n in words.items()}
 
 
+def test_equals_its_sql(spark, duck):
+    same_rows(V.query(spark, SMALL), duck, V.ORACLE_SQL)
+
+
 def _rows(df):
     out = {r.word: (r.form, r.root, r.n, r.n_near, r.form_n) for r in df.collect()}
     assert len(out) == df.count()
