@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pingworks.llm import convrepair, jaccard, licenses, media, mixing, packing, quality, tokencounts, tokenids, toxicity, variants, warc
+from pingworks.llm import convrepair, htmltext, jaccard, licenses, media, mixing, packing, quality, tokencounts, tokenids, toxicity, variants, warc
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_quality_rules": quality.query,
     "op11_conversation_repair": convrepair.query,
     "op12_spelling_variants": variants.query,
+    "op13_html_extraction": htmltext.query,
 }
 
 ORACLES = {
