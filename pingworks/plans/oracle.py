@@ -89,6 +89,7 @@ ORACLES = {
       SELECT message_no, pos, vid, timestamp, lat, lon, heading, route, trip_id, destination, speed, is_delayed, is_off_route, pdist, pid, route AS rid, tablockid,
         CAST(NULL AS VARCHAR) AS srvtmstmp FROM placed WHERE NOT (lat = 0 AND lon = 0)""",
     "dedup_pings": f"WITH {_RAW}, {_KEPT} SELECT {_COLS} FROM kept",
+    "dedup_incremental": f"WITH {_RAW}, {_KEPT} SELECT {_COLS} FROM kept",
     "tag_segments": f"{_T} SELECT {_COLS}, segment_id, segment_name, segment_type FROM t",
     "tag_segments_join": f"{_T} SELECT {_COLS}, segment_id, segment_name, segment_type FROM t",
     "summary": f"{_T} SELECT count(*) AS total_records, count(DISTINCT route) AS total_routes, count(DISTINCT vid) AS total_vehicles, min(timestamp) AS first_record, max(timestamp) AS last_record FROM t",

@@ -39,6 +39,9 @@ def clean_pings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter("status = 'ok'").drop("status", "order_key")
 
 
+#: Pings before this day are history, in files without the late columns.
+LIVE_SINCE = "2024-01-16"
+
 PING_COLUMNS = ["arrival_seq", "vid", "timestamp", "lat", "lon", "route", "trip_id", "speed", "is_delayed"]
 
 
@@ -46,6 +49,17 @@ def dedup_pings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept(spark, sf_dir).select(*PING_COLUMNS)
 
 
+def dedup_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pings in two runs: what arrived before LIVE_SINCE, whose marks are stored,
+    and what came after, which goes on from them."""
+    raw, path = events.raw_pings(spark, sf_dir), tables.scratch(spark, "marks")
+    # arrivals in order of time: of an event and its replay, the event's own time decides
+    first_live = raw.filter(F.col("timestamp") >= F.lit(LIVE_SINCE).cast("timestamp_ntz")).agg(F.min("arrival_seq")).scalar()
+    history, live = raw.filter(F.col("arrival_seq") < first_live), raw.filter(F.col("arrival_seq") >= first_live)
+    dedup.marks(history, valid()).write.parquet(path)
+    return dedup.dedup(history, valid()).unionByName(dedup.dedup(live, valid(), stored=spark.read.parquet(path))).select(*PING_COLUMNS)
+
+
 def tag_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagged(spark, sf_dir).select(*PING_COLUMNS, "segment_id", "segment_name", "segment_type")
 
@@ -90,10 +104,6 @@ def _filled(t: DataFrame) -> DataFrame:
 
 
 OLD_COLUMNS = [c for c in PINGS.names if c not in LATE_COLUMNS]
-#: Pings before this day are history, in files without the late columns.
-LIVE_SINCE = "2024-01-16"
-
-
 def backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """History files, one folder a day, appended to the live table through a glob."""
     t, files, live = stored(spark, sf_dir), tables.scratch(spark, "daily"), tables.scratch(spark, "live")
@@ -146,8 +156,8 @@ def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ingest_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = clean.parse_messages(events.messages(spark, sf_dir, damaged=True))
     rows = clean.clean(clean.explode_vehicles(parsed), ("message_no", "pos"))
-    read = rows.filter("status <> 'bad'").withColumn("arrival", F.struct("message_no", "pos"))
-    return audits.ingest_counters(parsed, rows, dedup.flagged(read, F.col("status") == "ok", arrival="arrival"))
+    read = rows.filter("status <> 'bad'")
+    return audits.ingest_counters(parsed, rows, dedup.flagged(read, F.col("status") == "ok", arrival=("message_no", "pos"), size=dedup.BLOCK // 50))
 
 
 def staleness(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ QUERIES = {
     "parse_payload": Q.parse_payload,
     "clean_pings": Q.clean_pings,
     "dedup_pings": Q.dedup_pings,
+    "dedup_incremental": Q.dedup_incremental,
     "tag_segments": Q.tag_segments,
     "tag_segments_join": Q.tag_segments_join,
     **{name: Q.on_table(report) for name, report in reports.ALL.items()},

@@ -4,6 +4,7 @@ import json
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from pingworks.operators import audits, clean, dedup, segments
@@ -43,18 +44,34 @@ def test_scalar_rules(spark):
     assert (rows[0].heading, rows[0].pdist, rows[6].pdist, rows[6].pid, rows[6].is_delayed) == (0, None, 0, -1, True)
 
 
-def test_dedup_is_the_sequential_algorithm(spark):
+@pytest.mark.parametrize("size", [1, 7, 50, 1000])
+def test_dedup_is_the_sequential_algorithm(spark, size):
+    """Whatever the blocks, in one run and in two with stored marks; a null vehicle is one."""
     rng = random.Random(4)
-    rows = [(i, f"v{rng.randrange(3)}", rng.randrange(12), rng.random() < 0.8) for i in range(300)]
-    marks, kept = {}, []
+    rows = [(i, rng.choice(["v0", "v1", None]), rng.choice([None, *range(40)]), rng.random() < 0.8) for i in range(300)]
+    marks, want = {}, {}
     for seq, vid, at, ok in rows:
-        if vid in marks and at <= marks[vid]:
-            continue
-        if ok:
+        stale = at is not None and vid in marks and at <= marks[vid]
+        want[seq] = "deduped" if stale else "kept" if ok else "invalid"
+        if ok and not stale and at is not None:
             marks[vid] = at
-            kept.append(seq)
     df = spark.createDataFrame(rows, "arrival_seq long, vid string, timestamp int, ok boolean")
-    assert sorted(r.arrival_seq for r in dedup.dedup(df, F.col("ok")).collect()) == kept
+    ok = F.col("ok")
+    assert {r.arrival_seq: r.outcome for r in dedup.flagged(df, ok, size=size).collect()} == want
+    old, new = df.filter("arrival_seq < 171"), df.filter("arrival_seq >= 171")
+    stored = dedup.marks(old, ok)
+    assert {r.arrival_seq: r.outcome for d in (dedup.flagged(old, ok, size=size), dedup.flagged(new, ok, stored=stored, size=size)) for r in d.collect()} == want
+    assert {r.vid: r.mark for r in dedup.marks(new, ok, stored=stored).collect()} == marks
+
+
+def test_one_vehicle_of_most_pings_is_split(spark):
+    df = spark.range(20_000).selectExpr("id AS arrival_seq", "if(id % 100 = 7, 'cold', 'hot') AS vid", "cast(id % 1000 as int) AS timestamp")
+    out = dedup.flagged(df, F.lit(True), size=500)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    windows = re.findall(r"Window \[.*?\], \[([^\]]*)\], \[[^\]]*\]", plan)
+    assert len(windows) == 2 and all("__block" in w or "m_vid" in w for w in windows), windows
+    kept = out.filter("outcome = 'kept'").groupBy("vid").count().collect()
+    assert {r.vid: r["count"] for r in kept} == {"hot": 990, "cold": 10}
 
 
 def test_first_box_wins_on_shared_edges(spark):
