@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pingworks import fixtures as events
-from pingworks.operators import audits, clean, dedup, reports, schedule, segments
+from pingworks.operators import audits, clean, dedup, gold, reports, schedule, segments
 from pingworks.schemas import LATE_COLUMNS, PINGS
 from pingworks.sources import gtfs, tables
 
@@ -149,6 +149,31 @@ def reports_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def gold_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reports as JSON from partials by day: a table of all days before LIVE_SINCE is
+    refreshed, the other days are appended, and only they are read again."""
+    t, path, root, out = stored(spark, sf_dir), tables.scratch(spark, "growing"), tables.scratch(spark, "gold"), None
+    old = F.col(tables.PARTITION) < F.lit(LIVE_SINCE).cast("date")
+    for part in (old, ~old):
+        tables.append_path(t.filter(part).select(*PINGS.names), path)
+        gold.refresh(spark, path, root)
+    for name, report in gold.read(spark, root).items():
+        rows = tables.json_rows(report).select(F.lit(name).alias("report"), "row")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def backfill_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """History files that overlap the live table, added twice: the same pings as once."""
+    t, files, live = stored(spark, sf_dir), tables.scratch(spark, "daily"), tables.scratch(spark, "live")
+    day = F.col(tables.PARTITION)
+    t.filter(day < F.lit(LIVE_SINCE).cast("date")).select(*PINGS.names, day.alias("day")).write.partitionBy("day").parquet(files)
+    tables.append_path(t.filter(day >= F.date_sub(F.lit(LIVE_SINCE).cast("date"), 3)).select(*PINGS.names), live)
+    for _ in range(2):
+        tables.backfill_files(spark, f"{files}/day=*/*.parquet", live)
+    return tables.read_path(spark, live).groupBy(tables.PARTITION).agg(F.count(F.lit(1)).alias("pings"), F.count_distinct("vid").alias("vehicles"))
+
+
 def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.rejected(events.messages(spark, sf_dir, damaged=True)).select("message_no", F.col("pos").cast("long").alias("pos"), "reason")
 

@@ -32,6 +32,8 @@ QUERIES = {
     "schema_evolution": Q.schema_evolution,
     "adhoc_sql": Q.adhoc_sql,
     "reports_json": Q.reports_json,
+    "gold_reports": Q.gold_reports,
+    "backfill_twice": Q.backfill_twice,
     "ingest_table": Q.ingest_table,
     "quarantine": Q.quarantine,
     "ingest_counters": Q.ingest_counters,

@@ -45,7 +45,7 @@ def migrate(spark: SparkSession, table: str) -> list[str]:
     return [f.name for f in missing]
 
 
-def _laid_out(pings: DataFrame) -> DataFrame:
+def laid_out(pings: DataFrame) -> DataFrame:
     """Rows dealt by day, but in pieces of one size: Spark splits a large day and joins
     small ones.  Sorted, so that row groups can be skipped by route."""
     return pings.hint("rebalance", PARTITION).sortWithinPartitions(PARTITION, "route", "vid")
@@ -54,12 +54,12 @@ def _laid_out(pings: DataFrame) -> DataFrame:
 def append(pings: DataFrame, table: str) -> None:
     """Adds rows to a catalog table, by column name."""
     rows = with_date(pings).select(*pings.sparkSession.table(table).columns)
-    _laid_out(rows).write.insertInto(table)
+    laid_out(rows).write.insertInto(table)
 
 
 def append_path(pings: DataFrame, path: str) -> None:
     """Adds rows to the table of day folders at ``path``."""
-    _laid_out(with_date(widen(pings))).write.mode("append").partitionBy(PARTITION).parquet(path)
+    laid_out(with_date(widen(pings))).write.mode("append").partitionBy(PARTITION).parquet(path)
 
 
 def read_path(spark: SparkSession, path: str) -> DataFrame:
@@ -69,13 +69,22 @@ def read_path(spark: SparkSession, path: str) -> DataFrame:
 
 
 def backfill_files(spark: SparkSession, files: str, path: str) -> None:
-    """Appends history files (a glob) to the table at ``path``, under its full schema."""
-    append_path(spark.read.option("mergeSchema", "true").parquet(files), path)
-
-
-def backfill(history: DataFrame, live: DataFrame) -> DataFrame:
-    """History and live rows under the full schema; what history lacks is null."""
-    return live.unionByName(history, allowMissingColumns=True)
+    """Adds history files (a glob) to the table at ``path``, under its full schema: the
+    pings (by vehicle and time) that the table does not have.  Only the days that the files
+    hold are read, so a second run, or one over the live boundary, changes nothing."""
+    history = with_date(widen(spark.read.option("mergeSchema", "true").parquet(files)))
+    days = [r[0] for r in history.select(PARTITION).distinct().collect()]  # one row a day
+    own, have = ["vid", "timestamp", PARTITION], read_path(spark, path)
+    fits = F.lit(False)
+    if None in days:
+        fits = fits | F.col(PARTITION).isNull()
+    if set(days) - {None}:
+        fits = fits | F.col(PARTITION).isin([d for d in days if d is not None])
+    have = have.filter(fits).select(*[F.col(c).alias(f"h_{c}") for c in own])
+    same = F.lit(True)
+    for c in own:
+        same = same & F.col(c).eqNullSafe(F.col(f"h_{c}"))
+    append_path(history.join(have, same, "left_anti"), path)
 
 
 def widen(old: DataFrame) -> DataFrame:

@@ -109,6 +109,26 @@ def test_gold_tables(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/x").count() == 4
 
 
+def test_partials_of_changed_days_only(spark, tmp_path):
+    from conftest import SMALL
+
+    from pingworks.operators import gold, reports
+    from pingworks.plans import queries
+
+    t, path, root = queries.stored(spark, SMALL), f"{tmp_path}/t", f"{tmp_path}/g"
+    own = [c for c in t.columns if c != "event_date"]
+    tables.append_path(t.filter("event_date < date'2024-01-28'").select(*own), path)
+    first = gold.refresh(spark, path, root)
+    assert len(first) > 20 and gold.refresh(spark, path, root) == []
+    tables.append_path(t.filter("event_date = date'2024-01-28'").select(*own), path)
+    tables.append_path(t.filter("event_date = date'2024-01-05'").limit(3).select(*own), path)  # late rows of an old day
+    assert gold.refresh(spark, path, root) == ["2024-01-05", "2024-01-28"]
+    whole = tables.read_path(spark, path)
+    for name, got in gold.read(spark, root).items():
+        want = reports.ALL[name](whole)
+        assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect())), name
+
+
 def test_audits_take_a_time_and_prune_days(spark):
     from conftest import SMALL
 

@@ -7,7 +7,7 @@ from pingworks.operators import dedup, segments
 from pingworks.plans.queries import valid
 from pingworks.plans.registry import QUERIES
 from pingworks import fixtures as events
-from pingworks.sources.tables import read_recursive
+from pingworks.sources import versions
 from pingworks.streaming import ingest
 
 from conftest import SMALL
@@ -29,9 +29,11 @@ def test_stream_equals_batch_over_a_restart(spark, tmp_path):
     n = len(rows) // 3
     for k, part in enumerate((rows[:n], rows[n : 2 * n], rows[2 * n :])):  # three runs, one checkpoint
         _land(part, landing, f"{k}.json", 1_700_000_000 + k)
-        q = ingest.start(ingest.read_landing(spark, landing, 1), segs, table, check)
+        q = ingest.start(ingest.read_landing(spark, landing, 1), segs, table, check, merge_at=2)
         q.awaitTermination(120)
-    got = read_recursive(spark, table)
+        assert q.exception() is None
+    got = versions.read(spark, table)
+    assert versions.current(spark, table).batch == 2 and len(versions.current(spark, table).folders) == 1
     want = segments.tag(dedup.dedup(events.raw_pings(spark, SMALL), valid()), segs)
     cols = ["vid", "timestamp", "lat", "lon", "route", "speed", "segment_id"]
     key = lambda df: sorted(tuple(map(str, r)) for r in df.select(*cols).collect())
@@ -52,8 +54,13 @@ def test_quarantine_keeps_what_ingest_cannot_use(spark, tmp_path):
     rows = events.messages(spark, SMALL, damaged=True).orderBy("message_no").collect()
     for k, part in enumerate((rows[:9], rows[9:])):  # two runs, one checkpoint
         _land(part, f"{tmp_path}/l", f"{k}.json", 1_700_000_000 + k)
-        q = ingest.start_quarantine(ingest.read_landing(spark, f"{tmp_path}/l", 1), f"{tmp_path}/q", f"{tmp_path}/c")
-        q.awaitTermination(120)
+        for start, name in ((ingest.start_quarantine, "q"), (lambda m, *x, **k: ingest.start(m, segments.segments(spark), *x, **k), "t")):
+            q = start(ingest.read_landing(spark, f"{tmp_path}/l", 1), f"{tmp_path}/{name}", f"{tmp_path}/c{name}", metrics=f"{tmp_path}/m")
+            q.awaitTermination(120)
+            assert q.exception() is None
+    counted = {r.outcome: r["sum(pings)"] for r in ingest.counters(spark, f"{tmp_path}/m").groupBy("outcome").sum("pings").collect()}
+    whole = QUERIES["ingest_counters"](spark, SMALL).first()
+    assert counted == {k: whole[k] for k in ("kept", "deduped", "invalid", "malformed", "bad")}
     got = spark.read.parquet(f"{tmp_path}/q").collect()
     want = QUERIES["quarantine"](spark, SMALL).collect()
     assert sorted((r.message_no, -1 if r.pos is None else r.pos, r.reason) for r in got) == sorted((r.message_no, -1 if r.pos is None else r.pos, r.reason) for r in want)
@@ -65,5 +72,41 @@ def test_flush_interval_runs_until_stopped(spark, tmp_path):
     _land(events.messages(spark, SMALL).limit(3).collect(), f"{tmp_path}/l", "a.json", 1_700_000_000)
     q = ingest.start(ingest.read_landing(spark, f"{tmp_path}/l"), segments.segments(spark), f"{tmp_path}/t", f"{tmp_path}/c", every="1 second")
     q.processAllAvailable()
-    assert q.isActive and read_recursive(spark, f"{tmp_path}/t").count() > 0
+    assert q.isActive and versions.read(spark, f"{tmp_path}/t").count() > 0
     q.stop()
+
+
+def _folder(spark, n, day):
+    return spark.range(n).selectExpr("cast(id as string) AS vid", f"timestamp_ntz'2024-01-{day:02d} 00:00:00' AS timestamp", "'12' AS route", "cast(id as int) AS heading")
+
+
+def test_batches_enter_once_and_merge_safely(spark, tmp_path):
+    root = f"{tmp_path}/t"
+    assert versions.read(spark, root).count() == 0
+    for k in range(6):
+        assert versions.append_batch(_folder(spark, 10 + k, 1 + k % 2), root, k)
+    assert not versions.append_batch(_folder(spark, 99, 1), root, 3)  # a replay
+    rows = lambda: sorted(map(str, versions.read(spark, root).collect()))
+    before, reader = rows(), versions.read(spark, root)
+    assert len(before) == 75
+    # a merge that breaks off before its manifest leaves the table as it is
+    real = versions.commit
+    versions.commit = lambda *a: (_ for _ in ()).throw(RuntimeError("lost"))
+    try:
+        versions.merge(spark, root, 2)
+    except RuntimeError:
+        pass
+    finally:
+        versions.commit = real
+    assert rows() == before and len(versions.current(spark, root).folders) == 6
+    # two merges of the same folders: one wins, the other changes nothing
+    old = versions.current(spark, root)
+    assert versions.merge(spark, root, 2) and rows() == before
+    assert not versions.commit(spark, root, versions.Manifest(old.version + 1, (), 9)) and rows() == before
+    files = versions.files_a_day(versions.read(spark, root)).collect()
+    assert {r.files for r in files} == {1} and len(files) == 2
+    assert versions.append_batch(_folder(spark, 5, 3), root, 6) and len(rows()) == 80
+    assert sorted(map(str, reader.collect())) == before  # a reader that began before the merge
+    assert versions.sweep(spark, root) == []
+    gone = versions.sweep(spark, root, older_s=-60)  # 6 batches and the merge that broke off
+    assert len(gone) == 7 and len(rows()) == 80
