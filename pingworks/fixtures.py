@@ -53,16 +53,29 @@ def stale_pings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.withColumn("srvtmstmp", F.when(F.col("event_id") % 23 == 0, F.lit(None)).otherwise(later.cast("string")))
 
 
-def write_schedule(spark: SparkSession, sf_dir: str, folder: str, stops: int = 11) -> None:
+def write_schedule(spark: SparkSession, sf_dir: str, folder: str, stops: int = 11, distances: bool = True) -> None:
     """GTFS files: a trip a vehicle, a stop every 500 feet of its pattern, some of them
-    after midnight of the service day."""
+    after midnight of the service day.  Every fifth trip runs from Monday to Friday.
+    Without ``distances`` the stops' places must come from their coordinates."""
     users = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct()
     u, k = F.col("user_id"), F.col("k")
     at = (u * 600) % 86400 + k * (120 + u % 7)
     two = lambda c: F.lpad(F.floor(c).cast("string"), 2, "0")
     clock = F.concat(two(F.col("at") / 3600), F.lit(":"), two(F.col("at") % 3600 / 60), F.lit(":"), two(F.col("at") % 60))
+    put = lambda df, file: df.write.option("header", True).csv(f"{folder}/{file}.txt")
+    trip = F.concat(F.lit("T"), u.cast("string")).alias("trip_id")
     rows = users.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(stops - 1)))).withColumn("at", at)
-    times = rows.select(F.concat(F.lit("T"), u.cast("string")).alias("trip_id"), clock.alias("arrival_time"), clock.alias("departure_time"), F.concat(F.lit("S"), k.cast("string")).alias("stop_id"), k.alias("stop_sequence"), (k * 500).alias("shape_dist_traveled"))
-    times.write.option("header", True).csv(f"{folder}/stop_times.txt")
-    trips = users.select((u % 12).cast("string").alias("route_id"), F.lit("daily").alias("service_id"), F.concat(F.lit("T"), u.cast("string")).alias("trip_id"), (u % 12).cast("string").alias("shape_id"))
-    trips.write.option("header", True).csv(f"{folder}/trips.txt")
+    dist = (k * 500 if distances else F.lit(None).cast("int")).alias("shape_dist_traveled")
+    put(rows.select(trip, clock.alias("arrival_time"), clock.alias("departure_time"), F.concat(F.lit("S"), k.cast("string")).alias("stop_id"), k.alias("stop_sequence"), dist), "stop_times")
+    service = F.when(u % 5 == 0, "weekdays").otherwise("daily").alias("service_id")
+    put(users.select((u % 12).cast("string").alias("route_id"), service, trip, (u % 12).cast("string").alias("shape_id")), "trips")
+    lines, places = spark.range(12).select(F.col("id").alias("s")), spark.range(stops).select(F.col("id").alias("k"))
+    name = F.col("s").cast("string")
+    put(lines.select(name.alias("route_id"), name.alias("route_short_name"), F.concat(F.lit("Route "), name).alias("route_long_name"), F.lit(3).alias("route_type")), "routes")
+    points = lines.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(stops - 1))))
+    put(points.select(name.alias("shape_id"), (29.9 + k * 0.002).alias("shape_pt_lat"), (-90.1 + F.col("s") * 0.00001).alias("shape_pt_lon"), k.alias("shape_pt_sequence"), (k * 500).alias("shape_dist_traveled")), "shapes")
+    # a quarter of the way past its point, and some metres beside the line
+    north = F.when(k < stops - 1, 0.0005).otherwise(0.0)
+    put(places.select(F.concat(F.lit("S"), k.cast("string")).alias("stop_id"), F.concat(F.lit("Stop "), k.cast("string")).alias("stop_name"), (29.9 + k * 0.002 + north).alias("stop_lat"), F.lit(-90.0999).alias("stop_lon")), "stops")
+    week = lambda sid, end: F.struct(F.lit(sid).alias("service_id"), *[F.lit(1 if d < 5 else end).alias(x) for d, x in enumerate("monday tuesday wednesday thursday friday saturday sunday".split())], F.lit("20240101").alias("start_date"), F.lit("20241231").alias("end_date"))
+    put(spark.range(1).select(F.explode(F.array(week("weekdays", 0), week("daily", 1))).alias("c")).select("c.*"), "calendar")

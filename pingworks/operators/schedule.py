@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import functools
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pingworks.functions.metrics import hour
 from pingworks.functions.parsing import round_to
+from pingworks.operators import quantiles
 
 DAY_S = 86400
 
@@ -30,31 +34,91 @@ def place(pings: DataFrame, stop_times: DataFrame) -> DataFrame:
     return rows.select(*[F.col(c) for c in pings.columns], *named)
 
 
+def _seen_s() -> Column:
+    return F.hour("timestamp") * 3600 + F.minute("timestamp") * 60 + F.second("timestamp")
+
+
+def _scheduled(placed: DataFrame) -> DataFrame:
+    way = F.when(F.col("to_dist") > F.col("from_dist"), (F.col("pdist") - F.col("from_dist")) / (F.col("to_dist") - F.col("from_dist"))).otherwise(F.lit(0.0))
+    return placed.withColumn("scheduled_s", F.col("from_s") + way * (F.col("to_s") - F.col("from_s")))
+
+
 def deviation(placed: DataFrame) -> DataFrame:
     """Adds scheduled_s (interpolated by distance) and deviation_s: observed less
     scheduled, on the service day that is nearest."""
-    way = F.when(F.col("to_dist") > F.col("from_dist"), (F.col("pdist") - F.col("from_dist")) / (F.col("to_dist") - F.col("from_dist"))).otherwise(F.lit(0.0))
-    out = placed.withColumn("scheduled_s", F.col("from_s") + way * (F.col("to_s") - F.col("from_s")))
-    seen = F.hour("timestamp") * 3600 + F.minute("timestamp") * 60 + F.second("timestamp")
-    late = seen - F.col("scheduled_s")
+    out = _scheduled(placed)
+    late = _seen_s() - F.col("scheduled_s")
     return out.withColumn("deviation_s", late - F.lit(DAY_S) * F.floor((late + DAY_S / 2) / DAY_S))
 
 
-def deviation_report(rows: DataFrame) -> DataFrame:
+def on_service_day(placed: DataFrame, services: DataFrame) -> DataFrame:
+    """``placed`` pings with service_day, scheduled_s and deviation_s, on the day of three
+    (the ping's own, the one before, for trips past midnight, and the one after) on which
+    the trip's service runs and the deviation is least; null where it runs on none.
+    ``services``: trip_id, first_day, last_day and weekdays, as `gtfs.services` gives."""
+    own = services.select(F.col("trip_id").alias("s_trip"), "first_day", "last_day", "weekdays")
+    rows = _scheduled(placed).join(own, F.col("trip_id") == F.col("s_trip"), "left")
+    day = F.to_date("timestamp")
+    runs = lambda d: d.between(F.col("first_day"), F.col("last_day")) & (F.call_function("shiftright", F.col("weekdays"), F.weekday(d)).bitwiseAND(F.lit(1)) == 1)
+    late = _seen_s() - F.col("scheduled_s")
+    choices = [F.when(runs(F.date_add(day, k)), F.struct(F.abs(late - k * DAY_S).alias("off"), F.lit(k).alias("k"), (late - k * DAY_S).alias("late"), F.date_add(day, k).alias("day"))) for k in (-1, 0, 1)]
+    rows = rows.withColumn("__best", F.array_min(F.array_compact(F.array(*choices))))
+    return rows.select(*[F.col(c) for c in placed.columns], "scheduled_s", F.col("__best.day").alias("service_day"), F.col("__best.late").alias("deviation_s"))
+
+
+def deviation_report(rows: DataFrame, store: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Mean and median deviation by route, segment type and hour; from whole milliseconds,
-    so that sums are exact in any order."""
-    rows = rows.withColumn("__ms", F.round(F.col("deviation_s") * 1000).cast("long"))
-    g = rows.groupBy("route", "segment_type", hour().alias("hour"))
-    return g.agg(
-        F.count(F.lit(1)).alias("pings"), round_to(F.avg("__ms") / 1000, 1).alias("avg_deviation_s"), round_to(F.percentile("__ms", F.lit(0.5)) / 1000, 1).alias("median_deviation_s"),
-    ).orderBy("route", F.asc_nulls_last("segment_type"), "hour")
-
-
-def run_times(pings: DataFrame) -> DataFrame:
-    """Hops between consecutive pings of a vehicle on a trip that move it ahead:
-    vid, trip_id, route, from_pdist, to_pdist, seconds."""
-    line = Window.partitionBy("vid", "trip_id").orderBy("timestamp")
+    so that sums are exact in any order.  ``store`` writes and rereads what is used twice."""
+    keys = ["route", "segment_type", "hour"]
+    rows = rows.withColumn("ms", F.round(F.col("deviation_s") * 1000).cast("long")).withColumn("hour", hour())
+    counts = store(quantiles.counted(rows.select(*keys, "ms"), keys, "ms"))
+    means = counts.groupBy(*keys).agg(F.sum("n").alias("pings"), round_to(F.sum(F.col("ms") * F.col("n")).cast("double") / F.sum("n") / 1000, 1).alias("avg_deviation_s"))
+    middle = quantiles.select(counts, keys, "ms", 0.5).select(*[F.col(k).alias(f"m_{k}") for k in keys], round_to(F.col("quantile") / 1000, 1).alias("median_deviation_s"))
+    same = functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"m_{k}")) for k in keys])
+    return means.join(middle, same).select(*keys, "pings", "avg_deviation_s", "median_deviation_s").orderBy("route", F.asc_nulls_last("segment_type"), "hour")
+
+
+def _hops(pings: DataFrame, day: str) -> DataFrame:
+    """Pings on a trip, each with the one before on the same run: vehicle, trip and day."""
+    line = Window.partitionBy("vid", "trip_id", day).orderBy("timestamp", "pdist")
     rows = pings.filter("trip_id is not null and trip_id <> 'N/A' and pdist is not null")
     rows = rows.withColumn("from_pdist", F.lag("pdist").over(line)).withColumn("__from", F.lag("timestamp").over(line))
-    rows = rows.filter("pdist > from_pdist")
-    return rows.select("vid", "trip_id", "route", "from_pdist", F.col("pdist").alias("to_pdist"), F.timestamp_diff("SECOND", F.col("__from"), F.col("timestamp")).alias("seconds"))
+    return rows.filter("pdist > from_pdist")
+
+
+def run_times(pings: DataFrame, day: str = "event_date") -> DataFrame:
+    """Hops between consecutive pings of a run that move it ahead: vid, trip_id, route,
+    from_pdist, to_pdist, seconds.  A run ends with its day."""
+    seconds = F.timestamp_diff("SECOND", F.col("__from"), F.col("timestamp"))
+    return _hops(pings, day).select("vid", "trip_id", "route", "from_pdist", F.col("pdist").alias("to_pdist"), seconds.alias("seconds"))
+
+
+def crossings(pings: DataFrame, marks: list[int], day: str = "event_date") -> DataFrame:
+    """(vid, trip_id, day, route, mark, at_us): when a run first passed each of ``marks``
+    (distances along the pattern), in microseconds, by the straight line between the pings
+    before and behind it.  A hop may pass several marks."""
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    passed = F.filter(F.array(*[F.lit(m) for m in sorted(marks)]), lambda m: (F.col("from_pdist") < m) & (m <= F.col("pdist")))
+    rows = _hops(pings, day).withColumn("mark", F.explode(passed))
+    way = (F.col("mark") - F.col("from_pdist")) / (F.col("pdist") - F.col("from_pdist"))
+    at = us("__from") + F.round(way * (us("timestamp") - us("__from"))).cast("long")
+    return rows.groupBy("vid", "trip_id", F.col(day).alias("day"), "mark").agg(F.min(F.struct(at.alias("at"), "route")).alias("first")).select("vid", "trip_id", "day", "first.route", "mark", F.col("first.at").alias("at_us"))
+
+
+def segment_run_times(pings: DataFrame, marks: list[int], day: str = "event_date") -> DataFrame:
+    """Time between each two neighbouring ``marks`` that a run passed in order: vid,
+    trip_id, day, route, from_mark, to_mark, seconds (to the millisecond)."""
+    passes = crossings(pings, marks, day)
+    runs = passes.groupBy("vid", "trip_id", "day").agg(F.sort_array(F.collect_list(F.struct("mark", "at_us", "route"))).alias("at"))  # a mark once a run
+    follow = {a: b for a, b in zip(sorted(marks), sorted(marks)[1:])}
+    after = F.create_map(*[F.lit(x) for pair in follow.items() for x in pair])
+    pairs = F.zip_with(F.slice("at", 1, F.greatest(F.size("at") - 1, F.lit(0))), F.slice("at", 2, F.size("at")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    rows = runs.select("vid", "trip_id", "day", F.explode(pairs).alias("p")).filter((after[F.col("p.a.mark")] == F.col("p.b.mark")) & (F.col("p.b.at_us") > F.col("p.a.at_us")))
+    seconds = round_to((F.col("p.b.at_us") - F.col("p.a.at_us")) / 1e6, 3)
+    return rows.select("vid", "trip_id", "day", F.col("p.a.route").alias("route"), F.col("p.a.mark").alias("from_mark"), F.col("p.b.mark").alias("to_mark"), seconds.alias("seconds"))
+
+
+def unplaceable(stop_times: DataFrame) -> DataFrame:
+    """By trip, stops that `trip_lines` must leave out: without distance or time."""
+    gone = F.col("shape_dist_traveled").isNull() | F.col("arrival_s").isNull()
+    return stop_times.groupBy("trip_id").agg(F.count(F.lit(1)).alias("stops"), F.count_if(gone).alias("left_out")).filter("left_out > 0")

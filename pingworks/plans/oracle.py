@@ -147,10 +147,28 @@ ORACLES = {
     "deviation_report": f"""{_T}, {_PLACED} SELECT route, segment_type, CAST(extract(hour FROM timestamp) AS BIGINT) AS hour, count(*) AS pings, round(avg(ms) / 1000, 1) AS avg_deviation_s,
       round(quantile_cont(ms, 0.5) / 1000, 1) AS median_deviation_s FROM (SELECT *, CAST(round(deviation_s * 1000) AS BIGINT) AS ms FROM dev) GROUP BY ALL""",
     "run_times": f"""{_T}, h AS (SELECT *, lag(pdist) OVER w AS from_pdist, lag(timestamp) OVER w AS from_time FROM t WHERE trip_id IS NOT NULL AND trip_id <> 'N/A' AND pdist IS NOT NULL
-      WINDOW w AS (PARTITION BY vid, trip_id ORDER BY timestamp))
+      WINDOW w AS (PARTITION BY vid, trip_id, CAST(timestamp AS DATE) ORDER BY timestamp, pdist))
       SELECT vid, trip_id, route, from_pdist, pdist AS to_pdist, CAST(date_diff('microsecond', from_time, timestamp) // 1000000 AS BIGINT) AS seconds FROM h WHERE pdist > from_pdist""",
 }
 
+ORACLES["segment_run_times"] = f"""{_T}, h AS (SELECT *, CAST(timestamp AS DATE) AS day, lag(pdist) OVER w AS p0, lag(timestamp) OVER w AS t0 FROM t WHERE trip_id IS NOT NULL AND trip_id <> 'N/A' AND pdist IS NOT NULL
+  WINDOW w AS (PARTITION BY vid, trip_id, CAST(timestamp AS DATE) ORDER BY timestamp, pdist)),
+  c AS (SELECT vid, trip_id, day, mark, min(epoch_us(t0) + CAST(round(CAST(mark - p0 AS DOUBLE) / (pdist - p0) * (epoch_us(timestamp) - epoch_us(t0))) AS BIGINT)) AS at, min(route) AS route
+    FROM h JOIN (SELECT 50 * k AS mark FROM range(1, 100) AS r(k)) ON p0 < mark AND mark <= pdist WHERE pdist > p0 GROUP BY ALL)
+  SELECT a.vid, a.trip_id, a.day, a.route, CAST(a.mark AS INTEGER) AS from_mark, CAST(b.mark AS INTEGER) AS to_mark, round(CAST(b.at - a.at AS DOUBLE) / 1000000, 3) AS seconds
+  FROM c a JOIN c b ON a.vid = b.vid AND a.trip_id = b.trip_id AND a.day = b.day AND b.mark = a.mark + 50 AND b.at > a.at"""
+ORACLES["service_day_deviation"] = f"""{_T}, {_PLACED}, tries AS (
+    SELECT late.*, k, CAST(timestamp AS DATE) + CAST(k AS INTEGER) AS day, d - 86400 * k AS off FROM late CROSS JOIN (VALUES (-1), (0), (1)) AS r(k)
+  ), best AS (
+    SELECT *, row_number() OVER (PARTITION BY arrival_seq ORDER BY abs(off), k) AS rank FROM tries
+    WHERE day BETWEEN DATE '2024-01-01' AND DATE '2024-12-31' AND (CAST(trip_id[2:] AS BIGINT) % 5 <> 0 OR isodow(day) <= 5)
+  )
+  SELECT l.vid, l.timestamp, l.trip_id, b.day AS service_day, round(b.off, 3) AS deviation_s FROM late l LEFT JOIN best b ON l.arrival_seq = b.arrival_seq AND b.rank = 1"""
+ORACLES["service_days"] = """WITH n AS (SELECT count(DISTINCT user_id) AS trips, count(DISTINCT CASE WHEN user_id % 5 <> 0 THEN user_id END) AS daily FROM events),
+  d AS (SELECT CAST(unnest(range(DATE '2024-01-01', DATE '2025-01-01', INTERVAL 1 DAY)) AS DATE) AS day)
+  SELECT day, CASE WHEN isodow(day) <= 5 THEN trips ELSE daily END AS trips, 11 * CASE WHEN isodow(day) <= 5 THEN trips ELSE daily END AS stops, CAST(5000 * CASE WHEN isodow(day) <= 5 THEN trips ELSE daily END AS DOUBLE) AS length FROM d, n"""
+ORACLES["stop_distances"] = f"WITH {_STOPS} SELECT trip_id, stop_id, CAST(dist + CASE WHEN stop_sequence < 10 THEN 125 ELSE 0 END AS DOUBLE) AS dist FROM stops"
+
 
 def _as_json(name: str) -> str:
     clock = ", ".join(f"strftime({c}, '%Y-%m-%dT%H:%M:%S.%f') AS {c}" for c in {"summary": ("first_record", "last_record"), "daily": ("date",), "daily_routes": ("date",), "daily_segments": ("date",)}.get(name, ()))

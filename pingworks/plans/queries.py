@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pingworks import fixtures as events
-from pingworks.operators import audits, clean, dedup, gold, reports, schedule, segments
+from pingworks.operators import audits, clean, dedup, gold, reports, schedule, segments, shapes
 from pingworks.schemas import LATE_COLUMNS, PINGS
 from pingworks.sources import gtfs, tables
 
@@ -68,7 +68,7 @@ def tag_segments_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.tag_by_join(kept(spark, sf_dir).select(*PING_COLUMNS), segments.segments(spark))
 
 
-_stored: dict[tuple[str, str], str] = {}
+_stored: dict[tuple, str] = {}
 
 
 def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,12 +189,21 @@ def staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audits.staleness(events.stale_pings(spark, sf_dir))
 
 
+def schedule_files(spark: SparkSession, sf_dir: str, distances: bool = True) -> Callable[[str], DataFrame]:
+    """The files of the schedule of ``sf_dir`` by name: written as GTFS once a session,
+    loaded as a version and read back."""
+    key = (spark.sparkContext.applicationId, sf_dir, f"schedule-{distances}")
+    if key not in _stored:
+        feed, root = tables.scratch(spark, "gtfs"), tables.scratch(spark, "schedule")
+        events.write_schedule(spark, sf_dir, feed, distances=distances)
+        gtfs.load(spark, feed, root, "v1")
+        _stored[key] = root
+    return lambda file: gtfs.table(spark, _stored[key], file, "v1")
+
+
 def _stop_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The schedule of ``sf_dir``: GTFS files, loaded as a version and read back."""
-    feed, root = tables.scratch(spark, "gtfs"), tables.scratch(spark, "schedule")
-    events.write_schedule(spark, sf_dir, feed)
-    gtfs.load(spark, feed, root, "v1", ("trips", "stop_times"))
-    return gtfs.table(spark, root, "stop_times", "v1").join(gtfs.table(spark, root, "trips", "v1").select("trip_id", "route_id"), "trip_id")
+    of = schedule_files(spark, sf_dir)
+    return of("stop_times").join(of("trips").select("trip_id", "route_id"), "trip_id")
 
 
 def gtfs_stop_times(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,8 +224,46 @@ def schedule_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vid", "timestamp", "trip_id", F.round("scheduled_s", 3).alias("scheduled_s"), F.round("deviation_s", 3).alias("deviation_s"))
 
 
+def _cut(df: DataFrame, name: str) -> DataFrame:
+    path = tables.scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def deviation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return schedule.deviation_report(schedule.deviation(_placed(spark, sf_dir)))
+    return schedule.deviation_report(schedule.deviation(_placed(spark, sf_dir)), lambda df: _cut(df, "deviations"))
+
+
+def service_day_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pings on trips by the calendar: the day whose service they ran, and how late."""
+    of = schedule_files(spark, sf_dir)
+    rows = schedule.on_service_day(_placed(spark, sf_dir), gtfs.services(of("trips"), of("calendar")))
+    return rows.select("vid", "timestamp", "trip_id", "service_day", F.round("deviation_s", 3).alias("deviation_s"))
+
+
+def service_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By day, how many trips run, with their routes and shapes: all six files."""
+    of = schedule_files(spark, sf_dir)
+    trips = of("trips").join(of("routes").select("route_id"), "route_id").join(of("shapes").groupBy("shape_id").agg(F.max("shape_dist_traveled").alias("length")), "shape_id")
+    stops = of("stop_times").join(of("stops").select("stop_id"), "stop_id").groupBy("trip_id").agg(F.count(F.lit(1)).alias("stops"))
+    per_service = trips.join(stops, "trip_id").groupBy("service_id").agg(F.count(F.lit(1)).alias("trips"), F.sum("stops").alias("stops"), F.sum("length").alias("length"))
+    rows = gtfs.service_days(of("calendar")).join(per_service, "service_id")
+    return rows.groupBy("day").agg(F.sum("trips").alias("trips"), F.sum("stops").alias("stops"), F.sum("length").alias("length"))
+
+
+def stop_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A schedule without distances: stops placed on their trips' shapes."""
+    of = schedule_files(spark, sf_dir, distances=False)
+    rows = shapes.fill_distances(of("stop_times"), of("trips"), of("stops"), of("shapes"))
+    return rows.select("trip_id", "stop_id", F.round("shape_dist_traveled", 2).alias("dist"))
+
+
+#: Distances along a pattern between which run times are taken.
+MARKS = list(range(50, 5000, 50))
+
+
+def segment_run_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schedule.segment_run_times(stored(spark, sf_dir), MARKS)
 
 
 def run_times(spark: SparkSession, sf_dir: str) -> DataFrame:

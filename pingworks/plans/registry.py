@@ -44,4 +44,8 @@ QUERIES = {
     "schedule_deviation": Q.schedule_deviation,
     "deviation_report": Q.deviation_report,
     "run_times": Q.run_times,
+    "segment_run_times": Q.segment_run_times,
+    "service_day_deviation": Q.service_day_deviation,
+    "service_days": Q.service_days,
+    "stop_distances": Q.stop_distances,
 }

@@ -38,3 +38,35 @@ def load(spark: SparkSession, folder: str, root: str, version: str, files: tuple
 
 def table(spark: SparkSession, root: str, file: str, version: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{file}").filter(F.col("version").cast("string") == version).drop("version")
+
+
+DAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
+
+
+def _day(text: Column) -> Column:
+    return F.to_date(F.try_to_timestamp(text, F.lit("yyyyMMdd")))
+
+
+def services(trips: DataFrame, calendar: DataFrame) -> DataFrame:
+    """(trip_id, service_id, first_day, last_day, weekdays): when each trip runs; bit k of
+    weekdays is the day k after Monday.  Trips whose service has no calendar have nulls."""
+    bits = sum((F.coalesce(F.col(d), F.lit(0)) * (1 << k) for k, d in enumerate(DAYS)), F.lit(0))
+    c = calendar.select(F.col("service_id").alias("c_service"), _day(F.col("start_date")).alias("first_day"), _day(F.col("end_date")).alias("last_day"), bits.alias("weekdays"))
+    return trips.join(c, F.col("service_id") == F.col("c_service"), "left").select("trip_id", "service_id", "first_day", "last_day", "weekdays")
+
+
+def service_days(calendar: DataFrame) -> DataFrame:
+    """(service_id, day): every day on which a service runs."""
+    first, last = _day(F.col("start_date")), _day(F.col("end_date"))
+    rows = calendar.filter(first <= last).select("service_id", *DAYS, F.explode(F.sequence(first, last)).alias("day"))
+    runs = F.element_at(F.array(*DAYS), F.weekday("day") + 1) == 1
+    return rows.filter(runs).select("service_id", "day")
+
+
+def changes(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
+    """(key, change): rows added, removed or changed between two versions of a file."""
+    rest = [c for c in old.columns if c not in key]
+    mark = lambda df, v: df.select(*key, F.struct(*[F.col(c) for c in rest]).alias("row") if rest else F.lit(0).alias("row"), F.lit(v).alias("v"))
+    both = mark(old, 0).unionByName(mark(new, 1)).groupBy(*key).agg(F.max(F.when(F.col("v") == 0, F.col("row"))).alias("a"), F.max(F.when(F.col("v") == 1, F.col("row"))).alias("b"))
+    what = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.col("a") != F.col("b"), "changed")
+    return both.select(*key, what.alias("change")).filter("change is not null")
