@@ -15,7 +15,11 @@ def trailing_days(t: DataFrame, days: int = 7, as_of: Column | None = None) -> D
     table's newest timestamp, as a scalar subquery.  Where the table is
     partitioned by event_date, whole older days are pruned as well."""
     if as_of is None:
-        as_of = t.agg(F.max("timestamp")).scalar()
+        newest = t
+        if "event_date" in t.columns:
+            # the newest day alone holds it; which that is, the folders' names say
+            newest = t.filter(F.col("event_date") == t.agg(F.max("event_date")).scalar())
+        as_of = newest.agg(F.max("timestamp")).scalar()
     since = as_of - F.expr(f"INTERVAL {days} DAYS")
     rows = t.filter(F.col("timestamp") >= since)
     if "event_date" in t.columns:
@@ -61,14 +65,12 @@ def null_segment_clusters(t: DataFrame, top: int = 25, as_of: Column | None = No
 
 
 def feed_gaps(feed: DataFrame, at: str = "ts", least_s: int = 300) -> DataFrame:
-    """Silences of ``least_s`` seconds or more.  Each hour is a window of its own; what
-    came last before an hour is found over one row an hour that has messages."""
-    hour = F.date_trunc("hour", F.col(at))
-    hours = feed.groupBy(hour.alias("hour")).agg(F.max(at).alias("last"))
-    hours = hours.select("hour", F.lag("last").over(Window.orderBy("hour")).alias("before_hour"))
-    rows = feed.select(hour.alias("hour"), F.col(at).alias("gap_end"))
-    rows = rows.withColumn("previous", F.lag("gap_end").over(Window.partitionBy("hour").orderBy("gap_end"))).join(hours, "hour")
-    rows = rows.withColumn("gap_start", F.coalesce("previous", "before_hour"))
+    """Silences of ``least_s`` seconds or more.  Time is cut into stretches of that length:
+    no such silence lies within one, so the first and last message of each are enough, and
+    what is ordered in one task is one row a stretch, not the messages."""
+    since = F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(at))
+    ends = feed.filter(F.col(at).isNotNull()).groupBy(F.floor(since / least_s).alias("stretch")).agg(F.min(at).alias("gap_end"), F.max(at).alias("last"))
+    rows = ends.withColumn("gap_start", F.lag("last").over(Window.orderBy("stretch")))
     rows = rows.withColumn("gap_seconds", F.timestamp_diff("SECOND", F.col("gap_start"), F.col("gap_end")))
     return rows.filter(F.col("gap_seconds") >= least_s).select("gap_start", "gap_end", "gap_seconds")
 

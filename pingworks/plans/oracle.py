@@ -178,3 +178,4 @@ def _as_json(name: str) -> str:
 ORACLES["reports_json"] = " UNION ALL ".join(_as_json(n) for n in ("summary", "segment_types", "segments", "routes", "hourly", "daily", "daily_routes", "daily_segments"))
 ORACLES["gold_reports"] = ORACLES["reports_json"]
 ORACLES["backfill_twice"] = ORACLES["ingest_table"]
+ORACLES["tag_segments_cells"] = ORACLES["tag_segments"]

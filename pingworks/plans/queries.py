@@ -64,6 +64,10 @@ def tag_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagged(spark, sf_dir).select(*PING_COLUMNS, "segment_id", "segment_name", "segment_type")
 
 
+def tag_segments_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.tag_by_cells(kept(spark, sf_dir).select(*PING_COLUMNS), segments.segments(spark))
+
+
 def tag_segments_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.tag_by_join(kept(spark, sf_dir).select(*PING_COLUMNS), segments.segments(spark))
 
@@ -73,8 +77,9 @@ _stored: dict[tuple, str] = {}
 
 def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ping table of ``sf_dir`` as ingest leaves it, in day folders.  The first report
-    of a session that asks for it runs the ingest; all read the stored table."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    of a session that asks for it runs the ingest; all read the stored table, until the
+    input's files change."""
+    key = _input(spark, sf_dir)
     if key not in _stored:
         path = tables.scratch(spark, "transit")
         tables.append_path(transit(spark, sf_dir), path)
@@ -82,6 +87,14 @@ def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_path(spark, _stored[key])
 
 
+def _input(spark: SparkSession, sf_dir: str, *more: str) -> tuple:
+    """What a stored table depends on: the session and the input's files as they are."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path)
+    at = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime()
+    return (spark.sparkContext.applicationId, sf_dir, found.getLength(), found.getFileCount(), at, *more)
+
+
 def on_table(report: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: report(stored(spark, sf_dir))
 
@@ -96,7 +109,7 @@ def ingest_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixed_vs_dedicated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over raw files: every file below the table's folder, scanned recursively."""
     stored(spark, sf_dir)
-    return reports.mixed_vs_dedicated(tables.read_recursive(spark, _stored[(spark.sparkContext.applicationId, sf_dir)]))
+    return reports.mixed_vs_dedicated(tables.read_recursive(spark, _stored[_input(spark, sf_dir)]))
 
 
 def _filled(t: DataFrame) -> DataFrame:
@@ -192,7 +205,7 @@ def staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
 def schedule_files(spark: SparkSession, sf_dir: str, distances: bool = True) -> Callable[[str], DataFrame]:
     """The files of the schedule of ``sf_dir`` by name: written as GTFS once a session,
     loaded as a version and read back."""
-    key = (spark.sparkContext.applicationId, sf_dir, f"schedule-{distances}")
+    key = _input(spark, sf_dir, f"schedule-{distances}")
     if key not in _stored:
         feed, root = tables.scratch(spark, "gtfs"), tables.scratch(spark, "schedule")
         events.write_schedule(spark, sf_dir, feed, distances=distances)

@@ -13,6 +13,7 @@ QUERIES = {
     "dedup_incremental": Q.dedup_incremental,
     "tag_segments": Q.tag_segments,
     "tag_segments_join": Q.tag_segments_join,
+    "tag_segments_cells": Q.tag_segments_cells,
     **{name: Q.on_table(report) for name, report in reports.ALL.items()},
     "daily_routes_one": Q.on_table(lambda t: reports.daily_routes(t, "12")),
     "mixed_vs_dedicated": Q.mixed_vs_dedicated,

@@ -80,7 +80,34 @@ def test_first_box_wins_on_shared_edges(spark):
     segs = segments.segments(spark)
     a = {r.arrival_seq: r.segment_id for r in segments.tag(df, segs).collect()}
     b = {r.arrival_seq: r.segment_id for r in segments.tag_by_join(df, segs).collect()}
-    assert a == b == {1: 1, 2: None, 3: None, 4: 4, 5: None}
+    c = {r.arrival_seq: r.segment_id for r in segments.tag_by_cells(df, segs).collect()}
+    assert a == b == c == {1: 1, 2: None, 3: None, 4: 4, 5: None}
+    twice = df.unionByName(df).drop("arrival_seq")
+    assert segments.tag_by_join(twice, segs).count() == 10  # equal pings stay apart
+
+
+def test_many_boxes_go_by_cells(spark):
+    rng = random.Random(6)
+    boxes = []
+    for i in range(30_000):
+        y, x = rng.uniform(-1, 1), rng.uniform(-1, 1)
+        boxes.append((i, rng.choice("AB"), f"n{i}", "t", y, y + rng.uniform(0, 0.03), x, x + rng.uniform(0, 0.03), 30_000 - i))
+    segs = spark.createDataFrame(boxes, segments.SEGMENTS)
+    pings = [(k, rng.choice(["A", "B", "C", None]), rng.uniform(-1.1, 1.1), rng.uniform(-1.1, 1.1)) for k in range(300)]
+    pings += [(1000 + k, boxes[k][1], boxes[k][4], boxes[k][7]) for k in range(50)]  # on borders
+    df = spark.createDataFrame(pings, "k long, route string, lat double, lon double")
+    want = {k: min(((b[8], b[0]) for b in boxes if b[1] == r and b[4] <= y <= b[5] and b[6] <= x <= b[7]), default=(0, None))[1] for k, r, y, x in pings}
+    out = segments.tag(df, segs)
+    assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r.k: r.segment_id for r in out.collect()} == want
+
+
+def test_gaps_against_every_pair(spark):
+    rng = random.Random(9)
+    at = sorted(1_700_000_000 + rng.choice([rng.randrange(3_000), 3_000 + rng.randrange(40) * 300]) for _ in range(80))
+    df = spark.createDataFrame([(x,) for x in at] + [(None,)], "s long").select(F.timestamp_seconds("s").cast("timestamp_ntz").alias("ts"))
+    got = sorted(r.gap_seconds for r in audits.feed_gaps(df).collect())
+    assert got == sorted(b - a for a, b in zip(at, at[1:]) if b - a >= 300)
 
 
 def test_distinct_pings_count_nulls(spark):

@@ -110,3 +110,29 @@ def test_batches_enter_once_and_merge_safely(spark, tmp_path):
     assert versions.sweep(spark, root) == []
     gone = versions.sweep(spark, root, older_s=-60)  # 6 batches and the merge that broke off
     assert len(gone) == 7 and len(rows()) == 80
+
+
+def test_silence_raises_an_alarm_and_ends(spark, tmp_path):
+    import time
+
+    from pingworks.streaming import silence
+
+    rows = events.messages(spark, SMALL).orderBy("message_no").limit(6).collect()
+    _land(rows[:3], f"{tmp_path}/l", "a.json", 1_700_000_000)
+    out = silence.alarms(ingest.read_landing(spark, f"{tmp_path}/l"), least_s=3)
+    q = out.writeStream.format("memory").queryName("alarms").option("checkpointLocation", f"{tmp_path}/c").trigger(processingTime="500 milliseconds").start()
+    try:
+        def wait(n):
+            end = time.time() + 60
+            while spark.table("alarms").count() < n and time.time() < end:
+                assert q.exception() is None
+                time.sleep(0.5)
+            return spark.table("alarms").collect()
+
+        assert [r.feed for r in wait(1)] == ["vehicles"]
+        _land(rows[3:], f"{tmp_path}/l", "b.json", 1_700_000_001)
+        got = wait(2)
+        assert len(got) == 2 and all(r.silent_s >= 3 for r in got)
+        assert str(max(r.last_received for r in got)) == str(max(r.received_at for r in rows))
+    finally:
+        q.stop()
