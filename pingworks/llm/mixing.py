@@ -16,7 +16,9 @@ over hash buckets of some thousand documents, so no leaf is ever sorted in one t
 
 Defined cases: null domain, language or source is the name "" of its level; a null text
 has no tokens and is taken while its turn comes before the budget ends; repeated rows
-are documents of their own, ordered by their token count where the seeded order ties;
+are documents of their own; where the seeded order, by doc_id, ties, token count and then
+the text's hash decide; rows without doc_id are ordered, and dealt to buckets, by the hash
+of their text; very long texts count whole (tested at 1 MB);
 a weight that is absent is ``default_weight``, weight 0 gives nothing and leaves its part
 to its siblings, then to other families; other columns
 pass through (helpers carry a ``__m_`` prefix); an empty table gives an empty table."""
@@ -117,8 +119,10 @@ def select(docs: DataFrame, mix: Mix = Mix(), tokens: Column | None = None, doma
     taken.  ``docs`` needs doc_id, text, lang and source."""
     names = docs.columns
     work = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__m_row"), *[c for c in ("doc_id", "text", "lang", "source")])
+    body = F.xxhash64(F.coalesce("text", F.lit("")))
+    salt = F.when(F.col("doc_id").isNull(), F.hex(body)).otherwise(F.lit(""))
     work = work.select(
-        "__m_row", "doc_id",
+        "__m_row", "doc_id", salt.alias("__m_salt"), body.alias("__m_body"),
         F.coalesce(domain_of(F.col("source")) if domain is None else domain, F.lit("")).alias("domain"),
         F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"),
         (count_words() if tokens is None else tokens).alias("tokens"),
@@ -130,7 +134,7 @@ def select(docs: DataFrame, mix: Mix = Mix(), tokens: Column | None = None, doma
     def placed(rows: DataFrame) -> DataFrame:
         """Each document's key in the epoch that its leaf cuts, and the key's bucket."""
         out = rows.join(plan.select(*leaf, "epochs", "rest", "docs"), leaf)
-        key = F.md5(F.concat_ws("|", F.lit(mix.seed), F.col("epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+        key = F.md5(F.concat_ws("|", F.lit(mix.seed), F.col("epochs").cast("string"), F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("__m_salt"))).cast("binary"))
         out = out.withColumn("__m_key", key)
         n = F.floor((F.col("docs") + mix.bucket_docs - 1) / mix.bucket_docs)
         at = F.conv(F.substring("__m_key", 1, 8), 16, 10).cast("long")
@@ -145,7 +149,7 @@ def select(docs: DataFrame, mix: Mix = Mix(), tokens: Column | None = None, doma
     epoch = lambda last: F.explode(F.sequence(F.lit(0), last))
     inside = rows.withColumn("__m_last", F.col("epochs") - F.when(F.col("__m_in") == 2, 0).otherwise(1)).filter("__m_last >= 0")
     inside = inside.select("__m_row", *leaf, "tokens", epoch(F.col("__m_last")).alias("epoch"))
-    run = Window.partitionBy(*leaf).orderBy("__m_key", "tokens").rowsBetween(Window.unboundedPreceding, 0)
+    run = Window.partitionBy(*leaf).orderBy("__m_key", "tokens", "__m_body").rowsBetween(Window.unboundedPreceding, 0)
     edge = rows.filter("__m_in = 1").withColumn("__m_sum", F.sum("tokens").over(run) + F.col("__m_before")).filter("__m_sum <= rest")
     edge = edge.select("__m_row", *leaf, "tokens", F.col("epochs").alias("epoch"))
     both = inside.unionByName(edge)

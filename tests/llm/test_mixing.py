@@ -62,3 +62,15 @@ def test_weight_0_has_no_capacity(spark):
     mix = Mix(domain={"web": 50, "books": 50}, lang={"en": 50, "de": 0}, source={"none": 0}, share_pct=20, max_epochs=1)
     got = {(r.domain, r.lang): r.budget for r in mixing.budgets(df, mix).collect()}
     assert got == {("web", "en"): 600, ("web", "de"): 0, ("books", "en"): 0}
+
+
+def test_rows_without_ids_are_dealt_by_their_texts(spark):
+    """10,000 of them in one leaf, with ties and one very long text: the same choice
+    whatever the buckets and the order of the input, in many buckets."""
+    rows = [(None, f"t{i} " * (i % 5 + 1), "en", "src0") for i in range(10_000)] + [(7, "a b", "en", "src0"), (7, "c d", "en", "src0"), (None, "x " * 500_000, "en", "src0")]
+    picks = []
+    for size, order in ((200, 1), (5000, -1)):
+        df = spark.createDataFrame(rows[::order], SCHEMA)
+        mix = Mix(share_pct=30, bucket_docs=size, max_epochs=1)
+        picks.append(sorted(hash(r.text) for r in mixing.select(df, mix).collect()))
+    assert picks[0] == picks[1] and len(set(picks[0])) == len(picks[0]) > 1000
