@@ -7,7 +7,8 @@ Shards and rows ascend with doc_id.  The place of a document's first id among al
 comes from one number a row.
 
 Defined cases: null and empty texts are the end id alone; null doc_ids come first and
-are read back as null; repeated rows are documents of their own, side by side; a long
+are read back as null; rows of one doc_id go by their text; repeated rows are documents of
+their own, side by side; a long
 document fills a row of its own; other columns are left behind; an empty table gives
 files without rows and an empty result."""
 
@@ -24,16 +25,19 @@ from pyspark.sql import functions as F
 
 from pingworks.llm.encode import Encoder
 from pingworks.llm.idfile import read_file, write_file
-from pingworks.llm.shared import new_path
+from pingworks.llm.shared import new_path, parts_for
 
 END_ID = 1
 ROW_IDS = 4 << 20
+#: What a document is taken to hold when tasks are dealt out; it decides nothing else.
+MEAN_BYTES = 4096
 ROWS = "shard long, row long, n_ids long, file binary"
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, text: str = "text") -> None:
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # tasks stream: a larger one only spills more
-    line = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    # from the number of rows alone, which costs no reading; tasks stream, so they may be large
+    parts = parts_for(docs.agg(F.count(F.lit(1)) * MEAN_BYTES), 1 << 30)
+    line = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard, row = Encoder.of(tokenizer), TaskContext.get().partitionId(), 0
