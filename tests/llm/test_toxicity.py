@@ -6,7 +6,6 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import pytest
 
 from pingworks.llm import toxicity
 
@@ -148,5 +147,6 @@ def test_long_texts_do_not_empty_a_class(spark):
     truth = dict(labels)
     pos, neg = [r.score for r in held if truth[r.doc_id]], [r.score for r in held if not truth[r.doc_id]]
     assert np.mean([p > n for p in pos for n in neg]) > 0.9
-    with pytest.raises(ValueError, match="toxic = 1"):
-        toxicity.train(both, spark.createDataFrame([(i, 0) for i, _ in rows] + [(i, 1) for i in ids if i % 3], "doc_id long, toxic int"), bounds)
+    # a class of giants alone: the shortest of them speaks for it
+    giants = toxicity.train(both, spark.createDataFrame([(i, 0) for i, _ in rows] + [(i, 1) for i in ids if i % 3], "doc_id long, toxic int"), bounds)
+    assert giants.trained
