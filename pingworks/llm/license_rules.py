@@ -17,7 +17,7 @@ mit ~ 1 ~ 0.95 ~ opensource ~ opensource\.org/licenses?/mit(?![\w-]) ~ https://o
 mit-0 ~ 1 ~ 0.95 ~ mit ~ mit-0(?![\w.-]*\w) ~ License: MIT-0
 mit-feh ~ 2 ~ 0.8 ~ acknowledgment ~ acknowledgment\s+shall\s+be\s+given\s+in\s+the\s+documentation,?\s+materials\s+and\s+software\s+packages ~ acknowledgment shall be given in the documentation, materials and software packages
 x11 ~ 2 ~ 0.8 ~ consortium ~ the\s+name\s+of\s+the\s+x\s+consortium\s+shall\s+not\s+be\s+used\s+in\s+advertising ~ Except as contained in this notice, the name of the X Consortium shall not be used in advertising
-x11 ~ 3 ~ 0.6 ~ advertising ~ except\s+as\s+contained\s+in\s+this\s+notice,\s+the\s+names?\s+of\s+.{1,80}shall\s+not\s+be\s+used\s+in\s+advertising ~ Except as contained in this notice, the name of the author shall not be used in advertising
+x11 ~ 3 ~ 0.6 ~ advertising ~ except\s+as\s+contained\s+in\s+this\s+notice,\s+the\s+names?\s+of\s+[\s\S]{1,100}?shall\s+not\s+be\s+used\s+in\s+advertising ~ Except as contained in this notice, the name of the author shall not be used in advertising
 apache-2.0 ~ 1 ~ 1.0 ~ apache ~ (?:www\.)?apache\.org/licenses/license-2\.0 ~ http://www.apache.org/licenses/LICENSE-2.0
 apache-1.1 ~ 1 ~ 1.0 ~ apache ~ (?:www\.)?apache\.org/licenses/license-1\.1 ~ http://www.apache.org/licenses/LICENSE-1.1
 apache-2.0 ~ 1 ~ 0.95 ~ apache ~ apache\s+licen[cs]e\s*\n?\s*version\s+2\.0,\s+january\s+2004 ~ Apache License
@@ -56,7 +56,7 @@ gpl-classpath-exception ~ 1 ~ 0.9 ~ classpath,statically ~ classpath[- ]exceptio
 gpl-gcc-exception ~ 1 ~ 0.9 ~ gcc ~ gcc\s+runtime\s+library\s+exception|gcc-exception-\d ~ GCC Runtime Library Exception
 gpl-bison-exception ~ 1 ~ 0.9 ~ bison ~ as\s+a\s+special\s+exception,\s+you\s+may\s+create\s+a\s+larger\s+work\s+that\s+contains\s+part\s+or\s+all\s+of\s+the\s+bison ~ As a special exception, you may create a larger work that contains part or all of the Bison parser skeleton
 llvm-exception ~ 1 ~ 0.9 ~ llvm ~ (?:with\s+)?llvm[- ]exceptions? ~ Apache-2.0 WITH LLVM-exception
-bsd-3-clause ~ 1 ~ 0.9 ~ endorse ~ neither\s+the\s+names?\s+of\s+.{1,120}\s+may\s+be\s+used\s+to\s+endorse\s+or\s+promote\s+products ~ Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+bsd-3-clause ~ 1 ~ 0.9 ~ endorse ~ neither\s+the\s+names?\s+of\s+[\s\S]{1,160}?\s+may\s+be\s+used\s+to\s+endorse\s+or\s+promote\s+products ~ Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
 bsd-3-clause ~ 1 ~ 0.85 ~ endorse ~ the\s+names?\s+of\s+the\s+author[s()]*\s+may\s+not\s+be\s+used\s+to\s+endorse\s+or\s+promote ~ The name of the author may not be used to endorse or promote products
 bsd-4-clause ~ 1 ~ 0.9 ~ advertising ~ all\s+advertising\s+materials\s+mentioning\s+features\s+or\s+use\s+of\s+this\s+software\s+must\s+display ~ All advertising materials mentioning features or use of this software must display the following acknowledgement
 bsd ~ 2 ~ 0.75 ~ redistributions ~ redistributions\s+of\s+source\s+code\s+must\s+retain\s+the\s+above\s+copyright\s+notice ~ Redistributions of source code must retain the above copyright notice
@@ -152,7 +152,7 @@ sspl-1 ~ 2 ~ 0.85 ~ sspl ~ (?<![\w.-])sspl[- ]?v?1(?:\.0)?(?![\w.-]*\w) ~ SSPL-1
 busl-1.1 ~ 2 ~ 0.85 ~ busl ~ (?<![\w.-])busl[- ]?1\.1(?![\w.-]*\w) ~ BUSL-1.1
 busl-1.1 ~ 2 ~ 0.8 ~ change,grant ~ additional\s+use\s+grant:|change\s+license:|change\s+date: ~ Change Date: 2028-01-01
 elastic-2.0 ~ 2 ~ 0.85 ~ elastic ~ elastic\.co/licensing/elastic-license|(?<![\w.-])elastic-2\.0(?![\w.-]*\w) ~ https://www.elastic.co/licensing/elastic-license
-commons-clause ~ 1 ~ 0.9 ~ commons,limiting ~ .?commons\s+clause.?\s+licen[cs]e\s+condition|without\s+limiting\s+other\s+conditions.{1,80}does\s+not\s+include.{1,60}right\s+to\s+sell ~ "Commons Clause" License Condition v1.0
+commons-clause ~ 1 ~ 0.9 ~ commons,limiting ~ .?commons\s+clause.?\s+licen[cs]e\s+condition|without\s+limiting\s+other\s+conditions[\s\S]{1,100}?does\s+not\s+include.{1,60}right\s+to\s+sell ~ "Commons Clause" License Condition v1.0
 polyform-noncommercial ~ 1 ~ 0.9 ~ polyform ~ polyform\s+noncommercial\s+licen[cs]e|polyform-noncommercial ~ PolyForm Noncommercial License 1.0.0
 polyform-shield ~ 1 ~ 0.9 ~ polyform ~ polyform\s+shield\s+licen[cs]e|polyform-shield ~ PolyForm Shield License 1.0.0
 fsl ~ 1 ~ 0.85 ~ functional ~ functional\s+source\s+licen[cs]e ~ Functional Source License, Version 1.1
@@ -179,6 +179,61 @@ proprietary ~ 3 ~ 0.6 ~ secret ~ (?:contains|constitutes?)\s+(?:the\s+)?(?:confi
 no-license ~ 3 ~ 0.5 ~ licen ~ no\s+licen[cs]e\s+(?:is\s+)?(?:granted|expressed|implied) ~ No license is granted
 dual-license ~ 3 ~ 0.5 ~ dual ~ dual[- ]licen[cs]ed ~ This crate is dual-licensed
 mit ~ 2 ~ 0.85 ~ mit ~ (?<![\w.-])mit\s+(?:or|and)\s+[a-z]+-?\d|[a-z0-9.]+(?:-only|-or-later)?\s+(?:or|and)\s+mit(?![\w.-]*\w) ~ Apache-2.0 OR MIT
+gpl ~ 3 ~ 0.6 ~ verbatim ~ everyone\s+is\s+permitted\s+to\s+copy\s+and\s+distribute\s+verbatim\s+copies\s+of\s+this\s+license\s+document ~ Everyone is permitted to copy and distribute verbatim copies of this license document
+gpl ~ 3 ~ 0.65 ~ received ~ you\s+should\s+have\s+received\s+a\s+copy\s+of\s+the\s+gnu\s+general\s+public\s+licen[cs]e ~ You should have received a copy of the GNU General Public License
+lgpl ~ 2 ~ 0.75 ~ received ~ you\s+should\s+have\s+received\s+a\s+copy\s+of\s+the\s+gnu\s+(?:lesser|library)\s+general\s+public\s+licen[cs]e ~ You should have received a copy of the GNU Lesser General Public License
+agpl ~ 2 ~ 0.75 ~ received ~ you\s+should\s+have\s+received\s+a\s+copy\s+of\s+the\s+gnu\s+affero\s+general\s+public\s+licen[cs]e ~ You should have received a copy of the GNU Affero General Public License
+lgpl-2 ~ 1 ~ 0.95 ~ library ~ gnu\s+library\s+general\s+public\s+licen[cs]e\s+as\s+published\s+by\s+the\s+free\s+software\s+foundation[;,]\s+(?:either\s+)?version\s+2(?!\.) ~ GNU Library General Public License as published by the Free Software Foundation; either version 2
+gpl-2 ~ 1 ~ 0.9 ~ version ~ version\s+2\s+of\s+the\s+(?:gnu\s+general\s+public\s+)?licen[cs]e,\s+or\s+\(at\s+your\s+option\)\s+any\s+later\s+version ~ either version 2 of the License, or (at your option) any later version
+gpl-3 ~ 1 ~ 0.9 ~ version ~ version\s+3\s+of\s+the\s+gnu\s+general\s+public\s+licen[cs]e ~ under the terms of version 3 of the GNU General Public License
+lgpl-3 ~ 1 ~ 0.9 ~ version ~ version\s+3\s+of\s+the\s+gnu\s+lesser\s+general\s+public\s+licen[cs]e ~ under version 3 of the GNU Lesser General Public License
+lgpl-2.1 ~ 1 ~ 0.9 ~ version ~ version\s+2\.1\s+of\s+the\s+(?:gnu\s+lesser\s+general\s+public\s+)?licen[cs]e ~ either version 2.1 of the License, or (at your option) any later version
+agpl-3 ~ 1 ~ 0.9 ~ version ~ version\s+3\s+of\s+the\s+gnu\s+affero\s+general\s+public\s+licen[cs]e ~ under version 3 of the GNU Affero General Public License
+gfdl ~ 2 ~ 0.85 ~ documentation ~ permission\s+is\s+granted\s+to\s+copy,\s+distribute\s+and/or\s+modify\s+this\s+document\s+under\s+the\s+terms\s+of\s+the\s+gnu\s+free\s+documentation\s+licen[cs]e ~ Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License
+apache-2.0 ~ 2 ~ 0.8 ~ governing ~ see\s+the\s+license\s+for\s+the\s+specific\s+language\s+governing\s+permissions\s+and\s+limitations ~ See the License for the specific language governing permissions and limitations under the License
+apache-2.0 ~ 2 ~ 0.8 ~ applicable ~ unless\s+required\s+by\s+applicable\s+law\s+or\s+agreed\s+to\s+in\s+writing,\s+software\s+distributed\s+under\s+the\s+license ~ Unless required by applicable law or agreed to in writing, software distributed under the License
+bsd ~ 3 ~ 0.7 ~ redistributions ~ redistributions\s+of\s+source\s+code\s+must\s+retain\s+the\s+(?:above\s+)?copyright\s+notice ~ Redistributions of source code must retain the above copyright notice
+bsd ~ 3 ~ 0.7 ~ redistributions ~ redistributions\s+in\s+binary\s+form\s+must\s+reproduce\s+the\s+(?:above\s+)?copyright\s+notice ~ Redistributions in binary form must reproduce the above copyright notice
+epl-2.0 ~ 1 ~ 0.95 ~ eclipse ~ made\s+available\s+under\s+the\s+terms\s+of\s+the\s+eclipse\s+public\s+licen[cs]e\s+v?\.?\s*2\.0 ~ This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0
+epl-1.0 ~ 1 ~ 0.95 ~ eclipse ~ made\s+available\s+under\s+the\s+terms\s+of\s+the\s+eclipse\s+public\s+licen[cs]e\s+v?\.?\s*1\.0 ~ made available under the terms of the Eclipse Public License v1.0
+cddl ~ 2 ~ 0.85 ~ contents ~ contents\s+of\s+this\s+file\s+are\s+subject\s+to\s+the\s+terms\s+of\s+the\s+common\s+development\s+and\s+distribution\s+licen[cs]e ~ The contents of this file are subject to the terms of the Common Development and Distribution License
+apsl-2.0 ~ 1 ~ 0.95 ~ apple ~ subject\s+to\s+the\s+apple\s+public\s+source\s+licen[cs]e\s+version\s+2\.0 ~ that are subject to the Apple Public Source License Version 2.0
+isc ~ 1 ~ 0.95 ~ hereby ~ permission\s+to\s+use,\s+copy,\s+modify,\s+and(?:/or)?\s+distribute\s+this\s+software\s+for\s+any\s+purpose\s+with\s+or\s+without\s+fee\s+is\s+hereby\s+granted ~ Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted
+postgresql ~ 1 ~ 0.95 ~ agreement ~ for\s+any\s+purpose,\s+without\s+fee,\s+and\s+without\s+a\s+written\s+agreement\s+is\s+hereby\s+granted ~ for any purpose, without fee, and without a written agreement is hereby granted
+w3c ~ 2 ~ 0.8 ~ licensee ~ by\s+(?:obtaining|using)[,\s]+(?:using\s+)?and/or\s+copying\s+this\s+work,\s+you\s+\(the\s+licensee\)\s+agree ~ By obtaining, using and/or copying this work, you (the licensee) agree
+unicode ~ 1 ~ 0.9 ~ hereby ~ hereby\s+granted,\s+free\s+of\s+charge,\s+to\s+any\s+person\s+obtaining\s+a\s+copy\s+of\s+(?:the\s+)?(?:unicode\s+)?data\s+files\s+and\s+any\s+associated\s+documentation ~ Permission is hereby granted, free of charge, to any person obtaining a copy of the Unicode data files and any associated documentation
+cc0-1.0 ~ 1 ~ 0.9 ~ waived ~ has\s+waived\s+all\s+copyright\s+and\s+related\s+or\s+neighbou?ring\s+rights ~ has waived all copyright and related or neighboring rights
+php-3.01 ~ 2 ~ 0.8 ~ php ~ this\s+product\s+includes\s+php\s+software ~ This product includes PHP software
+sendmail ~ 1 ~ 0.9 ~ sendmail ~ sendmail\s+licen[cs]e ~ the Sendmail License
+smlnj ~ 1 ~ 0.9 ~ jersey ~ standard\s+ml\s+of\s+new\s+jersey\s+copyright\s+notice ~ Standard ML of New Jersey Copyright Notice, License and Disclaimer
+watcom-1.0 ~ 1 ~ 0.9 ~ watcom ~ (?:sybase\s+)?open\s+watcom\s+public\s+licen[cs]e ~ Sybase Open Watcom Public License
+lpl-1.02 ~ 1 ~ 0.95 ~ lucent ~ lucent\s+public\s+licen[cs]e\s+(?:version\s+)?1\.02 ~ Lucent Public License Version 1.02
+lppl-1.3 ~ 1 ~ 0.9 ~ latex ~ latex\s+project\s+public\s+licen[cs]e,?\s+(?:either\s+)?version\s+1\.3[ac]? ~ LaTeX Project Public License, either version 1.3
+lppl ~ 2 ~ 0.8 ~ latex ~ latex\s+project\s+public\s+licen[cs]e ~ the LaTeX Project Public License
+rpsl-1.0 ~ 1 ~ 0.9 ~ realnetworks ~ realnetworks\s+public\s+source\s+licen[cs]e ~ RealNetworks Public Source License
+motosoto ~ 1 ~ 0.9 ~ motosoto ~ motosoto\s+open\s+source\s+licen[cs]e ~ Motosoto Open Source License
+naumen ~ 1 ~ 0.9 ~ naumen ~ naumen\s+public\s+licen[cs]e ~ NAUMEN Public License
+ngpl ~ 1 ~ 0.9 ~ nethack ~ nethack\s+general\s+public\s+licen[cs]e ~ NetHack General Public License
+oclc-2.0 ~ 1 ~ 0.9 ~ oclc ~ oclc\s+research\s+public\s+licen[cs]e ~ OCLC Research Public License 2.0
+ldp ~ 1 ~ 0.85 ~ linux ~ linux\s+documentation\s+project\s+(?:copying\s+)?licen[cs]e ~ Linux Documentation Project Copying License
+eudatagrid ~ 1 ~ 0.9 ~ datagrid ~ eu\s+datagrid\s+software\s+licen[cs]e ~ EU DataGrid Software License
+entessa ~ 1 ~ 0.9 ~ entessa ~ entessa\s+public\s+licen[cs]e ~ Entessa Public License
+frameworx-1.0 ~ 1 ~ 0.9 ~ frameworx ~ frameworx\s+open\s+licen[cs]e ~ Frameworx Open License 1.0
+miros ~ 1 ~ 0.85 ~ miros ~ miros\s+licen[cs]e ~ The MirOS Licence
+multics ~ 1 ~ 0.85 ~ multics ~ multics\s+(?:software\s+)?licen[cs]e ~ Multics License
+simpl-2.0 ~ 1 ~ 0.9 ~ simple ~ simple\s+public\s+licen[cs]e(?:\s+2\.0)? ~ Simple Public License 2.0
+vsl-1.0 ~ 1 ~ 0.9 ~ vovida ~ vovida\s+software\s+licen[cs]e ~ Vovida Software License
+cnri-python ~ 1 ~ 0.9 ~ cnri ~ cnri\s+open\s+source\s+licen[cs]e\s+agreement ~ CNRI Open Source License Agreement
+catosl-1.1 ~ 1 ~ 0.9 ~ trusted ~ computer\s+associates\s+trusted\s+open\s+source\s+licen[cs]e ~ Computer Associates Trusted Open Source License
+bittorrent-1.1 ~ 1 ~ 0.9 ~ bittorrent ~ bittorrent\s+open\s+source\s+licen[cs]e ~ BitTorrent Open Source License
+interbase-1.0 ~ 1 ~ 0.9 ~ interbase ~ interbase\s+public\s+licen[cs]e ~ InterBase Public License
+ricoh-1.0 ~ 1 ~ 0.9 ~ ricoh ~ ricoh\s+source\s+code\s+public\s+licen[cs]e ~ Ricoh Source Code Public License
+sugarcrm-1.1.3 ~ 1 ~ 0.9 ~ sugarcrm ~ sugarcrm\s+public\s+licen[cs]e ~ SugarCRM Public License
+ypl-1.1 ~ 1 ~ 0.9 ~ yahoo ~ yahoo!?\s+public\s+licen[cs]e ~ Yahoo! Public License
+zimbra-1.3 ~ 1 ~ 0.9 ~ zimbra ~ zimbra\s+public\s+licen[cs]e ~ Zimbra Public License
+d-fsl-1.0 ~ 1 ~ 0.9 ~ german ~ german\s+free\s+software\s+licen[cs]e ~ German Free Software License
+cpol-1.02 ~ 1 ~ 0.9 ~ project ~ code\s+project\s+open\s+licen[cs]e ~ The Code Project Open License
+ms-lpl ~ 1 ~ 0.9 ~ microsoft ~ microsoft\s+limited\s+public\s+licen[cs]e ~ Microsoft Limited Public License
 """
 
 

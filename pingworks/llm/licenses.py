@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -150,7 +150,7 @@ def rules() -> list[Rule]:
         out.append(Rule(f"cc-{key}", rf"(?<!{WORD})cc[-\s]+{key}(?![-\s]*(?:{WORD}|\.\d))", ("cc",), 2, 0.8))
         out.append(Rule(f"cc-{key}", rf"creative\s+commons\s+{name}(?!{WORD})", ("commons",), 2, 0.8))
     out += [Rule(label, p, tuple(k.split("|")), 3 if label in ("mit", "bsd", "isc", "cc0") else 4, 0.5) for label, p, k in NOTICES]
-    return out
+    return [replace(r, pattern=r.pattern.replace(r"\s+", BLANKS)) for r in out]
 
 
 def re_escape(x: str) -> str:
@@ -167,6 +167,9 @@ GATE = (
     r"|you\s+just|independent\s+jpeg|sam\s+leffler|reserved\s+font|product\s+includes|imagemagick|polyform|blueoak|unicode-|(?:states|s\.)\s+government|perlfoundation|statically\s+or|illinois|limiting\s+other"
     r"|beer-?ware|a\s+beer|not\s+evil|gemma\s+terms|elastic(?:-2|\.co)|curl\.)"
 )
+#: Blanks between the words of a rule; they may hold the marks that begin comment lines.
+BLANKS = r"\s+(?:[*#/;%!>|-]{1,4}\s+)*"
+GATE = GATE.replace(r"\s+", BLANKS)
 PRIORITIES = 4
 
 

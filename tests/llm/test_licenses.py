@@ -10,6 +10,7 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 
 from pingworks.llm import license_rules, licenses
+from pingworks.llm.license_rules import signatures
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -61,7 +62,7 @@ def test_containment_and_priority(spark):
 
 def test_there_are_hundreds_of_valid_rules_behind_the_gate():
     rules = licenses.rules()
-    assert len(rules) > 300 and all(r.priority in range(1, licenses.PRIORITIES + 1) for r in rules)
+    assert len(signatures()) > 200 and len(rules) > 300 and all(r.priority in range(1, licenses.PRIORITIES + 1) for r in rules)
 
 
 def _samples(tree) -> list[str]:
@@ -165,3 +166,35 @@ def test_clashing_names_nulls_and_repeated_rows(spark):
     rows = licenses.scan(df).collect()
     assert sorted((r.doc_id or 0, r.labels, r.n_base) for r in rows) == [(0, "mit", 1), (1, "mit", 1), (1, "mit", 1), (2, "", 0)]
     assert licenses.scan(df.limit(0)).count() == 0
+
+
+HEADERS = {
+    "gpl-3": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""",
+    "lgpl-2.1": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.""",
+    "isc": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.""",
+    "bsd-3-clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted. Neither the name of the
+University nor the names of its contributors may be used to
+endorse or promote products derived from this software.""",
+    "apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in
+compliance with the License.""",
+}
+
+
+def test_headers_in_comments_get_their_versions(spark):
+    marks = ["", " * ", "# ", "// ", ";; ", "-- ", "\t *\t", "%% "]
+    rows = []
+    for label, text in HEADERS.items():
+        for m in marks:
+            rows.append((len(rows), label, "/*\n" + "\n".join(m + line for line in text.split("\n")) + "\n" + m.rstrip() + "\n" + m + "\n*/\nint main;"))
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, label string, text string")).collect()
+    assert [(r.label, r.labels, r.text) for r in got if r.label not in r.labels.split(",")] == []
