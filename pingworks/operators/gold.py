@@ -20,6 +20,10 @@ from pingworks.operators.reports import on_main_route
 from pingworks.sources.tables import PARTITION, read_path
 
 
+#: Folder of the rows without a day.
+NO_DAY = "__HIVE_DEFAULT_PARTITION__"
+
+
 def cells(t: DataFrame) -> DataFrame:
     g = t.groupBy(PARTITION, M.hour().alias("hour"), "route", "segment_name", "segment_type")
     return g.agg(
@@ -111,6 +115,13 @@ def _stamps(t: DataFrame) -> dict[str, str]:
     return {d: hashlib.sha256("\n".join(sorted(f)).encode()).hexdigest() for d, f in days.items()}
 
 
+def _in_days(days: list[str]) -> Column:
+    """Rows of the days of these folder names."""
+    named = [F.lit(d).cast("date") for d in days if d != NO_DAY]
+    fits = F.col(PARTITION).isin(named) if named else F.lit(False)
+    return fits | F.col(PARTITION).isNull() if NO_DAY in days else fits
+
+
 def _held(spark: SparkSession, root: str) -> dict[str, str]:
     try:
         return {r.day: r.stamp for r in spark.read.schema("day string, stamp string").parquet(f"{root}/days").collect()}  # one row a day
@@ -119,22 +130,25 @@ def _held(spark: SparkSession, root: str) -> dict[str, str]:
 
 
 def refresh(spark: SparkSession, table: DataFrame | str, root: str) -> list[str]:
-    """Recomputes the partials at ``root`` for the days of ``table`` whose files are not
-    those of the last refresh, and returns these days.  Stamps are written last: a refresh
-    that breaks off is done again.  Days that lost all their files keep their partials."""
+    """Brings the partials at ``root`` up to ``table`` and returns the days that differ:
+    those whose files are not those of the last refresh are computed again, those that
+    have no files any more leave the list of days that `read` goes by.  The list is
+    written last: a refresh that breaks off is done again."""
     t = read_path(spark, table) if isinstance(table, str) else table
     now, old = _stamps(t), _held(spark, root)
-    changed = sorted(d for d, s in now.items() if old.get(d) != s)
+    changed, gone = sorted(d for d, s in now.items() if old.get(d) != s), sorted(old.keys() - now.keys())
     if changed:
-        rows = t.filter(F.col(PARTITION).isin([F.lit(d).cast("date") for d in changed]))
+        rows = t.filter(_in_days(changed))
         for name, partial in (("cells", cells), ("vehicles", vehicles)):
             out = partial(rows).repartition(PARTITION)
             out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PARTITION).parquet(f"{root}/{name}")
-        spark.createDataFrame(sorted((old | now).items()), "day string, stamp string").coalesce(1).write.mode("overwrite").parquet(f"{root}/days")
-    return changed
+    if changed or gone:
+        spark.createDataFrame(sorted(now.items()), "day string, stamp string").coalesce(1).write.mode("overwrite").parquet(f"{root}/days")
+    return sorted(changed + gone)
 
 
 def read(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """The eight reports, from the partials at ``root``."""
-    c, v = spark.read.parquet(f"{root}/cells"), spark.read.parquet(f"{root}/vehicles")
+    """The eight reports, from the partials at ``root`` of the days it lists."""
+    days = _in_days(sorted(_held(spark, root)))
+    c, v = (spark.read.parquet(f"{root}/{name}").filter(days) for name in ("cells", "vehicles"))
     return {name: report(c, v) for name, report in ALL.items()}

@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 import random
 import re
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -154,6 +155,16 @@ def test_partials_of_changed_days_only(spark, tmp_path):
     for name, got in gold.read(spark, root).items():
         want = reports.ALL[name](whole)
         assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect())), name
+    # a day that loses all its files leaves the reports; rows without a time are a day of their own
+    shutil.rmtree(f"{path}/event_date=2024-01-05")
+    tables.append_path(t.filter("event_date = date'2024-01-06'").limit(40).withColumn("timestamp", F.lit(None).cast("timestamp_ntz")).select(*own), path)
+    assert gold.refresh(spark, path, root) == ["2024-01-05", gold.NO_DAY]
+    whole = tables.read_path(spark, path)
+    assert whole.filter("event_date is null").count() == 40 and whole.filter("event_date = date'2024-01-05'").isEmpty()
+    for name, got in gold.read(spark, root).items():
+        want = reports.ALL[name](whole)
+        assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect())), name
+    assert gold.refresh(spark, path, root) == []
 
 
 def test_audits_take_a_time_and_prune_days(spark):
