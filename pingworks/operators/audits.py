@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pingworks.functions import metrics as M
 from pingworks.functions.parsing import round_to
+from pingworks.operators import quantiles
 from pingworks.operators.reports import MAIN_ROUTE
 
 
@@ -83,12 +86,18 @@ def unassigned(t: DataFrame) -> DataFrame:
     return c.withColumn("unassigned_pct", _pct(F.col("unassigned"), F.col("pings"))).orderBy("hour")
 
 
-def staleness(t: DataFrame, least_s: int = 300) -> DataFrame:
+def staleness(t: DataFrame, least_s: int = 300, store: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """By route: how far the server's time is behind the vehicle's, in seconds, over the
-    pings that have both."""
-    rows = t.withColumn("s", F.timestamp_diff("SECOND", F.col("timestamp"), F.col("srvtmstmp").try_cast("timestamp_ntz"))).filter("s is not null")
-    pick = lambda p: round_to(F.percentile("s", F.lit(p)), 2)
-    c = rows.groupBy("route").agg(F.count(F.lit(1)).alias("pings"), F.count_if(F.col("s") >= least_s).alias("stale"), round_to(F.avg("s"), 2).alias("avg_s"), pick(0.5).alias("median_s"), pick(0.9).alias("p90_s"))
+    pings that have both.  Only whole seconds and how often each occurs leave the pings'
+    tasks; the quantiles are selected from these.  ``store`` writes and rereads them."""
+    rows = t.select("route", F.timestamp_diff("SECOND", F.col("timestamp"), F.col("srvtmstmp").try_cast("timestamp_ntz")).alias("s"))
+    counts = store(quantiles.counted(rows, ["route"], "s"))
+    stale = F.sum(F.when(F.col("s") >= least_s, F.col("n")).otherwise(F.lit(0)))
+    mean = F.sum(F.col("s") * F.col("n")).cast("double") / F.sum("n")
+    c = counts.groupBy("route").agg(F.sum("n").alias("pings"), stale.alias("stale"), round_to(mean, 2).alias("avg_s"))
+    for p, name in ((0.5, "median_s"), (0.9, "p90_s")):
+        at = quantiles.select(counts, ["route"], "s", p).select(F.col("route").alias(f"__{name}"), round_to(F.col("quantile"), 2).alias(name))
+        c = c.join(at, F.col("route").eqNullSafe(F.col(f"__{name}"))).drop(f"__{name}")
     return c.orderBy("route")
 
 

@@ -199,7 +199,7 @@ def ingest_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audits.staleness(events.stale_pings(spark, sf_dir))
+    return audits.staleness(events.stale_pings(spark, sf_dir), store=lambda df: _cut(df, "staleness"))
 
 
 def schedule_files(spark: SparkSession, sf_dir: str, distances: bool = True) -> Callable[[str], DataFrame]:

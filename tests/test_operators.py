@@ -4,7 +4,10 @@ import json
 import random
 import re
 import shutil
+from collections import defaultdict
+from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -209,3 +212,27 @@ def test_schedule_edges(spark, tmp_path):
     pings = spark.sql("SELECT * FROM VALUES ('t', 50, timestamp_ntz'2024-01-02 00:00:30'), ('t', 100, timestamp_ntz'2024-01-02 00:01:00'), ('t', -1, timestamp_ntz'2024-01-02 00:00:00'), ('N/A', 5, timestamp_ntz'2024-01-02 00:00:00'), (NULL, 5, NULL), ('t', NULL, NULL) p(trip_id, pdist, timestamp)")
     got = schedule.deviation(schedule.place(pings, times)).collect()
     assert [(r.from_stop, r.to_stop, r.scheduled_s, r.deviation_s) for r in got] == [("A", "B", 86400.0, 30.0)]
+
+
+@pytest.mark.parametrize("size", [0, 4000])
+def test_staleness_selects_what_percentiles_give(spark, size):
+    rng = random.Random(size)
+    rows = []
+    for _ in range(size):
+        at = datetime(2024, 1, 1) + timedelta(seconds=rng.randrange(90_000))
+        behind = timedelta(seconds=rng.choice([rng.randrange(-50, 100_000), 7, 300]))
+        # half of all pings are of one route
+        rows.append((rng.choice(["hot", "hot", "b", None]), at, rng.choice([str(at + behind)] * 9 + [None, "no time"])))
+    rows.append(("one", datetime(2024, 1, 1), "2024-01-01 00:05:00"))
+    t = spark.createDataFrame(rows, "route string, timestamp timestamp_ntz, srvtmstmp string")
+    seen = defaultdict(list)
+    for route, at, server in rows:
+        if server not in (None, "no time"):
+            seen[route].append(int((datetime.fromisoformat(server) - at).total_seconds()))
+    got = {r.route: r for r in audits.staleness(t).collect()}
+    assert got.keys() == seen.keys()
+    for route, s in seen.items():
+        r = got[route]
+        assert (r.pings, r.stale) == (len(s), sum(x >= 300 for x in s))
+        for value, want in ((r.avg_s, np.mean(s)), (r.median_s, np.quantile(s, 0.5)), (r.p90_s, np.quantile(s, 0.9))):
+            assert value == pytest.approx(want, abs=0.0051)
