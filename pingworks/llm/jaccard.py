@@ -28,9 +28,10 @@ yet.  All candidates are verified on whole sets of 64-bit shingle hashes.
 
 Defined cases: null, empty and blank texts have an empty set, link with nothing and
 form their own component; texts of one to four words have one shingle, the whole
-sequence; repeated rows share their component; component_id is the smallest non-null
-doc_id reachable (null if a component has none); other columns of the input are left
-alone; an empty table gives an empty table."""
+sequence; very long texts count whole (tested at 1 MB); repeated rows share their
+component; component_id is the smallest non-null doc_id reachable (null if a component
+has none); other columns of the input are left alone, whatever their names; an empty
+table gives an empty table."""
 
 from __future__ import annotations
 

@@ -6,8 +6,8 @@ its length.  Reading accumulates the scans into coefficients, from which both th
 payload and, by inverse transform and chroma upsampling, the tensor come.
 
 Defined cases: a null text is the empty one; it is padded to the least payload; equal
-texts have equal files, tensors and features whatever rows stand beside them; repeated
-rows are images of their own; very long texts are wider images (a tensor has twice the
+texts have equal files, tensors and features whatever rows stand beside them; a null
+doc_id is carried like any other; repeated rows are images of their own; very long texts are wider images (a tensor has twice the
 bytes of its text and must fit in a Spark value, so 1 GB of text is the most); other
 columns are left behind; an empty table gives an empty result."""
 

@@ -11,9 +11,10 @@ Token ids travel as 16-bit numbers and are written once before the range sort, s
 sampling pass does not tokenise again.
 
 Defined cases: null and empty texts are the end id alone; copies have equal keys and
-lie side by side in doc_id order; repeated rows are packed one by one; a long document
-fills sequences of its own and shares its first and last; other columns of the input
-are left behind; an empty table gives an empty table."""
+lie side by side in doc_id order; a null doc_id is carried like any other; repeated rows
+are packed one by one; a long document (tested at 1 MB) fills sequences of its own and
+shares its first and last; other columns of the input are left behind, whatever their
+names; an empty table gives an empty table."""
 
 from __future__ import annotations
 

@@ -5,9 +5,10 @@ A run digests every text, encodes each distinct text that the cache lacks once,
 appends those counts, and joins the counts back by digest.
 
 Normalisation is what leaves every count as the library's: null becomes the empty
-text, nothing else changes.  Defined cases: null and empty texts have no tokens;
-copies and repeated rows share one encoding and each gets its row; other columns of
-the input pass through (a column named like a result is replaced); an empty table
+text, nothing else changes.  Defined cases: null and empty texts have no tokens; a null
+doc_id passes through, since counts go by digest; very long texts are encoded whole
+(tested at 1 MB); copies and repeated rows share one encoding and each gets its row;
+other columns of the input pass through (a column named like a result is replaced); an empty table
 gives an empty table; counts appended twice by concurrent runs are read once."""
 
 from __future__ import annotations

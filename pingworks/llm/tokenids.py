@@ -9,8 +9,8 @@ comes from one number a row.
 Defined cases: null and empty texts are the end id alone; null doc_ids come first and
 are read back as null; rows of one doc_id go by their text; repeated rows are documents of
 their own, side by side; a long
-document fills a row of its own; other columns are left behind; an empty table gives
-files without rows and an empty result."""
+document (tested at 1 MB) fills a row of its own; other columns are left behind, whatever
+their names; an empty table gives files without rows and an empty result."""
 
 from __future__ import annotations
 
