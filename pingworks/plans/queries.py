@@ -87,6 +87,14 @@ def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_path(spark, _stored[key])
 
 
+def release(spark: SparkSession) -> int:
+    """Deletes the tables that this application's queries have written, once their results
+    are no longer read; the next query that needs one writes it anew."""
+    for key in [k for k in _stored if k[0] == spark.sparkContext.applicationId]:
+        del _stored[key]
+    return tables.release(spark)
+
+
 def _input(spark: SparkSession, sf_dir: str, *more: str) -> tuple:
     """What a stored table depends on: the session and the input's files as they are."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")

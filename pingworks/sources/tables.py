@@ -14,6 +14,9 @@ from pingworks.schemas import LATE_COLUMNS, PINGS
 
 PARTITION = "event_date"
 
+#: Paths that `scratch` gave, by application.
+_given: dict[str, list[str]] = {}
+
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share; without a setting, one
@@ -24,7 +27,19 @@ def scratch(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="pingworks-")
         spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _given.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes what is at the paths that `scratch` gave this application, and nothing else;
+    frames that read from there can be read no more.  Says how many paths held something."""
+    gone = 0
+    for name in _given.pop(spark.sparkContext.applicationId, []):
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        gone += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return gone
 
 
 def with_date(pings: DataFrame) -> DataFrame:

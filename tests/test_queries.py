@@ -1,9 +1,13 @@
 from __future__ import annotations
 
+from pathlib import Path
+
 import pytest
 from conftest import SMALL, same_rows
 
+from pingworks.plans import queries
 from pingworks.plans.registry import ORACLES, QUERIES
+from pingworks.sources import tables
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -15,6 +19,16 @@ def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
 
 
+def test_released_tables_are_written_anew(spark, tmp_path):
+    before = sorted(QUERIES["daily"](spark, SMALL).collect())
+    path = queries._stored[queries._input(spark, SMALL)].removeprefix("file://")
+    tables.append_path(queries.stored(spark, SMALL), own := str(tmp_path / "own"))
+    assert Path(path).exists() and queries.release(spark) > 0
+    assert not Path(path).exists() and queries.release(spark) == 0
+    assert sorted(QUERIES["daily"](spark, SMALL).collect()) == before
+    assert tables.read_path(spark, own).count() == queries.stored(spark, SMALL).count()  # what others wrote stays
+
+
 def test_reports_json(spark):
     rows = QUERIES["reports_json"](spark, SMALL).collect()
     assert {r.report for r in rows} >= {"summary", "segment_types", "hourly"} and all(r.row.startswith("{") for r in rows)
