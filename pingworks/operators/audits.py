@@ -95,9 +95,9 @@ def staleness(t: DataFrame, least_s: int = 300, store: Callable[[DataFrame], Dat
     stale = F.sum(F.when(F.col("s") >= least_s, F.col("n")).otherwise(F.lit(0)))
     mean = F.sum(F.col("s") * F.col("n")).cast("double") / F.sum("n")
     c = counts.groupBy("route").agg(F.sum("n").alias("pings"), stale.alias("stale"), round_to(mean, 2).alias("avg_s"))
-    for p, name in ((0.5, "median_s"), (0.9, "p90_s")):
-        at = quantiles.select(counts, ["route"], "s", p).select(F.col("route").alias(f"__{name}"), round_to(F.col("quantile"), 2).alias(name))
-        c = c.join(at, F.col("route").eqNullSafe(F.col(f"__{name}"))).drop(f"__{name}")
+    picked = quantiles.select_many(counts, ["route"], "s", {"median_s": 0.5, "p90_s": 0.9})
+    picked = picked.select(F.col("route").alias("p_route"), *[round_to(F.col(x), 2).alias(x) for x in ("median_s", "p90_s")])
+    c = c.join(picked, F.col("route").eqNullSafe(F.col("p_route"))).drop("p_route")
     return c.orderBy("route")
 
 

@@ -22,6 +22,10 @@ def test_selected_quantiles_are_the_percentiles(spark, bits):
         want = {r.k: r.q for r in df.filter("v is not null").groupBy("k").agg(F.percentile("v", F.lit(p)).alias("q")).collect()}
         got = {r.k: r.quantile for r in quantiles.select(counts, ["k"], "v", p, bits).collect()}
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+    many = {"a": 0.1, "b": 0.5, "c": 0.5, "d": 1.0}
+    want = {r.k: r[1:] for r in df.filter("v is not null").groupBy("k").agg(*[F.percentile("v", F.lit(p)).alias(n) for n, p in many.items()]).collect()}
+    got = {r.k: r[1:] for r in quantiles.select_many(counts, ["k"], "v", many, bits).collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-6) for k in want)
 
 
 def test_stops_on_a_line_that_crosses_itself():
