@@ -8,7 +8,7 @@ Defined cases, by stage: a null or empty text has no words, so the quality rules
 it; a null doc_id, lang or source takes part like any other value; of repeated rows and
 of copies one row stays, that with the smallest doc_id and, at a tie, the smallest hash
 of its row; the mix may take a document in several epochs, and packing then packs it as
-often; very long texts go through every stage whole (tested at 1 MB); columns beside those
+often; very long texts are judged and carried whole by every stage; columns beside those
 of documents pass through whatever their names, up to the
 mix; an empty table gives an empty table at every stage."""
 
