@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pingworks.llm.bytescan import LOWER, mix, ranges, word_hashes, word_spans
-from pingworks.llm.shared import cut, parts_for, slices, text_buffer
+from pingworks.llm.shared import cut, parts_for, slices, text_buffer, tidy
 
 SHINGLE = 5
 SLICE_BYTES = 1 << 20
@@ -202,7 +202,7 @@ def describe(docs: DataFrame, text: str = "text") -> DataFrame:
                     names=["doc_id", "row_hash", "n_shingles", "member"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col(text), "row_hash").mapInArrow(run, "doc_id long, row_hash long, n_shingles long, member long")
+    return docs.select(F.col("doc_id").cast("long"), F.col(text), "row_hash").mapInArrow(tidy(run), "doc_id long, row_hash long, n_shingles long, member long")
 
 
 def shared_signatures(docs: DataFrame, parts: int, single: bool, text: str = "text") -> DataFrame:
@@ -274,8 +274,8 @@ def shared_signatures(docs: DataFrame, parts: int, single: bool, text: str = "te
             o = of[k]
             yield _arrow(names, _signed(sig[k]), _signed(member[k]), head["size"][o].astype(np.int64), head["band"][o].astype(np.int64), head["all"][o].astype(np.int64), df[k].astype(np.int64))
 
-    blobs = docs.select(text).mapInArrow(emit, "bucket long, heads binary, runs binary, sigs binary")
-    return blobs.repartition(parts, "bucket").mapInArrow(count, "sig long, member long, size long, band long, n_all long, df long")
+    blobs = docs.select(text).mapInArrow(tidy(emit), "bucket long, heads binary, runs binary, sigs binary")
+    return blobs.repartition(parts, "bucket").mapInArrow(tidy(count), "sig long, member long, size long, band long, n_all long, df long")
 
 
 def allocate(live: DataFrame) -> DataFrame:
@@ -317,7 +317,7 @@ def own_shingles(texts: DataFrame) -> DataFrame:
                 for k in range(0, len(h), 50_000):
                     yield _arrow(["h", "member"], _signed(h[k : k + 50_000]), of[k : k + 50_000])
 
-    rows = texts.select("member", "body").mapInArrow(run, "h long, member long")
+    rows = texts.select("member", "body").mapInArrow(tidy(run), "h long, member long")
     once = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("member").alias("member")).filter("n = 1")
     return once.groupBy("member").agg(F.count(F.lit(1)).alias("alone"))
 
@@ -336,7 +336,7 @@ def sketches(texts: DataFrame) -> DataFrame:
                 yield _arrow(["member", "size", *[f"k{k}" for k in range(SKETCH)]], np.asarray(b.column(0))[i:j], np.diff(bounds), *[np.ascontiguousarray(words[:, k]) for k in range(SKETCH)])
 
     schema = "member long, size long, " + ", ".join(f"k{k} long" for k in range(SKETCH))
-    return texts.select("member", "body").mapInArrow(run, schema)
+    return texts.select("member", "body").mapInArrow(tidy(run), schema)
 
 
 def _differ(a: str, b: str) -> Column:
@@ -378,7 +378,7 @@ def neighbour_index(texts: DataFrame, single: bool) -> DataFrame:
                 for k in range(0, len(of), 50_000):
                     yield _arrow(names, *(c[k : k + 50_000] for c in columns))
 
-    return texts.select("member", "body").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return texts.select("member", "body").mapInArrow(tidy(run), ", ".join(f"{c} long" for c in names))
 
 
 def allot(index: DataFrame, members: DataFrame) -> DataFrame:
@@ -464,7 +464,7 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, "hub", "part").sortWithinPartitions("hub", "part", "side")
-    return dealt.select("hub", "side", "id", "body").mapInArrow(run, "a long, b long")
+    return dealt.select("hub", "side", "id", "body").mapInArrow(tidy(run), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -513,7 +513,7 @@ def grouped_rows(docs: DataFrame, single: bool = False) -> DataFrame:
             ok = np.concatenate([_signed(_prints(h, at)) for _, _, h, at in _sets(b.column(1))] or [np.zeros(0, np.int64)]) == np.asarray(b.column(0))
             yield b.filter(pa.array(ok))
 
-    bodies = cut(bodies.mapInArrow(matching, "member long, body string").dropDuplicates(["member"]), "bodies")
+    bodies = cut(bodies.mapInArrow(tidy(matching), "member long, body string").dropDuplicates(["member"]), "bodies")
     star = cut(star_pairs(probes), "stars")
     sketch = cut(sketches(bodies), "sketches")
     links = cut(verify(cut(plausible(star, sketch), "plausible"), bodies), "linked")

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from pingworks.llm.bytescan import mix
 from pingworks.llm.encode import Encoder
-from pingworks.llm.shared import new_path, parts_for
+from pingworks.llm.shared import new_path, parts_for, tidy
 
 LENGTH = 2048
 END_ID = 1
@@ -94,7 +94,7 @@ def place(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
                 ids = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer((2 * at).astype(np.int64)), blob])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(keys), ids.cast(pa.binary()), pa.array(np.diff(at))], names=["doc_id", "curve_key", "ids", "n_ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col(text)).mapInArrow(run, "doc_id long, curve_key long, ids binary, n_ids long")
+    return docs.select(F.col("doc_id").cast("long"), F.col(text)).mapInArrow(tidy(run), "doc_id long, curve_key long, ids binary, n_ids long")
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary, curve_key long"
@@ -170,7 +170,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, text: str = "tex
             yield from out(pieces)
         yield from out(packer.finish())
 
-    return line.mapInArrow(run, PIECES)
+    return line.mapInArrow(tidy(run), PIECES)
 
 
 RESULT = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]

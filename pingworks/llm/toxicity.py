@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pingworks.llm.bytescan import LOWER, _power, mix, prefix_sums
-from pingworks.llm.shared import bound_batches, cut, slices, text_buffer
+from pingworks.llm.shared import bound_batches, cut, slices, text_buffer, tidy
 
 THRESHOLD = 0.3
 BUCKET_BITS = 20
@@ -190,7 +190,7 @@ def _fit_in_task(sample: DataFrame, prior: float) -> Model:
         one = [[at.astype("<i4").tobytes()], [m.weights[at].astype("<f4").tobytes()], [m.bias], [m.trained]]
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(one, (pa.binary(), pa.binary(), pa.float64(), pa.bool_()))], names=["at", "weights", "bias", "trained"])
 
-    row = sample.mapInArrow(run, "at binary, weights binary, bias double, trained boolean").first()  # at most one number a bucket
+    row = sample.mapInArrow(tidy(run), "at binary, weights binary, bias double, trained boolean").first()  # at most one number a bucket
     weights = np.zeros(1 << BUCKET_BITS, np.float32)
     if row is None:
         return Model(weights, -np.inf, False)
@@ -221,7 +221,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
             s = 1 / (1 + np.exp(-np.clip(margins(b.column(at), weights) + bias, -700, 700))) if trained else np.zeros(b.num_rows)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
