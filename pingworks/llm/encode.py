@@ -82,17 +82,23 @@ class _Library:
         model at once, past normaliser and pre-tokeniser, which would leave them alone."""
         letters = re.compile(_LOWERED if self.lowers else _LETTERS)
         tries = ["the", " the", " zqxjk", "zqxjkvbn", " a", "w" * 40, "élan", " être", "straße", " àèìòùÿ", "çã"]
-        same = self._words([x.encode() for x in tries]) == [self.tok.encode(x, add_special_tokens=False).ids for x in tries]
+        ids, lengths = self._words([x.encode() for x in tries])
+        want = [self.tok.encode(x, add_special_tokens=False).ids for x in tries]
+        same = ids == list(chain.from_iterable(want)) and lengths == [len(x) for x in want]
         return letters if same else None
 
-    def _words(self, chunks: list[bytes]) -> list[list[int]]:
-        """Ids of chunks that are words."""
+    def _words(self, chunks: list[bytes]) -> tuple[list[int], list[int]]:
+        """Ids of chunks that are words, one after another, and how many each has."""
         raw = b"\0".join(chunks)
         if self.lowers:
             raw = raw.replace(b" ", b"")
         words = _BYTE_CHARS[np.frombuffer(raw, np.uint8)].tobytes().decode("utf-16-le").split("\0")
-        find = self.model.tokenize
-        return [[t.id for t in find(w)] for w in words]
+        find, ids, lengths = self.model.tokenize, [], []
+        for w in words:  # no list is kept a word, which would wake the garbage collector
+            found = find(w)
+            lengths.append(len(found))
+            ids += [t.id for t in found]
+        return ids, lengths
 
     def encode_each(self, texts: list[str]) -> list[list[int]]:
         if self.keeps_space:
@@ -103,18 +109,17 @@ class _Library:
         if self.plain is None:
             return self._encode([x.decode() for x in chunks])
         match = self.plain.fullmatch
-        odd = [i for i, x in enumerate(chunks) if match(x) is None]
-        rest = [chunks[i] for i in odd]
-        if rest:
-            left = set(odd)
-            chunks = [x for i, x in enumerate(chunks) if i not in left]
-        found = self._words(chunks) if chunks else []
-        if rest:
-            ids, lengths = self._encode([x.decode() for x in rest])
-            ends, ids = np.cumsum(lengths).tolist(), ids.tolist()
-            for i, a, z in zip(odd, [0, *ends], ends):  # ascending, so each goes to its place
-                found.insert(i, ids[a:z])
-        return np.array(list(chain.from_iterable(found)), np.uint16), np.array([len(x) for x in found], np.int64)
+        word = np.array([match(x) is not None for x in chunks], bool)
+        ids, lengths = self._words([x for x, w in zip(chunks, word.tolist()) if w]) if word.any() else ([], [])
+        ids, lengths = np.array(ids, np.uint16), np.array(lengths, np.int64)
+        if word.all():
+            return ids, lengths
+        rest, many = self._encode([x.decode() for x, w in zip(chunks, word.tolist()) if not w])
+        # each chunk's ids go to its place
+        of = np.concatenate([np.flatnonzero(word), np.flatnonzero(~word)])
+        both, n = np.concatenate([ids, rest]), np.concatenate([lengths, many])
+        starts, back = np.cumsum(n) - n, np.argsort(of)
+        return both[ranges(starts[back], n[back])], n[back]
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if not self.keeps_space or any("<|" in x for x in texts):
@@ -198,6 +203,40 @@ class Encoder:
         self.bytes = np.zeros(4096, np.uint8)
         self.n_bytes = 0
         self.odd: dict[bytes, int] = {}  # entries of chunks whose hash another one has
+        self.table = np.full(1 << 12, -1, np.int32)  # entries by their hash: the first free place from its bits on
+
+    def _place(self, hashes: np.ndarray) -> np.ndarray:
+        """Where in the table the search for a hash begins."""
+        return (hashes >> np.uint64(20)).astype(np.int64) & (len(self.table) - 1)
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Entry of each hash, -1 where there is none."""
+        at = self._place(hashes)
+        out = self.table[at]
+        # places taken by another hash: go on with the next
+        left = np.flatnonzero((out >= 0) & (self.hashes[out] != hashes))
+        while len(left):
+            at[left] = (at[left] + 1) & (len(self.table) - 1)
+            out[left] = found = self.table[at[left]]
+            left = left[(found >= 0) & (self.hashes[found] != hashes[left])]
+        return out
+
+    def _enter(self, first: int, last: int) -> None:
+        """Entries ``first`` to ``last`` - 1, of hashes that the table lacks, go into it."""
+        if 2 * last > len(self.table):
+            while 2 * last > len(self.table):
+                self.table = np.append(self.table, self.table)
+            self.table[:] = -1
+            first = 0
+        entries = np.arange(first, last, dtype=np.int32)
+        if first == 0 and self.odd:
+            entries = np.delete(entries, list(self.odd.values()))  # found by their bytes
+        at = self._place(self.hashes[entries])
+        while len(entries):
+            free = self.table[at] < 0
+            self.table[at[free]] = entries[free]
+            lost = self.table[at] != entries
+            entries, at = entries[lost], (at[lost] + 1) & (len(self.table) - 1)
 
     def _learn(self, hashes: np.ndarray, strings: list[bytes]) -> None:
         first, last = self.n, self.n + len(hashes)
@@ -241,15 +280,16 @@ class Encoder:
         hashes = span_hashes(prefix_sums(buf), begins, ends)
         if self.n > CACHE_CHUNKS or self.n_bytes > CACHE_BYTES:
             self._clear()
-        # known hashes come first, so a chunk's code is its cache entry
-        codes, uniques = pd.factorize(np.concatenate([self.hashes[: self.n], hashes]))
-        codes, known = codes[self.n :], self.n
-        if len(uniques) > known:
+        codes = self._find(hashes).astype(np.int64)
+        new = np.flatnonzero(codes < 0)
+        if len(new):
+            each, uniques = pd.factorize(hashes[new])
             firsts = np.zeros(len(uniques), np.int64)
-            firsts[codes[::-1]] = np.arange(len(codes))[::-1]
-            firsts, raw = firsts[known:], buf.tobytes()
+            firsts[each[::-1]] = new[::-1]
+            codes[new], known, raw = self.n + each, self.n, buf.tobytes()
             spans = zip(begins[firsts].tolist(), ends[firsts].tolist())
-            self._learn(uniques[known:], [raw[a:b] for a, b in spans])
+            self._learn(uniques, [raw[a:b] for a, b in spans])
+            self._enter(known, self.n)
         return self._checked(codes, buf, begins, ends, tiled), bounds
 
     def _checked(self, codes: np.ndarray, buf: np.ndarray, begins: np.ndarray, ends: np.ndarray, tiled: bool) -> np.ndarray:
